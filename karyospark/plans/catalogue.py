@@ -1,4 +1,4 @@
 """Imports every query module so that the catalogue is complete."""
 
-from karyospark.plans import track_queries  # noqa: F401
+from karyospark.plans import scalar_queries, track_queries  # noqa: F401
 from karyospark.plans.registry import CATALOGUE  # noqa: F401

@@ -22,6 +22,7 @@ def local_session(cpus: str | int = 8, app: str = "karyospark", memory: str = "1
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
