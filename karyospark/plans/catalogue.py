@@ -1,4 +1,9 @@
 """Imports every query module so that the catalogue is complete."""
 
-from karyospark.plans import scalar_queries, track_queries  # noqa: F401
+from karyospark.plans import (  # noqa: F401
+    interval_queries,
+    evaluation_queries,
+    scalar_queries,
+    track_queries,
+)
 from karyospark.plans.registry import CATALOGUE  # noqa: F401
