@@ -26,7 +26,7 @@ def megabases(length: Column) -> Column:
 
 
 def percent_text(number: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f%%", number)
+    return F.when(number.isNotNull(), F.format_string(f"%.{decimals}f%%", number))
 
 
 def percent_number(text: Column) -> Column:
@@ -34,7 +34,7 @@ def percent_number(text: Column) -> Column:
 
 
 def fixed_text(number: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", number)
+    return F.when(number.isNotNull(), F.format_string(f"%.{decimals}f", number))
 
 
 def iso_date(text: Column) -> Column:

@@ -154,3 +154,99 @@ def valid_for_all(available: DataFrame, group: list[str]) -> DataFrame:
 def hierarchy(samples: DataFrame) -> DataFrame:
     """flow cell -> cycle -> sorted samples."""
     return samples.groupBy("flowcell_id", "cycle_id").agg(F.array_sort(F.collect_list("name")).alias("samples"))
+
+
+def lookup_by_containment(ids: DataFrame, stats: DataFrame, order: str, default: float = 0.0) -> DataFrame:
+    """Keep ratio of the first statistics row whose sample name contains the id; a default with a warning flag.
+
+    Names are unfolded into their substrings of the lengths that ids have (a handful of small
+    numbers), the first row per substring is kept, and ids meet them in an equi-join.
+    """
+    lengths = [r[0] for r in ids.select(F.length("id")).distinct().collect()]
+
+    def pieces(n: int) -> Column:
+        last = F.greatest(F.length("stats_sample") - n + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("stats_sample"), i, F.lit(n)))
+
+    starts = F.flatten(F.array(*[pieces(n) for n in lengths]))
+    first = stats.select(F.explode(F.array_distinct(starts)).alias("id"), "ratio", order).groupBy("id").agg(
+        F.min_by("ratio", order).alias("ratio"))
+    return ids.join(first, "id", "left").withColumn("missing", F.col("ratio").isNull()).withColumn(
+        "ratio", F.coalesce("ratio", F.lit(default)))
+
+
+def select_files(files: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Files with a wanted key, and wanted keys without a file."""
+    return files.join(wanted, key, "left_semi"), wanted.join(files, key, "left_anti")
+
+
+def canonical_parameters(value: Column) -> Column:
+    """Parameter JSON as sorted name=value text, so that equal sets compare equal."""
+    kind = "map<string, struct<type: string, `default`: string, value: string>>"
+    entries = F.array_sort(F.map_entries(F.from_json(value, kind)))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"])), ";")
+
+
+def reuse_parameters(requested: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per requested set the smallest stored id with the same algorithm and values; NULL asks for a new version."""
+    have = stored.select("algorithm_id", canonical_parameters(F.col("value")).alias("_c"), "parameter_id").groupBy(
+        "algorithm_id", "_c").agg(F.min("parameter_id").alias("reused_id"))
+    return requested.withColumn("_c", canonical_parameters(F.col("value"))).join(
+        have, ["algorithm_id", "_c"], "left").drop("_c")
+
+
+def last_used(results: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Last parameter set used per algorithm."""
+    return results.join(parameters.select("parameter_id", "algorithm_id"), "parameter_id").groupBy("algorithm_id").agg(
+        F.max_by("parameter_id", F.struct("created_at", "result_id")).alias("last_parameter_id"))
+
+
+def unused_parameters(parameters: DataFrame, results: DataFrame) -> DataFrame:
+    return parameters.join(results.select("parameter_id").distinct(), "parameter_id", "left_anti")
+
+
+def algorithm_key(name: Column, version: Column) -> Column:
+    return F.concat_ws("_", name, version)
+
+
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    """Required header names that a table lacks."""
+    return sorted(set(required) - set(df.columns))
+
+
+def export_bins(bins: DataFrame) -> DataFrame:
+    """CSV export of bins: GC as percent with two decimals, empty text for NULL."""
+    return bins.select("result_id", "chrom", "start", "end", "copy_number", "read_count",
+                       F.coalesce(numeric.fixed_text(F.col("gc_content") * 100, 2), F.lit("")).alias("gc_content"))
+
+
+def export_segments(segments: DataFrame) -> DataFrame:
+    """CSV export of segments: confidence with four decimals, manual change as Yes or No."""
+    return segments.select("result_id", "chrom", "start", "end", "copy_number",
+                           F.coalesce(numeric.fixed_text(F.col("confidence"), 4), F.lit("")).alias("confidence"),
+                           F.when(F.col("man_change"), "Yes").otherwise("No").alias("man_change"))
+
+
+def sample_table(listing: DataFrame, aberrant: DataFrame) -> DataFrame:
+    """Flat sample report: one row per aberration, with size in Mb and mosaicism in percent."""
+    cols = ["result_id", "sample_name", "algorithm_name", "version"]
+    return listing.select(*cols).join(aberrant, "result_id").select(
+        *cols, "aberration_code", "chrom", "start", "end", "type",
+        numeric.fixed_text(numeric.megabases(F.col("size")), 2).alias("size_mbp"),
+        numeric.percent_text(F.col("mosaicism") * 100, 0).alias("mosaic"))
+
+
+def cycle_table(listing: DataFrame, aberrant: DataFrame) -> DataFrame:
+    """Flat cycle report: one row per result with its conclusion and joined codes."""
+    item = F.struct("chrom_num", "start", "line", F.col("aberration_code").alias("code"))
+    codes = aberrant.groupBy("result_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["code"]), "; ").alias("codes"))
+    return listing.join(codes, "result_id", "left").select(
+        "result_id", "flowcell_id", "cycle_id", "embryo_id", F.coalesce("codes", F.lit("")).alias("codes"),
+        F.when(F.col("codes").isNotNull(), "Abnormal").otherwise("Normal").alias("conclusion"))
+
+
+def update_genome(samples: DataFrame, edits: DataFrame) -> DataFrame:
+    """Apply reference-genome edits by sample id."""
+    return samples.join(edits, "id", "left").withColumn(
+        "reference_genome", F.coalesce("new_genome", "reference_genome")).drop("new_genome")

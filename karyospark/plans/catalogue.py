@@ -2,6 +2,8 @@
 
 from karyospark.plans import (  # noqa: F401
     interval_queries,
+    bic_queries,
+    report_queries,
     evaluation_queries,
     scalar_queries,
     track_queries,
