@@ -2,6 +2,7 @@
 
 from karyospark.plans import (  # noqa: F401
     interval_queries,
+    io_queries,
     bic_queries,
     report_queries,
     evaluation_queries,

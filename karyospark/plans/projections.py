@@ -36,7 +36,11 @@ def located(df: DataFrame, chrom_num) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as aligned reads; odd samples are male, even ones female (no Y)."""
-    li = table(spark, sf_dir, "lineitem")
+    return reads_of(table(spark, sf_dir, "lineitem"))
+
+
+def reads_of(li: DataFrame) -> DataFrame:
+    """The projection itself, for a table or a stream of line items."""
     idx = F.expr("l_suppkey div 5")
     raw = F.col("l_partkey") % 24 + 1
     df = located(li.withColumn("sample_idx", idx),

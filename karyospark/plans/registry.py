@@ -13,7 +13,12 @@ from karyospark.plans.projections import with_ctes
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """The checking SQL with the projections it uses, which any module may have defined."""
+        return with_ctes(self.body) if self.body else None
 
 
 CATALOGUE: dict[str, Query] = {}
@@ -24,6 +29,6 @@ def query(name: str, sql: str | None = None):
     def register(run):
         if name in CATALOGUE:
             raise ValueError(f"query registered twice: {name}")
-        CATALOGUE[name] = Query(run, with_ctes(sql) if sql else None)
+        CATALOGUE[name] = Query(run, sql)
         return run
     return register
