@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from karyospark.operators.intervals import overlap_sum, positions_outside
 from karyospark.operators.running import BLOCK, carry_forward, running_totals
+from karyospark.session import materialise, spread
 
 EPS = 1e-10
 
@@ -424,7 +425,9 @@ def resampled_significance(segments: DataFrame, bins: DataFrame, draws: int = 10
     """Two-tailed p-value of each segment's obs/(obs+exp) against random sets of as many bins.
 
     segments: sample, seg_id (number), bin_num, obs, expected. Draws are hashed from the keys, so
-    a lost task redraws the same bins. Segments over 50 blocks draw whole blocks instead.
+    a lost task redraws the same bins. Segments over 50 blocks draw whole blocks instead. The pool
+    of bins is written first: its true size then decides whether the join broadcasts it, and if so
+    the draws stay in the partition of their segment up to the last sum.
     """
     fine = numbered_bins(bins).select("sample", "idx", "obs", "expected")
     size = fine.groupBy("sample").agg(F.count("*").alias("n_fine"))
@@ -433,11 +436,13 @@ def resampled_significance(segments: DataFrame, bins: DataFrame, draws: int = 10
     s = segments.join(size, "sample").withColumn("_coarse", long).withColumn(
         "_m", F.when(long, F.expr(f"bin_num div {block}")).otherwise(F.col("bin_num"))).withColumn(
         "_n", F.when(long, F.col("n_coarse")).otherwise(F.col("n_fine")))
+    s = spread(s, "sample", "seg_id")
     d = s.select("sample", "seg_id", "_coarse", "_n", "_m", F.explode(F.sequence(F.lit(1), F.lit(max(draws, 20)))).alias("draw"))
     d = d.select("sample", "seg_id", "_coarse", "_n", "draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).alias("_k"))
     mix = F.col("seg_id") * 7368787 + F.col("draw") * 1299709 + F.col("_k") * 15485863
     d = d.withColumn("idx", F.pmod(F.pmod(mix, F.lit(2147483647)) * 48271, F.lit(2147483647)) % F.col("_n"))
-    pool = fine.withColumn("_coarse", F.lit(False)).unionByName(coarse_bins(fine, block).withColumn("_coarse", F.lit(True)))
+    pool = materialise(fine.withColumn("_coarse", F.lit(False)).unionByName(
+        coarse_bins(fine, block).withColumn("_coarse", F.lit(True))), "resample-pool")
     drawn = d.join(pool, ["sample", "_coarse", "idx"]).groupBy("sample", "seg_id", "draw").agg(
         F.sum("obs").alias("o"), F.sum("expected").alias("e"))
     freq = F.col("o") / (F.col("o") + F.col("e") + EPS)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karyospark.schema import AUTOSOMES, bin_grid
+from karyospark.schema import AUTOSOMES, CHROMOSOME_LENGTHS
+from karyospark.session import spread
 
 
 def by_sample():
@@ -26,10 +29,8 @@ def is_autosome() -> Column:
 
 def sample_grid(samples: DataFrame, bin_size: int) -> DataFrame:
     """Every bin of the genome for every sample, by unfolding each sample row (no cross join)."""
-    grid = bin_grid(samples.sparkSession, bin_size).groupBy("chrom").agg(F.max("bin").alias("last"))
-    last = {r["chrom"]: r["last"] for r in grid.collect()}  # 24 rows
-    tracks = F.array(*[F.struct(F.lit(c).alias("chrom"), F.lit(n).cast("bigint").alias("last"))
-                       for c, n in last.items()])
+    tracks = F.array(*[F.struct(F.lit(c).alias("chrom"), F.lit(n // bin_size - 1).cast("bigint").alias("last"))
+                       for c, n in CHROMOSOME_LENGTHS.items() if n >= bin_size])
     return (samples.select("sample", F.explode(tracks).alias("t"))
             .select("sample", "t.chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t.last"))).alias("bin")))
 
@@ -42,7 +43,7 @@ def count_reads(reads: DataFrame, bin_size: int, samples: DataFrame | None = Non
     last = F.greatest(F.expr(f"(`end` - 1) div {bin_size}"), F.expr(f"pos div {bin_size}"))
     hits = reads.select("sample", "chrom", F.explode(F.sequence(F.expr(f"pos div {bin_size}"), last)).alias("bin"))
     counts = hits.groupBy("sample", "chrom", "bin").agg(F.count("*").alias("n"))
-    who = samples if samples is not None else counts.select("sample").distinct()
+    who = samples if samples is not None else reads.select("sample").distinct()
     return (sample_grid(who, bin_size).join(counts, ["sample", "chrom", "bin"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))
 
@@ -54,16 +55,27 @@ def frequency(bins: DataFrame, bin_size: int, value: str = "value") -> DataFrame
             .withColumn("frequency", F.col(value) / F.col("_total") * bin_size).drop("_total"))
 
 
+def _xy_ratio(value: str, over: Callable[[Column], Column]) -> Column:
+    def total(chrom: str, column: Column) -> Column:
+        return over(F.sum(F.when(F.col("chrom") == chrom, column)))
+
+    v, one = F.col(value), F.lit(1)
+    ratio = (total("Y", v) * total("X", one)) / (total("X", v) * total("Y", one))
+    return F.when((total("X", v) > 0) & (total("Y", one) > 0), ratio).otherwise(0.0)
+
+
+def _sex() -> Column:
+    return F.when(F.col("xy_ratio") > XY_MALE, "male").otherwise("female")
+
+
 def sample_sex(bins: DataFrame, value: str) -> DataFrame:
-    """xy_ratio = mean Y over mean X (0 without X signal) and the sex it implies."""
-    def part(chrom: str, column: Column) -> Column:
-        return F.sum(F.when(F.col("chrom") == chrom, column))
+    """One row per sample: xy_ratio = mean Y over mean X (0 without X signal) and the sex it implies."""
+    return bins.groupBy("sample").agg(_xy_ratio(value, lambda c: c).alias("xy_ratio")).withColumn("sex", _sex())
+
 
-    one = F.lit(1)
-    ratio = (part("Y", F.col(value)) * part("X", one)) / (part("X", F.col(value)) * part("Y", one))
-    agg = bins.groupBy("sample").agg(
-        F.when((part("X", F.col(value)) > 0) & (part("Y", one) > 0), ratio).otherwise(0.0).alias("xy_ratio"))
-    return agg.withColumn("sex", F.when(F.col("xy_ratio") > XY_MALE, "male").otherwise("female"))
+def with_sex(bins: DataFrame, value: str) -> DataFrame:
+    """The same as columns of every bin; rows partitioned by sample need no further shuffle."""
+    return bins.withColumn("xy_ratio", _xy_ratio(value, lambda c: c.over(by_sample()))).withColumn("sex", _sex())
 
 
 def proportion(bins: DataFrame, bin_size: int, value: str = "value", masked: str | None = None) -> DataFrame:
@@ -72,7 +84,7 @@ def proportion(bins: DataFrame, bin_size: int, value: str = "value", masked: str
     Masked bins count as 0. Windows over (sample) and then (sample, chrom) share one shuffle.
     """
     v = F.when(F.col(masked), 0.0).otherwise(F.col(value)) if masked else F.col(value).cast("double")
-    df = bins.repartition("sample").withColumn("_v", v)
+    df = spread(bins, "sample").withColumn("_v", v)
     df = df.withColumn("_all", F.sum(F.when(is_autosome(), F.col("_v")).otherwise(0.0)).over(by_sample()))
     df = df.withColumn("_own", F.when(is_autosome(), F.sum("_v").over(by_track())).otherwise(0.0))
     denom = F.col("_all") - F.col("_own")

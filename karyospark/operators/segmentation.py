@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from karyospark.operators.counts import by_track
+from karyospark.session import spread
 
 SEGMENT_SCHEMA = "sample string, chrom string, start_bin bigint, end_bin bigint, n_bins bigint, mean double"
 BIC_SCHEMA = "sample string, chrom string, start bigint, end bigint, bin_num bigint, obs double, expected double"
@@ -26,7 +27,7 @@ def run_caller(bins: DataFrame, caller: Callable[[pd.DataFrame, dict], pd.DataFr
                params: dict | None = None, by: tuple[str, ...] = ("sample",)) -> DataFrame:
     """Plug-in hook: a function of (one group's rows, parameters) returning rows of a declared schema."""
     settings = dict(params or {})
-    return bins.groupBy(*by).applyInPandas(lambda pdf: caller(pdf, settings), schema)
+    return spread(bins, *by).groupBy(*by).applyInPandas(lambda pdf: caller(pdf, settings), schema)
 
 
 # --- GC correction ----------------------------------------------------------------------------
@@ -80,7 +81,7 @@ def gc_lowess(bins: DataFrame, count: str = "n", min_count: float = 1e-4, frac:
         e = lowess_fit(pdf["gc"].to_numpy(), y, frac) if len(pdf) > 2 else np.zeros(len(pdf))
         return pdf[["sample", "chrom", "bin"]].assign(value=np.where(e > 0, y / np.where(e > 0, e, 1.0), y))
 
-    fixed = rows.groupBy("sample").applyInPandas(correct, "sample string, chrom string, bin bigint, value double")
+    fixed = run_caller(rows, lambda pdf, _: correct(pdf), "sample string, chrom string, bin bigint, value double")
     return bins.drop("value").join(fixed, ["sample", "chrom", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -115,7 +116,7 @@ def gc_loess_ratio(bins: DataFrame, count: str = "obs", sample_rows: int = 10_00
         at = np.clip(grid, x.min(), x.max())
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "cell": np.arange(cells), "y0": (c := loess_curve(x, y, at))[:-1], "y1": c[1:]})
 
-    curve = rows.groupBy("sample").applyInPandas(fit, "sample string, cell bigint, y0 double, y1 double")
+    curve = run_caller(rows, lambda pdf, _: fit(pdf), "sample string, cell bigint, y0 double, y1 double")
     cell = F.least(F.floor(F.col("gc") * cells), F.lit(cells - 1).cast("bigint"))
     joined = bins.withColumn("cell", cell).join(curve, ["sample", "cell"])
     part = F.col("gc") * cells - F.col("cell")

@@ -21,9 +21,7 @@ def first_pass(reads: DataFrame, bin_size: int, mask: DataFrame | None = None) -
     else:
         flags = reference.per_bin(mask.select("chrom", "bin", "masked"), bin_size)
         bins = bins.join(flags, ["chrom", "bin"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
-    share = counts.proportion(bins, bin_size, masked="masked")
-    sex = counts.sample_sex(share, "proportion")
-    return share.join(sex, "sample")
+    return counts.with_sex(counts.proportion(bins, bin_size, masked="masked"), "proportion")
 
 
 def ratios(first: DataFrame, bin_size: int) -> DataFrame:

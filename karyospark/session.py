@@ -50,3 +50,12 @@ def materialise(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash-partition by keys into a fixed number of tasks.
+
+    For work that is heavy in CPU but light in bytes (long windows, grouped Python): left to
+    itself the adaptive planner would fold such small data into one task.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
