@@ -81,7 +81,7 @@ def type_label(label: Column) -> Column:
 def capped_level(text: Column) -> Column:
     """Copy-number text to one decimal, half up, clamped to 1..3; unreadable text gives 0."""
     level = F.round(text.try_cast("decimal(18,6)"), 1).cast("double")
-    return F.coalesce(F.least(F.greatest(level, F.lit(1.0)), F.lit(3.0)), F.lit(0.0))
+    return F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(1.0)), F.lit(3.0))).otherwise(0.0)
 
 
 def size_class(length: Column) -> Column:

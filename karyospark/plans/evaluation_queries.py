@@ -343,7 +343,7 @@ def _matrix_sql() -> str:
     cols = ", ".join(f"count(*) FILTER (sc = '{s}' AND lv = {round(c * 10)}) AS \"{s}_CN{c:.1f}\""
                      for s in calls.SIZE_CLASSES for c in calls.CN_LEVELS)
     return f"""SELECT sample, {cols} FROM (
-      SELECT 'T' || tag AS sample, CAST(round(least(greatest(round(TRY_CAST(raw AS DECIMAL(18,6)), 1), 1.0), 3.0) * 10) AS INTEGER) AS lv,
+      SELECT 'T' || tag AS sample, CASE WHEN raw <> 'n/a' THEN CAST(round(least(greatest(round(TRY_CAST(raw AS DECIMAL(18,6)), 1), 1.0), 3.0) * 10) AS INTEGER) END AS lv,
              CASE WHEN l < 20000000 THEN '0-20M' WHEN l < 40000000 THEN '20-40M' WHEN l < 80000000 THEN '40-80M' ELSE '>80M' END AS sc
       FROM (SELECT *, ("end" - start) * 100 AS l FROM cn_text)) GROUP BY sample"""
 

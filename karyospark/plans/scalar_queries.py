@@ -236,7 +236,8 @@ def _cn_text(spark, sf):
 
 
 @query("p30_p31_level_and_size", """
-    SELECT raw, coalesce(least(greatest(CAST(round(TRY_CAST(raw AS DECIMAL(18,6)), 1) AS DOUBLE), 1.0), 3.0), 0.0) AS level,
+    SELECT raw, CASE WHEN raw = 'n/a' THEN 0.0
+           ELSE least(greatest(CAST(round(TRY_CAST(raw AS DECIMAL(18,6)), 1) AS DOUBLE), 1.0), 3.0) END AS level,
            CASE WHEN len < 20000000 THEN '0-20M' WHEN len < 40000000 THEN '20-40M' WHEN len < 80000000 THEN '40-80M'
                 ELSE '>80M' END AS size_class, count(*) AS n
     FROM (SELECT raw, ("end" - start) * 200 AS len FROM cn_text) GROUP BY ALL""")
