@@ -409,10 +409,10 @@ def chi1_upper(z: Column) -> Column:
 
 
 def numbered_bins(bins: DataFrame) -> DataFrame:
-    """Bins of a sample numbered 0..n-1 in genome order, with n; one sample has a bounded number of bins."""
-    w = Window.partitionBy("sample")
-    return bins.withColumn("idx", F.row_number().over(w.orderBy("chrom_num", "start")).cast("bigint") - 1).withColumn(
-        "n_bins", F.count("*").over(w))
+    """Bins of a sample numbered 0..n-1 in genome order, with n; counted chromosome by chromosome."""
+    df = carry_forward(bins.withColumn("one", F.lit(1).cast("bigint")), ["sample"], "chrom_num", ["start"], ["one"])
+    n = bins.groupBy("sample").agg(F.count("*").alias("n_bins"))
+    return df.withColumn("idx", F.col("run_one") - 1).drop("one", "run_one").join(n, "sample")
 
 
 def coarse_bins(bins: DataFrame, block: int = 100) -> DataFrame:
@@ -452,21 +452,24 @@ def resampled_significance(segments: DataFrame, bins: DataFrame, draws: int = 10
     return out.withColumn("pvalue", chi1_upper(F.col("z"))).drop("mu", "sd")
 
 
-def region_significance(regions: DataFrame, bins: DataFrame) -> DataFrame:
+def region_significance(regions: DataFrame, bins: DataFrame, draws: int = 100_000) -> DataFrame:
     """Log2 ratio and p-value of region counts against every circular run of as many bins.
 
     Runs of n consecutive bins have only as many starts as there are bins, so instead of drawing
-    starts at random all of them are used. They depend on (sample, n) alone and are shared by the
-    regions with that n. Expected counts above 100 use the normal form, others the tail shares
-    with a slack of 0.01. A region without bins gets p = 1.
+    starts at random all of them are used, up to `draws`; a finer track uses as many hashed starts.
+    They depend on (sample, n) alone and are shared by the regions with that n. Expected counts
+    above 100 use the normal form, others the tail shares with a slack of 0.01. A region without
+    bins gets p = 1.
     """
     b = numbered_bins(bins)
     total = b.groupBy("sample").agg(F.sum("obs").alias("t_obs"), F.sum("expected").alias("t_exp"),
                                     F.max("n_bins").alias("n_all"))
-    w = Window.partitionBy("sample").orderBy("idx")
-    pre = b.select("sample", "idx", "n_bins", *[(F.sum(c).over(w) - F.col(c)).alias(f"p_{c}") for c in ("obs", "expected")])
+    run = carry_forward(b.select("sample", "idx", "n_bins", F.floor(F.col("idx") / 100_000).alias("_b"), "obs", "expected"),
+                        ["sample"], "_b", ["idx"], ["obs", "expected"])
+    pre = run.select("sample", "idx", "n_bins", *[(F.col(f"run_{c}") - F.col(c)).alias(f"p_{c}") for c in ("obs", "expected")])
     sizes = regions.filter("n > 0").select("sample", "n").distinct()
-    starts = sizes.join(pre, "sample").join(total.select("sample", "t_obs", "t_exp"), "sample")
+    chosen = F.pmod(F.col("idx") * 1_000_003, F.col("n_bins")) < draws
+    starts = sizes.join(pre.filter(chosen), "sample").join(total.select("sample", "t_obs", "t_exp"), "sample")
     stop = F.col("idx") + F.col("n") % F.col("n_bins")
     laps = F.floor(F.col("n") / F.col("n_bins"))
     starts = starts.withColumn("_stop", stop % F.col("n_bins")).withColumn("_wrap", F.floor(stop / F.col("n_bins")) + laps)

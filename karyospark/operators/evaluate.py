@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from karyospark.functions import calls
 from karyospark.operators.intervals import best_overlap, covered_length
+from karyospark.operators.quantiles import exact_quantiles
 
 CALL_KEY = ["experiment", "sample", "algorithm"]
 
@@ -169,10 +170,10 @@ def region_deviations(called: DataFrame, truth: DataFrame) -> DataFrame:
 
 def bands(dev: DataFrame, by: list[str], value: str = "deviation") -> DataFrame:
     """Mean and the central 20, 40, 60 and 80 % of a deviation."""
-    cuts = (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)
-    p = F.percentile(value, F.array(*[F.lit(c) for c in cuts]))
-    agg = dev.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"), p.alias("p"))
-    return agg.select(*by, "mean", *[F.col("p")[i].alias(f"p{int(c * 100)}") for i, c in enumerate(cuts)])
+    cuts = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
+    q = exact_quantiles(dev, by, value, cuts)
+    mean = dev.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
+    return mean.join(q, by).select(*by, "mean", *[F.col("q")[i].alias(f"p{int(c * 100)}") for i, c in enumerate(cuts)])
 
 
 def relative_histogram(dev: DataFrame, by: list[str], value: str = "relative") -> DataFrame:
@@ -250,8 +251,8 @@ def value_distribution(dev: DataFrame, by: list[str], value: str = "relative", l
                        classes: int = 20) -> tuple[DataFrame, DataFrame]:
     """Inputs of box and violin plots: quartiles with range, and histogram rows."""
     present = dev.filter(F.col(value).isNotNull())
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    box = present.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), q.alias("q")).select(
+    q = exact_quantiles(present, by, value, [0.25, 0.5, 0.75])
+    box = present.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")).join(q, by).select(
         *by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
     hist = present.groupBy(*by, F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(classes)).alias("class")).agg(
         F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karyospark.operators.counts import by_sample, by_track, is_autosome
+from karyospark.operators.quantiles import exact_quantiles
 from karyospark.schema import bin_count
 
 BROADCAST_ROWS = 500_000
@@ -105,8 +106,7 @@ def legacy_log2(case: DataFrame, stats: DataFrame, bin_size: int, value: str = "
 def box_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
     present = df.filter(F.col(value).isNotNull())
-    q = present.groupBy(*by).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    q = exact_quantiles(present, by, value, [0.25, 0.5, 0.75])
     fence = q.select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)

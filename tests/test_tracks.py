@@ -114,3 +114,19 @@ def test_outlier_cap_blocks_agree_with_one_block(spark):
             win = sorted(v for _, v in mine[max(0, c - 9):c + 11])
             if len(mine) > 20:
                 assert capped[p] == min(n, 5 * win[-(-95 * len(win) // 100) - 1])
+
+
+def test_exact_quantiles_with_a_hot_group(spark):
+    import numpy as np
+
+    from karyospark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(12)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", "c"]), float(np.round(rng.normal(), 2)) if i % 7 else 0.5) for i in range(900)]
+    rows += [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame([(str(k), v) for k, v in rows], "k string, v double")
+    cuts = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", cuts, splits=8).collect()}
+    for k in ("hot", "a", "b", "c", "one"):
+        v = [x for kk, x in rows if kk == k]
+        assert got[k][0] == len(v) and got[k][1] == pytest.approx(np.quantile(v, cuts))
+    assert "none" not in got
