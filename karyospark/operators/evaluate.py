@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from karyospark.functions import calls
 from karyospark.operators.intervals import best_overlap, covered_length
@@ -162,7 +163,19 @@ def truth_measured(ratios: DataFrame, measured: DataFrame) -> DataFrame:
 def region_deviations(called: DataFrame, truth: DataFrame) -> DataFrame:
     """Deviation per region, sign by region type; NULL where either side is missing."""
     t = truth.select("experiment", "sample", "region", "truth_cn")
-    df = called.join(t, ["experiment", "sample", "region"])
+    return _signed_by_type(called.join(t, ["experiment", "sample", "region"]))
+
+
+def region_deviations_measured(called: DataFrame, ratios: DataFrame, truth: str) -> DataFrame:
+    """The same against the measured truth, whose row sits beside the callers' rows of a region: one pass over `called`."""
+    w = Window.partitionBy("experiment", "sample", "region")
+    base = F.max(F.when(F.col("algorithm") == truth, F.struct("copy_number"))).over(w)
+    df = called.withColumn("_base", base).filter("_base IS NOT NULL").join(
+        ratios.select("experiment", "sample", "region", "ratio"), ["experiment", "sample", "region"])
+    return _signed_by_type(df.withColumn("truth_cn", F.col("ratio") * F.col("_base.copy_number")).drop("_base", "ratio"))
+
+
+def _signed_by_type(df: DataFrame) -> DataFrame:
     raw = F.col("copy_number") - F.col("truth_cn")
     df = df.withColumn("deviation", F.when(F.col("type") == "G", raw).otherwise(-raw))
     return df.withColumn("relative", relative(F.col("deviation"), F.col("truth_cn")))
@@ -172,8 +185,7 @@ def bands(dev: DataFrame, by: list[str], value: str = "deviation") -> DataFrame:
     """Mean and the central 20, 40, 60 and 80 % of a deviation."""
     cuts = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
     q = exact_quantiles(dev, by, value, cuts)
-    mean = dev.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
-    return mean.join(q, by).select(*by, "mean", *[F.col("q")[i].alias(f"p{int(c * 100)}") for i, c in enumerate(cuts)])
+    return q.select(*by, "mean", *[F.col("q")[i].alias(f"p{int(c * 100)}") for i, c in enumerate(cuts)])
 
 
 def relative_histogram(dev: DataFrame, by: list[str], value: str = "relative") -> DataFrame:
@@ -251,9 +263,8 @@ def value_distribution(dev: DataFrame, by: list[str], value: str = "relative", l
                        classes: int = 20) -> tuple[DataFrame, DataFrame]:
     """Inputs of box and violin plots: quartiles with range, and histogram rows."""
     present = dev.filter(F.col(value).isNotNull())
-    q = exact_quantiles(present, by, value, [0.25, 0.5, 0.75])
-    box = present.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")).join(q, by).select(
-        *by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    q = exact_quantiles(present, by, value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    box = q.select(*by, *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])
     hist = present.groupBy(*by, F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(classes)).alias("class")).agg(
         F.count("*").alias("n"))
     return box, hist

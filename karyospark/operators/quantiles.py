@@ -2,7 +2,8 @@
 
 The built-in exact percentile keeps all distinct values of a group in one buffer. Here equal
 values are counted first, an approximate sketch cuts each group into blocks of similar weight,
-and running counts carried from block to block find the values at the wanted ranks.
+and running counts carried from block to block find the values at the wanted ranks. The counted values
+are written once, as four later steps read them.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karyospark.operators.running import carry_forward
+from karyospark.session import materialise
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float], splits: int = 64) -> DataFrame:
-    """by..., n, q: array of the percentiles at `cuts` (linear interpolation); NULL values are left out."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    """by..., n, mean, q: array of the percentiles at `cuts` (linear interpolation); NULL values are left out."""
+    counted = materialise(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "quantiles")
     marks = [F.lit(i / splits) for i in range(1, splits)]
     edges = counted.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*marks), F.lit(1000)).alias("_edges"), F.sum("_n").alias("n"))
+        F.percentile_approx("_v", F.array(*marks), F.lit(1000)).alias("_edges"), F.sum("_n").alias("n"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
     block = F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(e < F.col("_v"), 1).otherwise(0))
     placed = counted.join(edges, by).withColumn("_block", block).drop("_edges")
     run = carry_forward(placed, by, "_block", ["_v"], ["_n"])
@@ -26,11 +30,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float],
         F.array(*[F.struct(F.lit(i).alias("i"), (F.floor((F.col("n") - 1) * F.lit(c)) + k).alias("r"), F.lit(k).alias("k"))
                   for k in (0, 1)]) for i, c in enumerate(cuts)]))
     here = F.filter(wanted, lambda t: (t["r"] >= F.col("run__n") - F.col("_n")) & (t["r"] < F.col("run__n")))
-    found = run.select(*by, "n", "_v", F.explode(here).alias("t"))
+    found = run.select(*by, "n", "mean", "_v", F.explode(here).alias("t"))
     cut = F.array(*[F.lit(c) for c in cuts])[F.col("i")]
     share = (F.col("n") - 1) * cut - F.floor((F.col("n") - 1) * cut)
-    per = found.groupBy(*by, "n", F.col("t.i").alias("i")).agg(
+    per = found.groupBy(*by, "n", "mean", F.col("t.i").alias("i")).agg(
         F.max(F.when(F.col("t.k") == 0, F.col("_v"))).alias("lo"), F.max(F.when(F.col("t.k") == 1, F.col("_v"))).alias("hi"))
     point = F.col("lo") + share * (F.coalesce("hi", "lo") - F.col("lo"))
-    return per.select(*by, "n", F.struct("i", point.alias("q")).alias("_p")).groupBy(*by, "n").agg(
+    return per.select(*by, "n", "mean", F.struct("i", point.alias("q")).alias("_p")).groupBy(*by, "n", "mean").agg(
         F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["q"]).alias("q"))

@@ -12,8 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from karyospark.operators.counts import by_track
@@ -30,6 +33,19 @@ def run_caller(bins: DataFrame, caller: Callable[[pd.DataFrame, dict], pd.DataFr
     return spread(bins, *by).groupBy(*by).applyInPandas(lambda pdf: caller(pdf, settings), schema)
 
 
+def run_solver(bins: DataFrame, solver: Callable[[dict, dict], dict], schema: str, params: dict | None,
+               by: tuple[str, ...]) -> DataFrame:
+    """As `run_caller` for the many small groups of (sample, chrom): columns as arrays, straight from Arrow."""
+    settings = dict(params or {})
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def on_table(table: pa.Table) -> pa.Table:
+        cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in table.column_names}
+        return pa.Table.from_pydict(solver(cols, settings), schema=fields)
+
+    return spread(bins, *by).groupBy(*by).applyInArrow(on_table, schema)
+
+
 # --- GC correction ----------------------------------------------------------------------------
 
 def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float = 0.1, robust_passes: int = 3) -> np.ndarray:
@@ -220,19 +236,20 @@ def cbs_breaks(x: np.ndarray, alpha: float, permutations: int, seed: int, min_wi
     return sorted(bounds)
 
 
-def cbs_caller(pdf: pd.DataFrame, params: dict) -> pd.DataFrame:
-    pdf = pdf.sort_values("bin")
-    x, b = pdf["log2_ratio"].to_numpy(), pdf["bin"].to_numpy()
+def cbs_solver(cols: dict, params: dict) -> dict:
+    order = np.argsort(cols["bin"])
+    x, b = cols["log2_ratio"][order], cols["bin"][order]
     cut = cbs_breaks(x, params["alpha"], params["permutations"], params["seed"])
-    rows = [(pdf["sample"].iloc[0], pdf["chrom"].iloc[0], int(b[i]), int(b[j - 1]), j - i, float(x[i:j].mean()))
-            for i, j in zip(cut, cut[1:])]
-    return pd.DataFrame(rows, columns=["sample", "chrom", "start_bin", "end_bin", "n_bins", "mean"])
+    spans = list(zip(cut, cut[1:]))
+    return {"sample": [cols["sample"][0]] * len(spans), "chrom": [cols["chrom"][0]] * len(spans),
+            "start_bin": [int(b[i]) for i, _ in spans], "end_bin": [int(b[j - 1]) for _, j in spans],
+            "n_bins": [j - i for i, j in spans], "mean": [float(x[i:j].mean()) for i, j in spans]}
 
 
 def cbs_segments(bins: DataFrame, alpha: float = 1e-5, permutations: int = 20_000, seed: int = 42) -> DataFrame:
     """Circular binary segmentation of every (sample, chrom) track of valid log2 ratios."""
     rows = cap_outliers(bins.filter("log2_ratio IS NOT NULL")).select("sample", "chrom", "bin", "log2_ratio")
-    return run_caller(rows, cbs_caller, SEGMENT_SCHEMA,
+    return run_solver(rows, cbs_solver, SEGMENT_SCHEMA,
                       {"alpha": alpha, "permutations": permutations, "seed": seed}, ("sample", "chrom"))
 
 
@@ -316,20 +333,19 @@ def bic_merge(obs: np.ndarray, exp: np.ndarray, price: float) -> list[int]:
     return [s[0] for s in segs] + [len(obs)]
 
 
-def _bic_group(keys: list[str], kind: str, penalty: str) -> Callable[[pd.DataFrame, dict], pd.DataFrame]:
-    def merge(pdf: pd.DataFrame, params: dict) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        cost = float(pdf[penalty].iloc[0]) * math.log(max(float(pdf["n_reads"].iloc[0]), 2.0))
-        names = params["roles"]
-        o, e = pdf[[r[0] for r in names]].to_numpy(float), pdf[[r[1] for r in names]].to_numpy(float)
-        at = np.array(bic_merge(o, e, cost * len(names))[:-1])
-        out = {k: [pdf[k].iloc[0]] * len(at) for k in keys}
-        out["start"] = pdf["start"].to_numpy()[at]
-        out["end"] = np.maximum.reduceat(pdf["end"].to_numpy(), at)
-        for c in ["bin_num", *[c for r in names for c in r]]:
-            out[c] = np.add.reduceat(pdf[c].to_numpy(), at)
-        out[penalty], out["n_reads"] = pdf[penalty].iloc[0], pdf["n_reads"].iloc[0]
-        return pd.DataFrame(out)
+def _bic_solver(keys: list[str], penalty: str) -> Callable[[dict, dict], dict]:
+    def merge(cols: dict, params: dict) -> dict:
+        cols = {k: v[np.argsort(cols["start"])] for k, v in cols.items()}
+        roles = params["roles"]
+        price = len(roles) * float(cols[penalty][0]) * math.log(max(float(cols["n_reads"][0]), 2.0))
+        o, e = (np.stack([cols[r[i]] for r in roles], axis=1) for i in (0, 1))
+        at = np.array(bic_merge(o, e, price)[:-1])
+        out = {k: [cols[k][0]] * len(at) for k in [*keys, penalty, "n_reads"]}
+        out["start"] = cols["start"][at]
+        out["end"] = np.maximum.reduceat(cols["end"], at)
+        for c in ["bin_num", *[c for r in roles for c in r]]:
+            out[c] = np.add.reduceat(cols[c], at)
+        return out
     return merge
 
 
@@ -353,8 +369,8 @@ def bic_segments(bins: DataFrame, roles: list[tuple[str, str]], group: str = "sa
     first = (f"{group} string, chrom string, block bigint, start bigint, end bigint, bin_num bigint, {tail}, "
              f"{penalty} double, n_reads double")
     second = first.replace(" block bigint,", "")
-    inside = run_caller(df, _bic_group([group, "chrom", "block"], first, penalty), first, {"roles": roles}, (group, "chrom", "block"))
-    return run_caller(inside.drop("block"), _bic_group([group, "chrom"], second, penalty), second, {"roles": roles}, (group, "chrom"))
+    inside = run_solver(df, _bic_solver([group, "chrom", "block"], penalty), first, {"roles": roles}, (group, "chrom", "block"))
+    return run_solver(inside.drop("block"), _bic_solver([group, "chrom"], penalty), second, {"roles": roles}, (group, "chrom"))
 
 
 def merge_close(segments: DataFrame, min_diff: float = 0.1) -> DataFrame:

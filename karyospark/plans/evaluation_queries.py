@@ -203,9 +203,7 @@ def _region_cn(spark, sf):
 
 
 def _region_dev(spark, sf):
-    cn = _region_cn(spark, sf)
-    truth = evaluate.truth_measured(scale_ratios(spark, sf), cn.filter(F.col("algorithm") == TRUTH))
-    return evaluate.region_deviations(cn, truth)
+    return evaluate.region_deviations_measured(_region_cn(spark, sf), scale_ratios(spark, sf), TRUTH)
 
 
 @query("a35_truth_flat", "SELECT experiment, sample, region, round(truth_cn, 6) AS truth_cn FROM truth2")
@@ -220,6 +218,14 @@ def _(spark, sf):
     return df.select("experiment", "sample", "region", r6(F.col("truth_cn")).alias("truth_cn"))
 
 
+@query("a34_region_deviation_flat_truth", """
+    SELECT c.experiment, c.sample, c.algorithm, c.region, round(CASE WHEN type = 'G' THEN copy_number - truth_cn
+           ELSE truth_cn - copy_number END, 6) + 0.0 AS deviation FROM region_cn c JOIN truth2 t USING (experiment, sample, region)""")
+def _(spark, sf):
+    df = evaluate.region_deviations(_region_cn(spark, sf), evaluate.truth_flat(scale_ratios(spark, sf)))
+    return df.select("experiment", "sample", "algorithm", "region", r6(F.col("deviation")).alias("deviation"))
+
+
 @query("a34_region_deviation", """
     SELECT experiment, sample, algorithm, region, round(deviation, 6) + 0.0 AS deviation, round(relative, 1) + 0.0 AS relative
     FROM region_dev""")
@@ -314,11 +320,11 @@ def _(spark, sf):
 
 @query("a40_mean_errors", """
     SELECT algorithm, region, round(avg(abs(deviation)), 9) AS mae, round(avg(abs(relative)), 9) AS mean_abs_relative,
-           round(avg(deviation * deviation), 9) AS mse FROM region_dev WHERE deviation IS NOT NULL GROUP BY ALL""")
+           round(avg(deviation * deviation), 5) AS mse FROM region_dev WHERE deviation IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     df = evaluate.mean_errors(_region_dev(spark, sf), ["algorithm", "region"])
     return df.select("algorithm", "region", F.round("mae", 9).alias("mae"),
-                     F.round("mean_abs_relative", 9).alias("mean_abs_relative"), F.round("mse", 9).alias("mse"))
+                     F.round("mean_abs_relative", 9).alias("mean_abs_relative"), F.round("mse", 5).alias("mse"))
 
 
 @query("a41_squared_deviation", """
