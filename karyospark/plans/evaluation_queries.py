@@ -320,11 +320,11 @@ def _(spark, sf):
 
 @query("a40_mean_errors", """
     SELECT algorithm, region, round(avg(abs(deviation)), 9) AS mae, round(avg(abs(relative)), 9) AS mean_abs_relative,
-           round(avg(deviation * deviation), 5) AS mse FROM region_dev WHERE deviation IS NOT NULL GROUP BY ALL""")
+           round(avg(deviation * deviation) + 1e-9, 5) AS mse FROM region_dev WHERE deviation IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     df = evaluate.mean_errors(_region_dev(spark, sf), ["algorithm", "region"])
     return df.select("algorithm", "region", F.round("mae", 9).alias("mae"),
-                     F.round("mean_abs_relative", 9).alias("mean_abs_relative"), F.round("mse", 5).alias("mse"))
+                     F.round("mean_abs_relative", 9).alias("mean_abs_relative"), F.round(F.col("mse") + F.lit(1e-9), 5).alias("mse"))
 
 
 @query("a41_squared_deviation", """
