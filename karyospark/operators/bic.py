@@ -224,21 +224,22 @@ def training_covariates(positions: DataFrame, chunks: DataFrame, fragment: int,
     return out.withColumns(cols).drop("tile", "lo", "seq", "_at")
 
 
-def gc_window(chunks: DataFrame, half: int, step: int) -> DataFrame:
-    """GC bases in the window of 2*half+1 around every `step`-th position, as prefix-sum differences."""
-    base = F.posexplode(F.split("seq", ""))
-    per = (chunks.filter(F.length("seq") > 0).select("chrom", "offset", base.alias("i", "ch"))
-           .select("chrom", (F.col("offset") + F.col("i")).alias("pos"),
-                   F.when(F.upper("ch").isin("G", "C"), 1).otherwise(0).alias("gc")))
-    run = running_totals(per, ["chrom"], "pos", ["gc"]).select("chrom", "pos", "run_gc")
-    length = run.groupBy("chrom").agg(F.max("pos").alias("_last"))
-    centre = run.join(length, "chrom").filter(
-        (F.col("pos") % step == 0) & (F.col("pos") > half) & (F.col("pos") + half <= F.col("_last")))
-    ends = centre.select("chrom", F.col("pos").alias("centre"), F.explode(F.array(
-        F.struct((F.col("pos") + half).alias("pos"), F.lit(1).alias("s")),
-        F.struct((F.col("pos") - half - 1).alias("pos"), F.lit(-1).alias("s")))).alias("e")).select("chrom", "centre", "e.*")
-    return ends.join(run, ["chrom", "pos"]).groupBy("chrom", F.col("centre").alias("pos")).agg(
-        F.sum(F.col("s") * F.col("run_gc")).alias("gc_count"))
+def gc_window(chunks: DataFrame, half: int, tile: int = 65536) -> DataFrame:
+    """GC bases in the 2*half+1 bases around every position that has a full window.
+
+    Only pieces of text are shuffled, into tiles with a halo; a tile is then unfolded where it is and
+    each window is the difference of two running counts.
+    """
+    t = sequence_tiles(chunks, tile, half + 1)
+    per = t.select("chrom", "tile", "lo", F.posexplode(F.split("seq", "")).alias("i", "ch"))
+    w = Window.partitionBy("chrom", "tile").orderBy("pos")
+    per = per.select("chrom", "tile", "lo", (F.col("lo") + F.col("i")).alias("pos"),
+                     F.when(F.upper("ch").isin("G", "C"), 1).otherwise(0).cast("bigint").alias("gc"))
+    run = per.withColumn("_c", F.sum("gc").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead, behind = F.lead("_c", half).over(w), F.coalesce(F.lag("_c", half + 1).over(w), F.lit(0))
+    run = run.withColumn("gc_count", ahead - behind)
+    return run.filter((F.floor(F.col("pos") / tile) == F.col("tile")) & (F.col("pos") >= half)
+                      & F.col("gc_count").isNotNull()).select("chrom", "pos", "gc_count")
 
 
 def hash_sample(df: DataFrame, number: Column, share: float, seed: int = 0) -> DataFrame:

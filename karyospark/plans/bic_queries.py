@@ -139,11 +139,15 @@ add_cte("contigs", """SELECT chrom, string_agg(seq, '' ORDER BY "offset") AS s,
 
 
 @query("w14_gc_windows", """
-    SELECT chrom, p AS pos, CAST(len(regexp_replace(substring(s, CAST(p - 49 AS BIGINT), 101), '[^GCgc]', '', 'g')) AS BIGINT) AS gc_count
-    FROM (SELECT chrom, s, len AS n, unnest(range(100, len, 100)) AS p FROM contigs)
-    WHERE p > 50 AND p + 50 <= n - 1""")
+    SELECT chrom, count(*) AS positions, CAST(sum(g) AS BIGINT) AS gc_sum, CAST(sum(g * (p % 1009)) AS BIGINT) AS mark FROM (
+      SELECT chrom, p, sum(CASE WHEN c IN ('G', 'C', 'g', 'c') THEN 1 ELSE 0 END) OVER w AS g, count(*) OVER w AS k
+      FROM (SELECT chrom, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS c
+            FROM (SELECT chrom, regexp_extract_all(s, '(?s).') AS l FROM contigs))
+      WINDOW w AS (PARTITION BY chrom ORDER BY p ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) WHERE k = 101 GROUP BY chrom""")
 def _(spark, sf):
-    return bic.gc_window(ref_chunks(spark, sf), 50, 100)
+    df = bic.gc_window(ref_chunks(spark, sf), 50)
+    return df.groupBy("chrom").agg(F.count("*").alias("positions"), F.sum("gc_count").alias("gc_sum"),
+                                   F.sum(F.col("gc_count") * (F.col("pos") % 1009)).alias("mark"))
 
 
 def _marked(spark, sf):
@@ -155,13 +159,14 @@ def _marked(spark, sf):
 
 @query("a55_training_covariates", """
     SELECT event_id, chrom, pos, round(length(regexp_replace(substring(s, pos - 19, 41), '[^GCgc]', '', 'g')) / 41.0::DOUBLE, 6) AS gc,
-           CASE WHEN upper(s[pos - 1]) = 'G' THEN 1 ELSE 0 END AS "G-2", CASE WHEN upper(s[pos]) = 'C' THEN 1 ELSE 0 END AS "C-1",
-           CASE WHEN upper(s[pos + 1]) = 'T' THEN 1 ELSE 0 END AS "T0", CASE WHEN upper(s[pos + 2]) = 'G' THEN 1 ELSE 0 END AS "G1"
+           CASE WHEN upper(s[pos - 1]) = 'G' THEN 1 ELSE 0 END AS g_m2, CASE WHEN upper(s[pos]) = 'C' THEN 1 ELSE 0 END AS c_m1,
+           CASE WHEN upper(s[pos + 1]) = 'T' THEN 1 ELSE 0 END AS t_0, CASE WHEN upper(s[pos + 2]) = 'G' THEN 1 ELSE 0 END AS g_1
     FROM (SELECT event_id, 'D' || (event_id // 10) AS chrom, (event_id * 7919) % 3000 AS pos FROM events) e
     JOIN contigs USING (chrom) WHERE pos >= 20 AND pos + 20 < len""")
 def _(spark, sf):
     df = bic.training_covariates(_marked(spark, sf), ref_chunks(spark, sf), 20, 2, tile=1024)
-    return df.select("event_id", "chrom", "pos", r6(F.col("gc")).alias("gc"), "G-2", "C-1", "T0", "G1")
+    return df.select("event_id", "chrom", "pos", r6(F.col("gc")).alias("gc"), F.col("G-2").alias("g_m2"),
+                     F.col("C-1").alias("c_m1"), F.col("T0").alias("t_0"), F.col("G1").alias("g_1"))
 
 
 @query("a56_hash_sample", """

@@ -346,7 +346,7 @@ def _(spark, sf):
 
 
 def _matrix_sql() -> str:
-    cols = ", ".join(f"count(*) FILTER (sc = '{s}' AND lv = {round(c * 10)}) AS \"{s}_CN{c:.1f}\""
+    cols = ", ".join(f"count(*) FILTER (sc = '{s}' AND lv = {round(c * 10)}) AS \"{s}_CN{round(c * 10)}\""
                      for s in calls.SIZE_CLASSES for c in calls.CN_LEVELS)
     return f"""SELECT sample, {cols} FROM (
       SELECT 'T' || tag AS sample, CASE WHEN raw <> 'n/a' THEN CAST(round(least(greatest(round(TRY_CAST(raw AS DECIMAL(18,6)), 1), 1.0), 3.0) * 10) AS INTEGER) END AS lv,
@@ -358,7 +358,8 @@ def _matrix_sql() -> str:
 def _(spark, sf):
     df = _cn_text(spark, sf).select(F.concat(F.lit("T"), "tag").alias("sample"), "raw", F.lit(0).alias("start"),
                                     ((F.col("end") - F.col("start")) * 100).alias("end"))
-    return evaluate.size_level_matrix(df, F.col("raw"))
+    out = evaluate.size_level_matrix(df, F.col("raw"))
+    return out.toDF(*[c.replace(".", "") for c in out.columns])
 
 
 @query("a43_p41_chromosome_means", "SELECT *, CASE WHEN c23 BETWEEN 1.8 AND 2.2 AND c24 < 0.2 THEN 'female' "

@@ -133,12 +133,13 @@ def _(spark, sf):
 
 
 @query("j19_o03_result_listing", """
-    SELECT result_id, sample_name, algorithm_name, version, created_at,
+    SELECT result_id, sample_name, algorithm_name, version, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
            row_number() OVER (PARTITION BY sample_id ORDER BY created_at DESC, result_id DESC) AS newest FROM listing""")
 def _(spark, sf):
     w = Window.partitionBy("sample_id").orderBy(F.desc("created_at"), F.desc("result_id"))
     df = _listing(spark, sf).withColumn("newest", F.row_number().over(w).cast("bigint"))
-    return df.select("result_id", "sample_name", "algorithm_name", "version", "created_at", "newest")
+    return df.select("result_id", "sample_name", "algorithm_name", "version",
+                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "newest")
 
 
 @query("j20_result_detail", """

@@ -326,7 +326,7 @@ def _(spark, sf):
 
 
 @query("p44_sample_defaults", """
-    SELECT id, genome, cell_type, CAST(day AS DATE) AS day FROM (
+    SELECT id, genome, cell_type, strftime(day, '%Y-%m-%d') AS day FROM (
       SELECT id, CASE WHEN id % 3 = 0 THEN 'hg19' ELSE reference_genome END AS genome,
              CASE WHEN id % 4 = 0 THEN 'Other' ELSE cell_type END AS cell_type,
              DATE '2024-01-01' + CAST(id % 365 AS INTEGER) AS day FROM samples)""")
@@ -337,4 +337,4 @@ def _(spark, sf):
     kinds = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Other"]
     text = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int")), "yyyy-MM-dd")
     return df.select("id", numeric.one_of(genome, ["hg19", "hg38"], "hg19").alias("genome"),
-                     numeric.one_of(cell, kinds, "Other").alias("cell_type"), numeric.iso_date(text).alias("day"))
+                     numeric.one_of(cell, kinds, "Other").alias("cell_type"), numeric.iso_date(text).cast("string").alias("day"))
