@@ -117,13 +117,12 @@ def loess_curve(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75
 def gc_loess_ratio(bins: DataFrame, count: str = "obs", sample_rows: int = 10_000, cells: int = 100) -> DataFrame:
     """(count+0.1) over a loess of log(count+0.1) on GC, per sample.
 
-    The fit uses at most `sample_rows` hashed rows plus the GC tails; it becomes a small curve
+    The fit uses about `sample_rows` hashed rows (all of a smaller track) plus the GC tails; it becomes a small curve
     that is joined and interpolated on all rows, which never go to Python.
     """
-    q = bins.groupBy("sample").agg(F.percentile("gc", F.array(F.lit(0.001), F.lit(0.999))).alias("q"))
-    pick = Window.partitionBy("sample").orderBy(F.xxhash64("sample", "chrom", "start"))
-    rows = (bins.join(q, "sample").withColumn("_r", F.row_number().over(pick))
-            .filter((F.col("_r") <= sample_rows) | (F.col("gc") < F.col("q")[0]) | (F.col("gc") > F.col("q")[1]))
+    q = bins.groupBy("sample").agg(F.percentile("gc", F.array(F.lit(0.001), F.lit(0.999))).alias("q"), F.count("*").alias("_n"))
+    drawn = F.pmod(F.xxhash64("sample", "chrom", "start"), F.col("_n")) < sample_rows
+    rows = (bins.join(q, "sample").filter(drawn | (F.col("gc") < F.col("q")[0]) | (F.col("gc") > F.col("q")[1]))
             .select("sample", F.col("gc").cast("double"), F.log(F.col(count) + F.lit(0.1)).alias("y")))
     grid = np.linspace(0.0, 1.0, cells + 1)
 
@@ -409,36 +408,45 @@ MODEL_SCHEMA = ("sample string, n int, start int, alpha double, xi double, p arr
                 "var array<double>, loglik double, bic double")
 
 
-def fit_tied_mixture(x: np.ndarray, w: np.ndarray, n: int, rng, passes: int = 200) -> dict:
-    """EM for normal components with means i/2 + alpha*(1-i/2) + xi and one variance, on weighted points."""
+def fit_tied_mixture(x: np.ndarray, w: np.ndarray, n: int, rng, equal_variance: bool = True, passes: int = 200,
+                     faint: float = 1e-4) -> dict:
+    """EM for normal components with means i/2 + alpha*(1-i/2) + xi, on weighted points.
+
+    One variance, or one per component. Components fainter than `faint` are dropped on the way, so a
+    model with too many components reduces itself.
+    """
     i = np.arange(n) / 2.0
-    alpha, xi = rng.uniform(0.0, 0.6), 0.0
-    var, p = float(np.average((x - np.average(x, weights=w)) ** 2, weights=w)) / max(n, 1) + 1e-4, np.full(n, 1.0 / n)
-    last = -np.inf
+    alpha, xi, last = rng.uniform(0.0, 0.6), 0.0, -np.inf
+    var = np.full(n, float(np.average((x - np.average(x, weights=w)) ** 2, weights=w)) / n + 1e-4)
+    p = rng.dirichlet(np.full(n, 5.0))
     for _ in range(passes):
         mu = i + alpha * (1 - i) + xi
-        dens = p * np.exp(-((x[:, None] - mu) ** 2) / (2 * var)) / math.sqrt(2 * math.pi * var)
+        dens = p * np.exp(-((x[:, None] - mu) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var)
         total = dens.sum(axis=1) + 1e-300
         ll = float((w * np.log(total)).sum())
         if ll - last < 1e-6 * abs(ll):
             break
         last = ll
         r = w[:, None] * dens / total[:, None]
-        p = r.sum(axis=0) / w.sum()
-        # Weighted least squares of x - i on (1 - i) and 1 gives alpha and xi.
         m = r.sum(axis=0)
-        y = (r * (x[:, None] - i)).sum(axis=0)
-        a = np.array([[(m * (1 - i) ** 2).sum(), (m * (1 - i)).sum()], [(m * (1 - i)).sum(), m.sum()]]) + 1e-9 * np.eye(2)
-        alpha, xi = np.linalg.solve(a, [(y * (1 - i)).sum(), y.sum()])
-        alpha = float(np.clip(alpha, 0.0, 0.999))
-        xi = float((y - m * alpha * (1 - i)).sum() / m.sum())
-        mu = i + alpha * (1 - i) + xi
-        var = max(float((r * (x[:, None] - mu) ** 2).sum() / w.sum()), 1e-6)
-    return {"alpha": alpha, "xi": xi, "p": p.tolist(), "mu": mu.tolist(), "var": [var] * n, "loglik": last}
-
-
-def mixture_models(ratios: DataFrame, components: range = range(3, 9), starts: int = 10, cell: float = 0.01,
-                   value: str = "ratio", top: float = 8.0) -> DataFrame:
+        p = np.where(m / w.sum() < faint, 0.0, m)
+        p = p / p.sum()
+        # Weighted least squares of x - i on (1 - i) and 1 gives alpha and xi.
+        q, y = m / var, (r * (x[:, None] - i)).sum(axis=0) / var
+        a = np.array([[(q * (1 - i) ** 2).sum(), (q * (1 - i)).sum()], [(q * (1 - i)).sum(), q.sum()]]) + 1e-9 * np.eye(2)
+        alpha = float(np.clip(np.linalg.solve(a, [(y * (1 - i)).sum(), y.sum()])[0], 0.0, 0.999))
+        xi = float((y - q * alpha * (1 - i)).sum() / q.sum())
+        spread_sq = (r * (x[:, None] - (i + alpha * (1 - i) + xi)) ** 2).sum(axis=0)
+        pooled = max(float(spread_sq.sum() / w.sum()), 1e-6)
+        var = np.full(n, pooled) if equal_variance else np.where(p > 0, np.maximum(spread_sq / np.maximum(m, 1e-9), 1e-6), pooled)
+    used = int((p > 0).sum())
+    free = used + 2 if equal_variance else 2 * used + 2
+    return {"alpha": alpha, "xi": xi, "p": p.tolist(), "mu": (i + alpha * (1 - i) + xi).tolist(), "var": var.tolist(),
+            "loglik": last, "bic": -2 * last + free * math.log(max(w.sum(), 2.0))}
+
+
+def mixture_models(ratios: DataFrame, components: range = range(3, 16), starts: int = 10, cell: float = 0.01,
+                   value: str = "ratio", top: float = 8.0, equal_variance: bool = True) -> DataFrame:
     """All candidate mixture models per sample, one row per (sample, components, start).
 
     Ratios become a histogram of at most top/cell + 1 cells on Spark (the last cell collects
@@ -451,16 +459,21 @@ def mixture_models(ratios: DataFrame, components: range = range(3, 9), starts: i
     jobs = hist.withColumn("n", F.explode(F.array(*[F.lit(k) for k in components]))).withColumn(
         "start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
 
-    def fit(pdf: pd.DataFrame, params: dict) -> pd.DataFrame:
-        n, start = int(pdf["n"].iloc[0]), int(pdf["start"].iloc[0])
-        pdf = pdf.sort_values("cell")
-        x, w = pdf["x"].to_numpy(), pdf["w"].to_numpy(dtype=float)
-        m = fit_tied_mixture(x, w, n, np.random.default_rng(start * 1009 + n))
-        used = sum(v > 0 for v in m["p"])
-        m["bic"] = -2 * m["loglik"] + (used + 2) * math.log(max(w.sum(), 2.0))
-        return pd.DataFrame([{"sample": pdf["sample"].iloc[0], "n": n, "start": start, **m}])
+    def fit(cols: dict, params: dict) -> dict:
+        n, start = int(cols["n"][0]), int(cols["start"][0])
+        order = np.argsort(cols["cell"])
+        m = fit_tied_mixture(cols["x"][order], cols["w"][order].astype(float), n, np.random.default_rng(start * 1009 + n),
+                             params["equal_variance"])
+        return {k: [v] for k, v in {"sample": cols["sample"][0], "n": n, "start": start, **m}.items()}
+
+    return run_solver(jobs, fit, MODEL_SCHEMA, {"equal_variance": equal_variance}, ("sample", "n", "start"))
+
+
+def copy_ratio_models(ratios: DataFrame, value: str = "ratio", **fit) -> DataFrame:
+    """Best model per sample after the outlier cut of 10 MAD around the median."""
+    from karyospark.operators.bic import mad_cut
 
-    return run_caller(jobs, fit, MODEL_SCHEMA, {}, ("sample", "n", "start"))
+    return best_model(mixture_models(mad_cut(ratios, ["sample"], value), value=value, **fit))
 
 
 def best_model(models: DataFrame) -> DataFrame:

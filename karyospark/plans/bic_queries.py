@@ -217,7 +217,7 @@ def _ratios(spark, sf):
 
 @query("a61_a62_mixture_models")
 def _(spark, sf):
-    m = segmentation.best_model(segmentation.mixture_models(_ratios(spark, sf), range(3, 6), starts=3))
+    m = segmentation.copy_ratio_models(_ratios(spark, sf))
     return m.select("sample", "n", "alpha", "xi", "bic", "ploidy", "D", "omega", "impurity")
 
 

@@ -121,8 +121,10 @@ def test_mixture_recovers_tied_means(spark):
     mus = [i / 2 + alpha * (1 - i / 2) + xi for i in range(4)]
     x = np.concatenate([rng.normal(m, 0.04, k) for m, k in zip(mus, (100, 400, 2000, 500))])
     df = spark.createDataFrame([("s", float(v)) for v in x], "sample string, ratio double")
-    m = sg.best_model(sg.mixture_models(df, range(3, 6), starts=4)).first()
-    assert m.ploidy == 2 and abs(m.alpha - alpha) < 0.08 and abs(m.mu[2] - mus[2]) < 0.05
+    for equal in (True, False):
+        m = sg.copy_ratio_models(df, components=range(3, 7), starts=4, equal_variance=equal).first()
+        assert m.ploidy == 2 and abs(m.alpha - alpha) < 0.08 and abs(m.mu[2] - mus[2]) < 0.05
+        assert sum(v > 0 for v in m.p) == 4
 
 
 def test_gc_loess_ratio_is_flat(spark):
