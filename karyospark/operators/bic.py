@@ -261,21 +261,37 @@ def hinge_columns(gc: Column, knots: list[float]) -> dict[str, Column]:
 KNOTS = [0.3, 0.4, 0.5, 0.6, 0.7]
 
 
-def fit_bias(train: DataFrame, factors: list[str], knots: list[float] = KNOTS):
-    """Poisson regression of counts on a GC spline and base indicators; returns (model, inputs, theta)."""
+def fit_bias(train: DataFrame, factors: list[str], knots: list[float] = KNOTS, negative_binomial: bool = False,
+             rounds: int = 4):
+    """Poisson regression of counts on a GC spline and base indicators; returns (model, inputs, theta).
+
+    The negative-binomial form solves the same score equations with weights 1/(1+rate/theta), so it
+    is the Poisson fit repeated with the weights of the round before.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     basis = hinge_columns(F.col("gc"), knots)
     df = train.withColumns(basis)
     inputs = [*basis, *factors]
-    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", regParam=1e-6, maxIter=25)
-    model = glm.fit(VectorAssembler(inputCols=inputs, outputCol="features").transform(df).select("n", "features"))
-    rate = linear_rate(model, inputs)
-    s = df.select((F.col("n") / rate).alias("r"), rate.alias("m")).agg(
-        F.var_samp("r").alias("v"), F.avg("m").alias("m"), F.avg(F.col("m") * F.col("m")).alias("m2")).first()
-    inverse = max((s["v"] * s["m2"] - s["m"]) / (s["m"] ** 2), 0.1)
-    return model, inputs, 1.0 / inverse
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features")
+
+    def fit(weight: Column):
+        glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", weightCol="_w", regParam=1e-6, maxIter=25)
+        return glm.fit(vectors.transform(df.withColumn("_w", weight)).select("n", "features", "_w"))
+
+    def dispersion(model) -> float:
+        rate = linear_rate(model, inputs)
+        s = df.select((F.col("n") / rate).alias("r"), rate.alias("m")).agg(
+            F.var_samp("r").alias("v"), F.avg("m").alias("m"), F.avg(F.col("m") * F.col("m")).alias("m2")).first()
+        return 1.0 / max((s["v"] * s["m2"] - s["m"]) / (s["m"] ** 2), 0.1)
+
+    model = fit(F.lit(1.0))
+    theta = dispersion(model)
+    for _ in range(rounds if negative_binomial else 0):
+        model = fit(1 / (1 + linear_rate(model, inputs) / theta))
+        theta = dispersion(model)
+    return model, inputs, theta
 
 
 def linear_rate(model, inputs: list[str]) -> Column:
@@ -307,14 +323,45 @@ def ratio_outlier_cut(bins: DataFrame, by: list[str]) -> DataFrame:
     return df.join(q, by).filter(F.col("log_ratio").between(F.col("q")[0] - span, F.col("q")[1] + span)).drop("q")
 
 
-def fit_refine(bins: DataFrame, knots: list[float] = KNOTS):
-    """GC curve of the remaining log ratio; returns (model, inputs)."""
+def neutral_bins(bins: DataFrame, by: list[str], enough: float = 0.2) -> DataFrame:
+    """Bins of copy number 2 where 2 is the commonest or frequent enough, all bins elsewhere."""
+    per = bins.groupBy(*by, "copy_number").agg(F.count("*").alias("k")).groupBy(*by).agg(
+        F.max_by("copy_number", F.struct("k", -F.col("copy_number"))).alias("_ploidy"),
+        (F.sum(F.when(F.col("copy_number") == 2, F.col("k"))) / F.sum("k")).alias("_two"))
+    usable = (F.col("_ploidy") == 2) | (F.coalesce("_two", F.lit(0.0)) > enough)
+    return bins.join(per, by).filter(~usable | (F.col("copy_number") == 2)).drop("_ploidy", "_two")
+
+
+def fit_refine(bins: DataFrame, knots: list[float] = KNOTS, polynomial: bool = False, level: float = 0.05):
+    """GC curve of the remaining log ratio; returns (model, inputs).
+
+    The polynomial form drops terms without significance once and fits again.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    basis = hinge_columns(F.col("gc"), knots)
-    df = VectorAssembler(inputCols=list(basis), outputCol="features").transform(bins.withColumns(basis))
-    return LinearRegression(labelCol="log_ratio", regParam=1e-6).fit(df.select("log_ratio", "features")), list(basis)
+    basis = hinge_columns(F.col("gc"), [] if polynomial else knots)
+    df = bins.withColumns(basis)
+
+    def fit(inputs: list[str], penalty: float):
+        v = VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
+        return LinearRegression(labelCol="log_ratio", solver="normal", regParam=penalty).fit(v.select("log_ratio", "features"))
+
+    inputs = list(basis)
+    model = fit(inputs, 0.0 if polynomial else 1e-6)
+    if polynomial:
+        kept = [c for c, p in zip(inputs, model.summary.pValues) if p <= level]
+        if kept and len(kept) < len(inputs):
+            inputs, model = kept, fit(kept, 0.0)
+    return model, inputs
+
+
+def refine_term(model, inputs: list[str]) -> Column:
+    """Fitted curve as an expression over the basis columns, to be added to the log rate."""
+    term = F.lit(float(model.intercept))
+    for name, c in zip(inputs, model.coefficients):
+        term = term + F.col(name) * F.lit(float(c))
+    return term
 
 
 def noise_factor(bins: DataFrame, by: list[str]) -> DataFrame:

@@ -189,9 +189,7 @@ def _(spark, sf):
 def _(spark, sf):
     cut = bic.ratio_outlier_cut(bic_bins(spark, sf).filter("expected > 0"), ["sample"])
     model, inputs = bic.fit_refine(cut)
-    lin = F.lit(float(model.intercept))
-    for name, c in zip(inputs, model.coefficients):
-        lin = lin + F.col(name) * F.lit(float(c))
+    lin = bic.refine_term(model, inputs)
     grid = cut.groupBy(F.round("gc", 2).alias("gc")).agg(F.count("*").alias("bins"), F.avg("log_ratio").alias("mean_log_ratio"))
     return grid.withColumns(bic.hinge_columns(F.col("gc"), bic.KNOTS)).select("gc", "bins", "mean_log_ratio", lin.alias("curve"))
 
@@ -247,6 +245,17 @@ def _(spark, sf):
     return df.select("sample", "chrom", "bin", cn.cast("int").alias("copy_number"))
 
 
+@query("a59_neutral_bins", """
+    SELECT m.sample, chrom, bin FROM mix_copy m JOIN (
+      SELECT sample, arg_max(copy_number, k * 100 - copy_number) AS ploidy, coalesce(sum(k) FILTER (copy_number = 2), 0) / sum(k) AS two
+      FROM (SELECT sample, copy_number, count(*) AS k FROM mix_copy GROUP BY ALL) GROUP BY sample) p ON p.sample = m.sample
+    WHERE NOT (ploidy = 2 OR two > 0.2) OR copy_number = 2""")
+def _(spark, sf):
+    df = _literal_model(_ratios(spark, sf))
+    cn = bic.predicted_copy_number(F.col("ratio"), F.col("p"), F.col("mu"), F.col("var"))
+    return bic.neutral_bins(df.withColumn("copy_number", cn.cast("int")), ["sample"]).select("sample", "chrom", "bin")
+
+
 @query("a64_non_neutral_bins", "SELECT sample, chrom, bin, copy_number FROM mix_copy WHERE copy_number <> 2")
 def _(spark, sf):
     df = _literal_model(_ratios(spark, sf)).withColumn("ploidy", F.lit(2))

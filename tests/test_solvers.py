@@ -166,3 +166,19 @@ def test_covariates_match_slices(spark):
         assert [r["G-2"], r["C-1"], r["T0"], r["G1"]] == [int(seq[p - 2] == "G"), int(seq[p - 1] == "C"), int(seq[p] == "T"), int(seq[p + 1] == "G")]
     win = {r.pos: r.gc_count for r in bic.gc_window(chunks, 10, tile=64).collect()}
     assert win == {p: sum(c in "GC" for c in seq[p - 10:p + 11]) for p in range(10, 490)}
+
+
+def test_negative_binomial_and_polynomial_fits(spark):
+    rng = np.random.default_rng(13)
+    gc = rng.uniform(0.3, 0.7, 4000)
+    mu = np.exp(1.0 + 1.5 * gc)
+    n = rng.poisson(mu * rng.gamma(2.0, 0.5, 4000))
+    train = spark.createDataFrame([(float(g), float(c)) for g, c in zip(gc, n)], "gc double, n double")
+    model, inputs, theta = bic.fit_bias(train, [], knots=[0.5], negative_binomial=True)
+    got = bic.expected_rate(spark.createDataFrame([(0.5,)], "gc double"), model, inputs, [0.5]).first().rate
+    assert got == pytest.approx(math.exp(1.75), rel=0.08) and 1.4 < theta < 2.8
+    bins = spark.createDataFrame([(float(g), float(0.3 - 0.8 * g + e)) for g, e in zip(gc, rng.normal(0, 0.02, 4000))], "gc double, log_ratio double")
+    for polynomial in (False, True):
+        model, inputs = bic.fit_refine(bins, polynomial=polynomial)
+        at = spark.createDataFrame([(0.4,)], "gc double").withColumns(bic.hinge_columns(F.col("gc"), bic.KNOTS))
+        assert at.select(bic.refine_term(model, inputs).alias("o")).first().o == pytest.approx(-0.02, abs=0.02)
