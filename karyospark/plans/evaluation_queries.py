@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from karyospark.functions import calls, numeric
 from karyospark.operators import evaluate
-from karyospark.plans.projections import add_cte, bic_bins, regions, result_segments, scale_ratios, segments, table
+from karyospark.plans.projections import add_cte, bic_bins, regions, scale_ratios, segments
 from karyospark.plans.registry import query
 from karyospark.plans.scalar_queries import _cn_text
 from karyospark.plans.track_queries import r6

@@ -145,7 +145,6 @@ add_cte("thinned", """
     LEFT JOIN (SELECT sample, count(*) AS o0, count(*) FILTER (kept) AS k0 FROM thinned WHERE region = 0 GROUP BY ALL) z
     USING (sample) WHERE region > 0""")
 def _(spark, sf):
-    from karyospark.operators.counts import by_sample
     df = _read_regions(spark, sf)
     top = df.groupBy("sample").agg(F.max("cn").alias("top"))
     df = df.join(top, "sample")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from karyospark.plans import projections as pj
 from karyospark.plans.projections import (
-    READ_BIN, add_cte, reads, ref_chunks, regions, result_segments, samples, segments, table,
+    READ_BIN, add_cte, reads, regions, result_segments, samples, segments, table,
 )
 from karyospark.plans.registry import query
 from karyospark.plans.track_queries import KEY, _first, _log2, r6

@@ -310,17 +310,19 @@ def add_cte(name: str, sql: str) -> None:
 
 
 def with_ctes(sql: str) -> str:
-    """Prepend the projections that `sql` uses, directly or through others."""
-    needed: set[str] = set()
+    """Prepend the projections that `sql` uses, directly or through others, each after those it needs."""
+    seen: set[str] = set()
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
         for name, body in CTES.items():
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
-                needed.add(name)
+            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
                 visit(body)
+                ordered.append(name)
 
     visit(sql)
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS ({CTES[name]})" for name in ordered]
     own = sql.strip()
     if own[:5].upper() == "WITH ":
         return ("WITH " + ",\n".join(parts) + ",\n" + own[5:]) if parts else own

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karyospark.functions import calls
 from karyospark.operators import reports
 from karyospark.plans.projections import (
     add_cte, algorithms, annotations, parameters, result_segments, results, samples, segments, table,
