@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from karyospark.llm import licenses, url_filter
 from karyospark.llm.language import op8_language
 from karyospark.llm.packing import op1_packing
 from karyospark.llm.quality import op2_quality
 from karyospark.llm.token_files import op10_token_files
 from karyospark.llm.toxicity import op9_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_quality, op8_language, op9_toxicity, op10_token_files)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (
+    op1_packing, op2_quality, licenses.op3_licenses, url_filter.op6_url_filter, op8_language, op9_toxicity, op10_token_files)}
+SQL = {"op3_licenses": licenses.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
