@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from karyospark.llm import common, quality
 
 #: Labelled rows that a fit reads at most, and texts that must hold a word before it is learned.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 MIN_TEXTS = 4
 #: Least log-likelihood ratio between a word and the label; chance alone reaches it in about one of 10^6 words.
 LEAST_RATIO = 24.0
