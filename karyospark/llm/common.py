@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +69,19 @@ def binary(rows: list[bytes]) -> pa.Array:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def kept(docs: DataFrame, choose: Callable[[list[str]], list[bool] | np.ndarray], rows: int = 2000) -> DataFrame:
+    """The rows of ``docs`` whose text ``choose`` keeps, with all their columns; nulls are passed as empty texts."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, rows):
+            yield b.filter(pa.array(np.asarray(choose(texts(b.column("text"))), bool)))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

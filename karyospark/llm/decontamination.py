@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,17 +182,30 @@ def _scan(index: ItemIndex):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every verified place of a benchmark item in a document, one row each."""
+def item_blocks(benchmark: DataFrame, edit_share: float, block_chars: int) -> Iterator[ItemIndex]:
+    """The items, as many at a time as ``block_chars`` allows."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, out = max(1, -(-chars // block_chars)), None
+    blocks = max(1, -(-chars // block_chars))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        index = ItemIndex([(r.item_id, c) for r in rows if len(c := normalise(r.text))], edit_share)
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(index), LEAKS)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield ItemIndex([(r.item_id, c) for r in rows if len(c := normalise(r.text))], edit_share)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every verified place of a benchmark item in a document, one row each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(_scan(index), LEAKS) for index in item_blocks(benchmark, edit_share, block_chars)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    def clean(index: ItemIndex):
+        return lambda texts: [not index.leaks(t) for t in texts]
+
+    for index in item_blocks(benchmark, edit_share, block_chars):
+        docs = common.kept(docs, clean(index))
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,8 +312,8 @@ def links(docs: DataFrame, documents: DataFrame, groups: DataFrame, words: int =
     return paired.groupBy("label", "i", "j").applyInArrow(_product, "a long, b long")
 
 
-def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """uid, doc_id, n_shingles, key, component_id of every row; ``uid`` numbers the rows and ``key`` names their sets."""
     documents, postings = documents_and_postings(docs, words)
     verified = links(docs, documents, components(candidates(postings)), words)
     labels = components(verified)
@@ -323,8 +323,36 @@ def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rooted = common.written(rooted, "jaccard-classes")
     heads = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = common.written(rooted.join(heads, "root").select("key", "component_id"), "jaccard-components")
-    return documents.join(ids, "key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return documents.join(ids, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, linked).otherwise(F.col("doc_id")))
+
+
+def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return document_components(docs, words).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` with the least id of each component, with all their columns; rows without an id stay.
+
+    Of rows of one id and component, one stays; so does one of equal empty rows of one id.
+    """
+    winner, winner_key = common.free_name(docs, "winner_id"), common.free_name(docs, "winner_key")
+    found = document_components(docs, words).where("doc_id = component_id")
+    winners = common.written(found.groupBy("doc_id", "component_id").agg(F.min_by("key", "uid").alias(winner_key)).select(
+        F.col("doc_id").alias(winner), winner_key), "jaccard-winners")
+    count = winners.count()
+    joined = docs.join(common.small(winners, count), docs["doc_id"].cast("long") == winners[winner])
+
+    def same(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(it):
+            keys = [set_key(shingles(t, words)) for t in common.texts(b.column("text"))]
+            yield b.filter(pa.array([k == w for k, w in zip(keys, b.column(winner_key).to_pylist(), strict=True)], pa.bool_()))
+
+    stay = joined.mapInArrow(same, joined.schema).drop(winner_key)
+    repeated = stay.select(winner).count() > count
+    stay = stay.dropDuplicates([winner]) if repeated else stay
+    return stay.drop(winner).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

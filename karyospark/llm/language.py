@@ -135,19 +135,28 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, **how) -> Lan
     return fit(pairs, np.array([index[x] for x in data["lang"]], np.int64), languages, **how)
 
 
+def decide(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the best language (one past the last: none), its score, and whether it is accepted."""
+    best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
+    has = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model.languages else []
+    if has:
+        p = model.probabilities(np.array([subwords(texts[i]) for i in has]))
+        best[has], score[has] = p.argmax(1), p.max(1)
+    return best, score, (best < len(model.languages)) & (score >= model.accept)
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose language is told with the calibrated confidence, with all their columns."""
+    return common.kept(docs, lambda texts: decide(texts, model)[2], 100)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, accepted of every row."""
     names = np.array([*model.languages, "und"], object)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(it, 100):
-            texts = common.texts(b.column("text"))
-            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            has = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model.languages else []
-            if has:
-                p = model.probabilities(np.array([subwords(texts[i]) for i in has]))
-                best[has], score[has] = p.argmax(1), p.max(1)
-            accepted = (best < len(names) - 1) & (score >= model.accept)
+            best, score, accepted = decide(common.texts(b.column("text")), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(accepted)],
                                              ["doc_id", "lang_pred", "score", "accepted"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")

@@ -174,6 +174,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``least``, with all their columns."""
+    seen: dict[bytes, tuple[int, ...]] = {}  # each task has its own copy
+    return common.kept(docs, lambda texts: model.score(texts, seen) < least)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = train(docs, labels, common.fold(F.col("doc_id"), 5) != 0)
