@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def local_session(cpus: str | int = 8, app: str = "karyospark", memory: str = "12g") -> SparkSession:
@@ -30,13 +34,18 @@ def local_session(cpus: str | int = 8, app: str = "karyospark", memory: str = "1
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the cluster names it.
 
-    Only when the setting is absent (tests, one machine) a fresh temporary folder is used.
+    Only a local session may do without the setting (tests, one machine): it gets a fresh folder for its lifetime.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not path:
-        path = tempfile.mkdtemp(prefix="karyospark-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="karyospark-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
