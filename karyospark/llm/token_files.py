@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karyospark.llm import common, tokens
+from karyospark.session import scratch_path
 
 FILE_SCHEMA = "doc_id long, block int, local_start long, n_tokens long, ids array<int>"
 
@@ -108,6 +109,6 @@ def digests(spark: SparkSession, path: str, blocks: int) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = common.scratch(spark, "token-files")
+    path = scratch_path(spark, "token-files")
     blocks = write_tokens(common.table(spark, sf_dir, "documents"), path, tokens.vocabulary_path("byte_bpe_50k.json"))
     return digests(spark, path, blocks)
