@@ -78,6 +78,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: lis
     """From (buckets, counts) of each document, in a fixed order; every fifth document calibrates."""
     rng = np.random.default_rng(seed)
     k = len(languages)
+    if not k:
+        return LanguageModel([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, 0.0)
     embed = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, k)), np.zeros(k)
     held = np.arange(len(rows)) % 5 == 0

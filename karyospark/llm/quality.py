@@ -102,7 +102,7 @@ def fit(x: np.ndarray, y: np.ndarray, how: Boosting = Boosting()) -> Forest:
     """Boosted trees for the log loss. Ties between splits go to the lower feature, then the lower cut."""
     share = float(y.mean()) if len(y) else 0.5
     inner, leaves = 2**how.depth - 1, 2**how.depth
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         near = min(max(share, 1e-6), 1 - 1e-6)
         return Forest(float(np.log(near / (1 - near))), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, how.bins + 1)[1:-1])) for f in range(x.shape[1])]

@@ -117,7 +117,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, min_texts: int = MIN_TEXTS, l2: f
         families=IDENTITY) -> ToxicityModel:
     """Full-gradient Adam on the mean log loss per class, an l2 penalty and the counterfactual penalty."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         near = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel(float(np.log(near / (1 - near))), {})
     flat = np.concatenate(sets)
