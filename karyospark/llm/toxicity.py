@@ -87,17 +87,17 @@ class ToxicityModel:
         return common.sigmoid(np.array(out, float))
 
 
-def swaps(sets: list[np.ndarray], families=IDENTITY) -> dict[tuple[int, int], int]:
-    """(checksum of a term, checksum of its stand-in, or 0 if that is there already): texts with this swap."""
-    out: dict[tuple[int, int], int] = {}
+def swaps(sets: list[np.ndarray], families=IDENTITY) -> dict[tuple[str, str], int]:
+    """(a term, its stand-in, or nothing if that is there already): texts with this swap."""
+    out: dict[tuple[str, str], int] = {}
     for family in families:
-        terms = [zlib.crc32(t.encode()) for t in family]
+        sums = {t: zlib.crc32(t.encode()) for t in family}
         for s in sets:
-            there = [t for t in terms if s[min(int(np.searchsorted(s, t)), len(s) - 1)] == t] if len(s) else []
+            there = [t for t, c in sums.items() if s[min(int(np.searchsorted(s, c)), len(s) - 1)] == c] if len(s) else []
             for a in there:
-                for b in terms:
+                for b in family:
                     if b != a:
-                        key = (a, 0 if b in there else b)
+                        key = (a, "" if b in there else b)
                         out[key] = out.get(key, 0) + 1
     return out
 
@@ -124,24 +124,25 @@ def fit(sets: list[np.ndarray], y: np.ndarray, min_texts: int = MIN_TEXTS, l2: f
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     vocabulary, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     tied = _ratio(counts, np.bincount(inverse, y[row], len(vocabulary)), len(y), y.sum()) >= LEAST_RATIO
-    terms = np.array(sorted({zlib.crc32(t.encode()) for f in families for t in f}), np.uint32)
+    terms = np.array(sorted({c for f in families for t in f for c in features(t.encode())}), np.uint32)
     vocabulary = np.union1d(vocabulary[tied & (counts >= min_texts)], terms)
     at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
     known = vocabulary[at] == flat
     row, at = row[known], at[known]
     pairs = swaps(sets, families)
     place = {int(v): i for i, v in enumerate(vocabulary)}
-    a = np.array([place[k[0]] for k in pairs], np.int64)
-    b = np.array([place[k[1]] if k[1] else -1 for k in pairs], np.int64)
+    # the features that a swap takes away and brings, by pair
+    change = [(k, place[f], sign) for k, (a, b) in enumerate(pairs) for t, sign in ((a, 1.0), (b, -1.0)) if t for f in features(t.encode())]
+    pair, feature, sign = (np.array([c[i] for c in change], kind) for i, kind in enumerate((np.int64, np.int64, float)))
     n = np.array(list(pairs.values()), float) / len(sets)
     w, bias = np.zeros(len(vocabulary)), float(np.log(share / (1 - share)))
     m, v, size = np.zeros(len(w) + 1), np.zeros(len(w) + 1), len(w)
     for step in range(1, steps + 1):
         error = (common.sigmoid(np.bincount(row, w[at], len(sets)) + bias) - y) / len(sets)
         g = np.bincount(at, error[row], size) + l2 * w / len(sets)
-        if len(a):
-            change = w[a] - np.where(b >= 0, w[b], 0)
-            g += fairness * (np.bincount(a, n * change, size) - np.bincount(b[b >= 0], (n * change)[b >= 0], size))
+        if len(pair):
+            gap = n * np.bincount(pair, sign * w[feature], len(pairs))
+            g += fairness * np.bincount(feature, sign * gap[pair], size)
         grad = np.append(g, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1, 2 * (1 - step / (steps + 1)))
