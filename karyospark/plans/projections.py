@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karyospark.schema import CHROM_NUM, CHROMOSOME_LENGTHS, chromosome_dim
+from karyospark.schema import CHROM_NUM, CHROMOSOME_LENGTHS, DEFAULT_BIN_SIZE, chromosome_dim
 
-READ_BIN = 10_000_000
+READ_BIN = DEFAULT_BIN_SIZE
 BIC_BIN = 5_000_000
-PEOPLE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

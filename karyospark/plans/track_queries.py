@@ -248,7 +248,7 @@ def _(spark, sf):
     SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.bin, b.bin) AS bin,
            coalesce(a.masked, false) OR coalesce(b.masked, false) AS masked
     FROM base_filter a FULL JOIN (SELECT chrom, bin, count(*) < 280 AS masked FROM (
-        SELECT chrom, pos // 10000000 AS bin FROM reads) GROUP BY ALL) b ON a.chrom = b.chrom AND a.bin = b.bin""")
+        SELECT chrom, pos // 400000 AS bin FROM reads) GROUP BY ALL) b ON a.chrom = b.chrom AND a.bin = b.bin""")
 def _(spark, sf):
     sparse = reads(spark, sf).groupBy("chrom", F.expr(f"pos div {B}").alias("bin")).agg(
         (F.count("*") < 280).alias("masked"))

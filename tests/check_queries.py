@@ -66,7 +66,7 @@ def main() -> int:
 
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
-    spark = local_session(8)
+    spark = local_session(os.environ.get("CHECK_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
