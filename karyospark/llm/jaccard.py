@@ -124,7 +124,7 @@ def _doc_block(doc_block: int, docs: list[tuple[int | None, np.ndarray]], bits:
     ids = np.array([d if d is not None else -1 for d, _ in docs], "<i8")
     local = [ids.tobytes(), np.array([d is None for d, _ in docs]).tobytes(), np.array([len(g) for _, g in docs], "<u4").tobytes(), b"".join(keys),
              np.array(stand, "<i4").tobytes(), gram[many].astype("<u8").tobytes(), who[many].astype("<u2").tobytes()]
-    rows: list[tuple[int, list[bytes], bool]] = [(doc_block % (1 << bits), local, True)]
+    rows: list[tuple[int, list[bytes], bool]] = [(((doc_block >> 24) + doc_block) % (1 << bits), local, True)]
     for b in range(1 << bits):
         a, z, s, t = cuts[b], cuts[b + 1], several_cuts[b], several_cuts[b + 1]
         if z > a or t > s:
