@@ -500,11 +500,11 @@ def resampled_significance(segments: DataFrame, bins: DataFrame, draws: int = 10
     return out.withColumn("pvalue", chi1_upper(F.col("z"))).drop("mu", "sd")
 
 
-def region_significance(regions: DataFrame, bins: DataFrame, draws: int = 100_000) -> DataFrame:
+def region_significance(regions: DataFrame, bins: DataFrame) -> DataFrame:
     """Log2 ratio and p-value of region counts against every circular run of as many bins.
 
     Runs of n consecutive bins have only as many starts as there are bins, so instead of drawing
-    starts at random all of them are used, up to `draws`; a finer track uses as many hashed starts.
+    starts at random all of them are used, however fine the track.
     They depend on (sample, n) alone and are shared by the regions with that n. Expected counts
     above 100 use the normal form, others the tail shares with a slack of 0.01. A region without
     bins gets p = 1.
@@ -516,8 +516,7 @@ def region_significance(regions: DataFrame, bins: DataFrame, draws: int = 100_00
                         ["sample"], "_b", ["idx"], ["obs", "expected"])
     pre = run.select("sample", "idx", "n_bins", *[(F.col(f"run_{c}") - F.col(c)).alias(f"p_{c}") for c in ("obs", "expected")])
     sizes = regions.filter("n > 0").select("sample", "n").distinct()
-    chosen = F.pmod(F.col("idx") * 1_000_003, F.col("n_bins")) < draws
-    starts = sizes.join(pre.filter(chosen), "sample").join(total.select("sample", "t_obs", "t_exp"), "sample")
+    starts = sizes.join(pre, "sample").join(total.select("sample", "t_obs", "t_exp"), "sample")
     stop = F.col("idx") + F.col("n") % F.col("n_bins")
     laps = F.floor(F.col("n") / F.col("n_bins"))
     starts = starts.withColumn("_stop", stop % F.col("n_bins")).withColumn("_wrap", F.floor(stop / F.col("n_bins")) + laps)

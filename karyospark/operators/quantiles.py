@@ -15,13 +15,14 @@ from karyospark.operators.running import carry_forward
 from karyospark.session import materialise
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float], splits: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float], block: int = 100_000) -> DataFrame:
     """by..., n, mean, q: array of the percentiles at `cuts` (linear interpolation); NULL values are left out."""
     counted = materialise(
         df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "quantiles")
+    splits = max(16, -(-counted.count() // block))  # blocks of a group follow the data; the written table knows its rows
     marks = [F.lit(i / splits) for i in range(1, splits)]
     edges = counted.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*marks), F.lit(1000)).alias("_edges"), F.sum("_n").alias("n"),
+        F.percentile_approx("_v", F.array(*marks), F.lit(max(1000, 4 * splits))).alias("_edges"), F.sum("_n").alias("n"),
         (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"))
     block = F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(e < F.col("_v"), 1).otherwise(0))
     placed = counted.join(edges, by).withColumn("_block", block).drop("_edges")

@@ -101,35 +101,36 @@ def gc_lowess(bins: DataFrame, count: str = "n", min_count: float = 1e-4, frac:
     return bins.drop("value").join(fixed, ["sample", "chrom", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def loess_curve(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75) -> np.ndarray:
-    """Local quadratic, tricube weights, evaluated at given points."""
-    k = max(int(math.ceil(span * len(x))), min(len(x), 4))
+def loess_curve(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.75, count: np.ndarray | None = None) -> np.ndarray:
+    """Local quadratic, tricube weights, evaluated at given points; ``count`` says how many equal rows a point stands for."""
+    count = np.ones(len(x)) if count is None else count
+    need = max(span * count.sum(), min(count.sum(), 4.0))
     out = np.empty(len(at))
     for i, x0 in enumerate(at):
         d = np.abs(x - x0)
-        far = max(np.partition(d, k - 1)[k - 1], 1e-9)
-        w = np.clip(1 - (d / far) ** 3, 0, None) ** 1.5
+        near = np.argsort(d, kind="stable")
+        k = min(int(np.searchsorted(np.cumsum(count[near]), need - 1e-9)), len(x) - 1)
+        far = max(d[near[k]], 1e-9)
+        w = np.clip(1 - (d / far) ** 3, 0, None) ** 1.5 * np.sqrt(count)
         a = np.vander(x - x0, 3) * w[:, None]
         out[i] = np.linalg.lstsq(a, y * w, rcond=None)[0][-1]
     return out
 
 
-def gc_loess_ratio(bins: DataFrame, count: str = "obs", sample_rows: int = 10_000, cells: int = 100) -> DataFrame:
+def gc_loess_ratio(bins: DataFrame, count: str = "obs", cells: int = 100, fine: int = 2000) -> DataFrame:
     """(count+0.1) over a loess of log(count+0.1) on GC, per sample.
 
-    The fit uses about `sample_rows` hashed rows (all of a smaller track) plus the GC tails; it becomes a small curve
-    that is joined and interpolated on all rows, which never go to Python.
+    The fit sees all rows as a histogram of ``fine`` GC cells with their counts and means, whatever the size of the track; it
+    becomes a small curve that is joined and interpolated on all rows, which never go to Python.
     """
-    q = bins.groupBy("sample").agg(F.percentile("gc", F.array(F.lit(0.001), F.lit(0.999))).alias("q"), F.count("*").alias("_n"))
-    drawn = F.pmod(F.xxhash64("sample", "chrom", "start"), F.col("_n")) < sample_rows
-    rows = (bins.join(q, "sample").filter(drawn | (F.col("gc") < F.col("q")[0]) | (F.col("gc") > F.col("q")[1]))
-            .select("sample", F.col("gc").cast("double"), F.log(F.col(count) + F.lit(0.1)).alias("y")))
+    rows = bins.groupBy("sample", F.floor(F.col("gc") * fine).alias("_cell")).agg(
+        F.avg(F.col("gc").cast("double")).alias("gc"), F.avg(F.log(F.col(count) + F.lit(0.1))).alias("y"), F.count("*").alias("k")).drop("_cell")
     grid = np.linspace(0.0, 1.0, cells + 1)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["gc"].to_numpy(), pdf["y"].to_numpy()
         at = np.clip(grid, x.min(), x.max())
-        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "cell": np.arange(cells), "y0": (c := loess_curve(x, y, at))[:-1], "y1": c[1:]})
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "cell": np.arange(cells), "y0": (c := loess_curve(x, y, at, count=pdf["k"].to_numpy(float)))[:-1], "y1": c[1:]})
 
     curve = run_caller(rows, lambda pdf, _: fit(pdf), "sample string, cell bigint, y0 double, y1 double")
     cell = F.least(F.floor(F.col("gc") * cells), F.lit(cells - 1).cast("bigint"))

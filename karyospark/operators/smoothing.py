@@ -13,16 +13,18 @@ def nearest_valid(bins: DataFrame, k: int, how: str = "mean", value: str = "log2
                   out: str = "smoothed") -> DataFrame:
     """Mean or median of the k nearest valid bins, the left one winning ties; masked bins are filled too.
 
-    The k nearest of a bin are among the last k valid at or before it and the first k after it.
-    Both lists come from framed windows over the track, so no pairs are made.
+    The k nearest of a bin are among the last k valid at or before it and the first k after it. The lists are
+    made for valid bins only; a masked bin takes that of the valid bin before it, or of the first one, so a long masked run
+    costs no more than its length.
     """
     order = by_track().orderBy("bin")
-    item = F.when(F.col(value).isNotNull(), F.struct(F.col("bin").alias("b"), F.col(value).alias("v")))
-    df = bins.withColumn("_rank", F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Frames by the running number of valid bins: a value range of k holds exactly the lists we need.
-    by_rank = Window.partitionBy("sample", "chrom").orderBy("_rank")
-    df = df.withColumn("_near", F.collect_list(item).over(by_rank.rangeBetween(-k, k)))
+    valid = F.col(value).isNotNull()
+    item = F.when(valid, F.struct(F.col("bin").alias("b"), F.col(value).alias("v")))
+    kin = Window.partitionBy("sample", "chrom", valid).orderBy("bin").rowsBetween(-k, k)
+    df = bins.withColumn("_near", F.when(valid, F.collect_list(item).over(kin)))
+    before = F.last("_near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_near", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumn("_near", F.coalesce(before, after, F.array().cast("array<struct<b:bigint,v:double>>")))
     side = F.transform("_near", lambda x: F.struct(
         F.abs(x["b"] - F.col("bin")).alias("d"), F.when(x["b"] < F.col("bin"), 0).otherwise(1).alias("s"),
         x["v"].alias("v")))
@@ -34,7 +36,7 @@ def nearest_valid(bins: DataFrame, k: int, how: str = "mean", value: str = "log2
     else:
         ordered = F.array_sort(values)
         stat = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    return df.withColumn(out, F.when(n > 0, stat)).drop("_rank", "_near")
+    return df.withColumn(out, F.when(n > 0, stat)).drop("_near")
 
 
 def bilateral(bins: DataFrame, width: int, value: str = "log2_ratio", out: str = "smoothed",

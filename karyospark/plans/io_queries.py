@@ -107,7 +107,8 @@ def _(spark, sf):
     SELECT CAST(chrom_num AS VARCHAR) AS chrom, start, "end", region, type, mosaic FROM regions WHERE region_key % 6 > 1""")
 def _(spark, sf):
     k = F.col("region_key") % 6
-    full = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "start", "end", "region", "type", F.format_string("%.1f", "mosaic"))
+    kind = F.when(k % 2 == 0, F.lower("type")).otherwise(F.col("type"))  # types are read in any case
+    full = F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "start", "end", "region", kind, F.format_string("%.1f", "mosaic"))
     line = F.when(k == 0, F.concat(F.lit("# "), full)).when(k == 1, F.concat_ws("\t", "chrom", "start", "end")).otherwise(full)
     path = _lines(regions(spark, sf).select(line.alias("value")), "regions")
     return text.parse_regions(spark.read.text(path))[0]

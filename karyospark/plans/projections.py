@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from karyospark.schema import CHROM_NUM, CHROMOSOME_LENGTHS, DEFAULT_BIN_SIZE, chromosome_dim
 
 READ_BIN = DEFAULT_BIN_SIZE
-BIC_BIN = 5_000_000
+BIC_BIN = DEFAULT_BIN_SIZE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,7 +117,7 @@ def scale_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bic_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed and expected counts per 5 Mb bin, 1-based inclusive coordinates."""
+    """Observed and expected counts per bin, 1-based inclusive coordinates."""
     b = F.expr(f"pos div {BIC_BIN}")
     return (reads(spark, sf_dir).groupBy("sample", "chrom", "chrom_num", b.alias("bin"))
             .agg(F.count("*").alias("obs"), F.sum("weight").alias("weight"))

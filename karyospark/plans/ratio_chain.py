@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karyospark.functions import calls
-from karyospark.operators import counts, masks, reference
+from karyospark.operators import counts, masks, reference, segmentation
 
 
-def first_pass(reads: DataFrame, bin_size: int, mask: DataFrame | None = None) -> DataFrame:
-    """Counts, sex and leave-one-out proportions per bin; masked bins count as 0."""
+def first_pass(reads: DataFrame, bin_size: int, mask: DataFrame | None = None, gc: DataFrame | None = None) -> DataFrame:
+    """Counts, sex and leave-one-out proportions per bin; masked bins count as 0.
+
+    With a ``gc`` track (chrom, bin, gc) the counts are first divided by their LOWESS expectation.
+    """
     bins = counts.count_reads(reads, bin_size).withColumn("value", F.col("n").cast("double"))
     if mask is None:
         bins = bins.withColumn("masked", F.lit(False))
     else:
         flags = reference.per_bin(mask.select("chrom", "bin", "masked"), bin_size)
         bins = bins.join(flags, ["chrom", "bin"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+    if gc is not None:
+        bins = segmentation.gc_lowess(bins.join(reference.per_bin(gc.select("chrom", "bin", "gc"), bin_size), ["chrom", "bin"]))
     return counts.with_sex(counts.proportion(bins, bin_size, masked="masked"), "proportion")
 
 

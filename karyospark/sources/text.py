@@ -110,7 +110,7 @@ def parse_regions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     row = body.select("value", *[
         F.when(wide, F.get(f, F.lit(i))).alias(c) for i, c in enumerate(("chrom", "start", "end", "region", "type", "mosaic"))])
     row = row.select("value", to_number_text(F.col("chrom")).alias("chrom"), F.col("start").try_cast("bigint").alias("start"),
-                     F.col("end").try_cast("bigint").alias("end"), F.col("region").try_cast("int").alias("region"), "type",
+                     F.col("end").try_cast("bigint").alias("end"), F.col("region").try_cast("int").alias("region"), F.upper("type").alias("type"),
                      F.col("mosaic").try_cast("double").alias("mosaic"))
     ok = F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("region").isNotNull() & F.col("mosaic").isNotNull()
     return row.filter(ok).drop("value"), row.filter(~ok).select(F.col("value").alias("_corrupt"))

@@ -125,7 +125,7 @@ def test_exact_quantiles_with_a_hot_group(spark):
     rows += [("one", 3.0), ("none", None)]
     df = spark.createDataFrame([(str(k), v) for k, v in rows], "k string, v double")
     cuts = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", cuts, splits=8).collect()}
+    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", cuts, block=3).collect()}
     for k in ("hot", "a", "b", "c", "one"):
         v = [x for kk, x in rows if kk == k]
         assert got[k][0] == len(v) and got[k][1] == pytest.approx(np.quantile(v, cuts))
