@@ -41,12 +41,20 @@ def bounded_sample(ids: DataFrame, key: str, rows: int) -> DataFrame:
     return ids.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after the session's Arrow batches were cut to ``rows`` rows: whole texts of 10000 rows are too much for a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; nulls are empty."""
     return [t or "" for t in column.to_pylist()]
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``rows`` rows and about ``size`` bytes, so memory doesn't follow long texts."""
     for b in it:
         step = rows
@@ -64,12 +72,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def kept(docs: DataFrame, choose: Callable[[list[str]], list[bool] | np.ndarray], rows: int = 2000) -> DataFrame:
+def kept(docs: DataFrame, choose: Callable[[list[str]], list[bool] | np.ndarray], rows: int = 1000) -> DataFrame:
     """The rows of ``docs`` whose text ``choose`` keeps, with all their columns; nulls are passed as empty texts."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows):
             yield b.filter(pa.array(np.asarray(choose(texts(b.column("text"))), bool)))
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

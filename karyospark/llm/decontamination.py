@@ -194,7 +194,7 @@ def item_blocks(benchmark: DataFrame, edit_share: float, block_chars: int) -> It
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every verified place of a benchmark item in a document, one row each."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = common.in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return reduce(DataFrame.unionByName, [texts.mapInArrow(_scan(index), LEAKS) for index in item_blocks(benchmark, edit_share, block_chars)])
 
 

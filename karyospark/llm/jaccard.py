@@ -149,7 +149,7 @@ def incidence(docs: DataFrame, bits: int, words: int = WORDS) -> DataFrame:
                     number, held, size = number + 1, [], 0
         if held:
             yield _doc_block(number, held, bits)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TILE)
+    return common.in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TILE)
 
 
 def _answers(group: pa.Table) -> pa.Table:

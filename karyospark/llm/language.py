@@ -128,7 +128,7 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, **how) -> Lan
     """A model of the languages in ``docs.lang``, from at most ``rows`` ids that ``learn`` allows."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = common.bounded_sample(usable, "doc_id", rows)
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    sample = common.in_batches(usable).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
     counted = sample.mapInArrow(_counted, "doc_id long, lang string, at binary, n binary")
     data = counted.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pydict()
     languages = sorted(set(data["lang"]))
@@ -149,7 +149,7 @@ def decide(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarr
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` whose language is told with the calibrated confidence, with all their columns."""
-    return common.kept(docs, lambda texts: decide(texts, model)[2], 100)
+    return common.kept(docs, lambda texts: decide(texts, model)[2], 32)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -157,11 +157,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     names = np.array([*model.languages, "und"], object)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.batches(it, 100):
+        for b in common.batches(it, 32):
             best, score, accepted = decide(common.texts(b.column("text")), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(accepted)],
                                              ["doc_id", "lang_pred", "score", "accepted"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return common.in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

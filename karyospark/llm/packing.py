@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from karyospark.llm import common, tokens
 
+#: Words whose ids a worker remembers.
+WORD_MEMORY = 250_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, segment int, loss_tokens long")
 
@@ -166,7 +168,7 @@ class _Packer:
 
 def _pack(path: str, end_id: int, limits: Limits):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = tokens.encoder(path), _Packer(limits)
+        enc, packer = tokens.encoder(path, WORD_MEMORY), _Packer(limits)
         for b in common.batches(it, 500, 8 << 20):
             ids, parts = b.column("doc_id").to_pylist(), b.column("parts").to_pylist()
             flat = [p["text"] or "" for ps in parts for p in ps]
@@ -187,7 +189,7 @@ def pack(examples: DataFrame, vocabulary: str, end_id: int = 2, limits: Limits =
 
     A part's ids bear loss if ``loss`` is true; the end id takes after the last part.
     """
-    return examples.select("doc_id", "parts").mapInArrow(_pack(vocabulary, end_id, limits), PIECES)
+    return common.in_batches(examples.select("doc_id", "parts")).mapInArrow(_pack(vocabulary, end_id, limits), PIECES)
 
 
 def document_examples(docs: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def _training_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, how: Boosting = Boosting()) -> Forest:
     """Trees for ``labels.quality``. Equal texts count once per label."""
     sample = labelled(labels, "quality", learn, rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    got = common.in_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
     data = got.mapInArrow(_training_rows, "x binary, y int").distinct().limit(4 * rows).toArrow()
     x = np.array([np.frombuffer(r) for r in data.column("x").to_pylist()]).reshape(-1, len(STATISTICS))
     y = data.column("y").to_numpy().astype(float)
@@ -172,7 +172,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
         for b in common.batches(it):
             s = forest.score(_matrix(common.texts(b.column("text"))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return common.in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def with_fold(scored: DataFrame, folds: int, held: int) -> DataFrame:

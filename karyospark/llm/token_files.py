@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, l
     """Write the ids of every text under ``path``; returns the number of blocks."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // layout.text_bytes))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = common.in_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     dealt = rows.repartitionByRange(blocks, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     placed = dealt.select("doc_id", "text", F.spark_partition_id().alias("block"))
     writer = placed.mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA).write.mode("overwrite")

@@ -70,7 +70,7 @@ class ToxicityModel:
     bias: float
     weights: dict[int, float]  # by checksum of the word
 
-    def score(self, texts: list[str], seen: dict[bytes, tuple[int, ...]], memory: int = 500_000) -> np.ndarray:
+    def score(self, texts: list[str], seen: dict[bytes, tuple[int, ...]], memory: int = 100_000) -> np.ndarray:
         """Scores of texts. ``seen`` remembers up to ``memory`` words with the weighted features they have."""
         weights, out = self.weights, []
         for t in texts:
@@ -159,7 +159,7 @@ def _training_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, **how) -> ToxicityModel:
     """A model of ``labels.toxic``. Texts of the same words count once per label."""
     sample = quality.labelled(labels, "toxic", learn, rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    got = common.in_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
     data = got.mapInArrow(_training_rows, "x binary, y int").distinct().limit(4 * rows).toArrow().to_pydict()
     both = sorted(zip(data["x"], data["y"], strict=True))
     return fit([np.frombuffer(x, np.uint32) for x, _ in both], np.array([y for _, y in both], float), **how)
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in common.batches(it):
             s = model.score(common.texts(b.column("text")), seen)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return common.in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
