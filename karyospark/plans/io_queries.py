@@ -333,7 +333,18 @@ def _(spark, sf):
 
 @query("k06_xy_report", """SELECT sample AS "Sample", printf('%.6f', xy_ratio) AS "XY_ratio", sex AS "Gender" FROM sexes""")
 def _(spark, sf):
-    return sinks.xy_report(_first(spark, sf).select("sample", "xy_ratio", "sex").distinct())
+    report = sinks.xy_report(_first(spark, sf).select("sample", "xy_ratio", "sex").distinct())
+    return sinks.round_trip(report, scratch_path(spark, "xy") + ".tsv")
+
+
+@query("s23_run_log", """
+    SELECT experiment, count(*) / 4.0::DOUBLE AS elapsed_time FROM segments GROUP BY experiment""")
+def _(spark, sf):
+    times = segments(spark, sf).groupBy("experiment").agg((F.count("*") / F.lit(4.0)).alias("elapsed_time"))
+    path, even = scratch_path(spark, "run-log"), F.pmod(F.substring("experiment", 2, 10).cast("bigint"), F.lit(2)) == 0
+    for part in (even, ~even):  # two runs append to one log
+        sinks.append_run_log(times.where(part), path)
+    return spark.read.schema("experiment string, elapsed_time double").option("header", True).option("sep", "\t").csv(path)
 
 
 @query("w08_genome_coordinate", """

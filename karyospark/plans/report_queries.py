@@ -11,6 +11,8 @@ from karyospark.plans.projections import (
 )
 from karyospark.plans.registry import query
 from karyospark.plans.track_queries import r6
+from karyospark.session import scratch_path
+from karyospark.sources import sinks
 
 add_cte("result_sex", """
     SELECT result_id, y_mean, CASE WHEN y_mean IS NULL THEN 'unknown' WHEN y_mean < 0.3 THEN 'female' ELSE 'male' END AS sex
@@ -287,7 +289,7 @@ def _(spark, sf):
     SELECT result_id, chrom, start, "end", copy_number, printf('%.4f', confidence) AS confidence,
            CASE WHEN tag % 2 = 0 THEN 'Yes' ELSE 'No' END AS man_change FROM result_segments""")
 def _(spark, sf):
-    return reports.export_segments(result_segments(spark, sf).withColumn("man_change", F.col("tag") % 2 == 0))
+    return sinks.round_trip(reports.export_segments(result_segments(spark, sf).withColumn("man_change", F.col("tag") % 2 == 0)), scratch_path(spark, "export") + ".csv")
 
 
 @query("k07_csv_export_bins", """
@@ -297,7 +299,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = result_segments(spark, sf).withColumn("read_count", F.col("tag")).withColumn(
         "gc_content", F.when(F.col("line") != 1, (F.col("tag2") % 1000) / F.lit(1000.0)))
-    return reports.export_bins(df)
+    return sinks.round_trip(reports.export_bins(df), scratch_path(spark, "export") + ".csv")
 
 
 @query("k08_sample_table", """
@@ -305,7 +307,7 @@ def _(spark, sf):
            printf('%.2f', size / 1000000.0::DOUBLE) AS size_mbp, printf('%.0f%%', mosaicism * 100) AS mosaic
     FROM listing l JOIN aberrant a ON a.result_id = l.result_id""")
 def _(spark, sf):
-    return reports.sample_table(_listing(spark, sf), _aberrant(spark, sf))
+    return sinks.round_trip(reports.sample_table(_listing(spark, sf), _aberrant(spark, sf)), scratch_path(spark, "export") + ".csv")
 
 
 @query("k08_cycle_table", """
@@ -314,7 +316,7 @@ def _(spark, sf):
     LEFT JOIN (SELECT result_id, string_agg(aberration_code, '; ' ORDER BY chrom_num, start, line, aberration_code) AS codes
                FROM aberrant GROUP BY 1) a ON a.result_id = l.result_id""")
 def _(spark, sf):
-    return reports.cycle_table(_listing(spark, sf), _aberrant(spark, sf))
+    return sinks.round_trip(reports.cycle_table(_listing(spark, sf), _aberrant(spark, sf)), scratch_path(spark, "export") + ".csv")
 
 
 @query("genome_edit_by_id", """

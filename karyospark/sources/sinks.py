@@ -61,7 +61,14 @@ def xy_report(sex: DataFrame) -> DataFrame:
     return sex.select(F.col("sample").alias("Sample"), fixed_text(F.col("xy_ratio"), 6).alias("XY_ratio"), F.col("sex").alias("Gender"))
 
 
-def append_run_log(spark: SparkSession, path: str, rows: list[tuple[str, float]]) -> None:
-    """Append experiment and elapsed seconds to the run log."""
-    spark.createDataFrame(rows, "experiment string, elapsed_time double").coalesce(1).write.mode("append").option(
+def append_run_log(rows: DataFrame, path: str) -> None:
+    """Append experiment and elapsed_time (seconds) to the run log; a run logs a few rows."""
+    rows.select("experiment", F.col("elapsed_time").cast("double")).coalesce(1).write.mode("append").option(
         "header", True).option("sep", "\t").csv(path)
+
+
+def round_trip(df: DataFrame, path: str) -> DataFrame:
+    """`df` written by the suffix rule and read again with its own types."""
+    write_delimited(df, path)
+    sep = "," if path.endswith(".csv") else "\t"
+    return df.sparkSession.read.schema(df.schema).option("header", True).option("sep", sep).option("nullValue", "NULL").csv(path)

@@ -150,8 +150,8 @@ def test_track_cache_skips_done_samples(spark, tmp_path):
 
 def test_run_log_appends(spark, tmp_path):
     p = str(tmp_path / "run_time")
-    sinks.append_run_log(spark, p, [("e1", 1.5)])
-    sinks.append_run_log(spark, p, [("e2", 2.5)])
+    for row in (("e1", 1.5), ("e2", 2.5)):
+        sinks.append_run_log(spark.createDataFrame([row], "experiment string, elapsed_time double"), p)
     assert sorted(r.experiment for r in spark.read.option("header", True).option("sep", "\t").csv(p).collect()) == ["e1", "e2"]
 
 
