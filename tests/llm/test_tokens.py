@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -24,8 +25,13 @@ def test_ids_are_the_librarys(path):
         assert enc.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@lru_cache
+def _library(path):
+    return Tokenizer.from_file(path)
+
+
 def _ids(path, text):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*_library(path).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def _pieces(rows):
