@@ -77,32 +77,38 @@ class ItemIndex:
         self.table[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.short = [(k, c.tobytes()) for k, (_, c) in enumerate(self.items) if 0 < len(c) < Q]
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal of every shared q-gram."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, diagonal and place in the item of every shared q-gram."""
         h = qgrams(codes)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.grams, h[at]), max(0, len(self.grams) - 1))
         if not len(self.grams):
-            return at[:0], at[:0]
+            return at[:0], at[:0], at[:0]
         same = self.grams[k] == h[at]
         at, k = at[same], k[same]
         n = self.count[k]
         posting = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.item[posting], np.repeat(at, n) - self.place[posting]
+        return self.item[posting], np.repeat(at, n) - self.place[posting], self.place[posting]
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) of every band that reaches the bound."""
-        item, diagonal = self.hits(codes)
+        item, diagonal, place = self.hits(codes)
         out = set()
         if len(item):
             width, base = self.band[item], int(self.band.max()) * 2 + len(codes) + int(max(len(c) for _, c in self.items))
             for shift in (0, 1):
                 band = (diagonal + shift * (width // 2)) // width
-                key, n = np.unique(item * (2 * base) + band + base, return_counts=True)
-                which = key // (2 * base)
-                for i, b in zip(which[n >= self.bound[which]].tolist(), (key % (2 * base) - base)[n >= self.bound[which]].tolist(), strict=True):
-                    low = b * int(self.band[i]) - shift * (int(self.band[i]) // 2)
-                    out.add((i, low, low + int(self.band[i]) - 1))
+                key = item * (2 * base) + band + base
+                order = np.argsort(key, kind="stable")
+                key, where, its = key[order], place[order], diagonal[order] + place[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                count = np.diff(np.append(first, len(key)))
+                for a, n in zip(first[enough := count >= self.bound[key[first] // (2 * base)]].tolist(), count[enough].tolist(), strict=True):
+                    i = int(key[a]) // (2 * base)
+                    # a q-gram that comes several times in the band counts once on either side
+                    if min(len(np.unique(where[a:a + n])), len(np.unique(its[a:a + n]))) >= self.bound[i]:
+                        low = (int(key[a]) % (2 * base) - base) * int(self.band[i]) - shift * (int(self.band[i]) // 2)
+                        out.add((i, low, low + int(self.band[i]) - 1))
         return sorted(out)
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
