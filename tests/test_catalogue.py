@@ -1,5 +1,6 @@
 """The driver contract, and a spread of queries beside their SQL on the smallest tables."""
 
+import importlib.util
 import os
 import re
 
@@ -29,7 +30,9 @@ def test_entry(spark):
 def test_names_and_sql():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(s) > 150
-    assert not [n for n in q if re.search(r"pipeline|op\d+_", n)]
+    own = set(q) - set(CATALOGUE)
+    assert all(re.fullmatch(r"pipeline|op\d+_\w+", n) for n in own)
+    assert bool(own) == bool(importlib.util.find_spec("karyospark.llm.catalogue") if importlib.util.find_spec("karyospark.llm") else None)
 
 
 @pytest.mark.parametrize("name", list(CATALOGUE) if os.environ.get("CHECK_ALL") else QUICK)
