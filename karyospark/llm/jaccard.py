@@ -128,7 +128,7 @@ def _doc_block(doc_block: int, docs: list[tuple[int | None, np.ndarray]], bits:
     for b in range(1 << bits):
         a, z, s, t = cuts[b], cuts[b + 1], several_cuts[b], several_cuts[b + 1]
         if z > a or t > s:
-            counts = np.bincount(single_who[a:z], minlength=len(docs)).astype("<u2")
+            counts = np.bincount(single_who[a:z], minlength=len(docs)).astype("<u4")
             rows.append((b, [counts.tobytes(), single[a:z].astype("<u4").tobytes(), several[s:t].astype("<u4").tobytes(),
                              np.minimum(several_n[s:t], 1 << 30).astype("<u4").tobytes()], False))
     return _tiles(rows, doc_block)
@@ -167,7 +167,7 @@ def _answers(group: pa.Table) -> pa.Table:
     for k, (d, p) in enumerate(tiles):
         mine, its = df[cuts[k]:cuts[k + 1]], df[cuts[len(tiles) + k]:cuts[len(tiles) + k + 1]]
         more = mine > 1
-        counts = np.frombuffer(p[0], "<u2")
+        counts = np.frombuffer(p[0], "<u4")
         who = np.repeat(np.arange(len(counts)), counts)[more]
         out.append((d, [who.astype("<u2").tobytes(), single[k][more].tobytes(), mine[more].astype("<u4").tobytes(), several[k].tobytes(),
                         its.astype("<u4").tobytes()], False))

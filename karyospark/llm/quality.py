@@ -4,9 +4,10 @@ Statistics are counted per document in Arrow batches. The trees are grown in num
 rows (`SAMPLE_ROWS`, chosen by a hash of the id), level by level from 64-bin gradient histograms, and flattened into
 arrays of complete trees, so that scoring a batch is a few numpy takes per level.
 
-Defined results: a null or empty text has all statistics 0 and is scored like any other; repeated rows get equal
-scores; rows whose id is null are scored and count as not held out; without labels of both kinds every score is
-the share of label 1 (0.5 without labels); an empty table gives no rows; other columns are never read.
+Defined results: a null or empty text, or one of white space only (Unicode's as well), has all statistics 0 and is
+scored like any other; repeated rows get equal scores; rows whose id is null are scored and count as not held out;
+without labels of both kinds every score is the share of label 1 (0.5 without labels); an empty table gives no rows;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -48,10 +49,9 @@ _TABLE = _class_table()
 
 def statistics(text: str) -> list[float]:
     """The STATISTICS of one whole text."""
-    raw = text.encode()
-    if not raw.strip():
+    raw, words = text.encode(), text.split()
+    if not words:
         return [0.0] * len(STATISTICS)
-    words = text.split()
     n, counts = len(words), Counter(words)
     lines = [x for x in text.split("\n") if x]
     shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _TABLE / len(raw)

@@ -149,3 +149,17 @@ def test_training_never_sees_the_held_out_fold(spark):
     import zlib
     assert ids == {k for k in range(300) if zlib.crc32(str(k).encode()) % 3 != 1}
     assert quality.labelled(labels, "quality", F.lit(True), 10).count() == 10
+
+
+BLANKS = ["\u00a0", "\u3000 \u2003", "\u0085", "\x1c\x1d\x1e\x1f", "\u2028\n\t\u00a0"]
+
+
+def test_unicode_blanks_are_empty_texts(spark, documents, save, rated):
+    rows, labels = rated
+    assert all(quality.statistics(t) == quality.statistics("") for t in BLANKS)
+    blank = [(8000 + k, t) for k, t in enumerate(BLANKS)]
+    folder = save(documents=documents([*rows[:80], *blank, (8100, "")]), labels=_labels(spark, [*labels[:80], (8000, 0, 1), (8001, 1, 0)]))
+    for query in (quality.op2_quality, toxicity.op9_toxicity):
+        got = query(spark, folder).collect()
+        assert len(got) == 80 + len(BLANKS) + 1
+    assert len({r.score for r in quality.op2_quality(spark, folder).collect() if r.doc_id >= 8000}) == 1

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from karyospark.llm import decontamination, jaccard, licenses, topk, url_filter
@@ -246,3 +247,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(200, 200), (7, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 150)}}
+
+
+def test_shingle_counts_of_a_long_document_are_not_cut():
+    grams = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 70_000).astype(np.uint64) << np.uint64(1))
+    tiles = pa.Table.from_batches([jaccard._doc_block(k, [(k, grams), (10 + k, grams[:5] + np.uint64(1 << 40))], 0) for k in range(2)])
+    answers = [r for r in jaccard._answers(tiles).to_pylist() if not r["local"]]
+    assert [r["doc_block"] for r in answers] == [0, 1]
+    for r in answers:
+        who = np.frombuffer(r["parts"][0], "<u2")
+        assert (who == 0).sum() > 69_900 and len(who) == len(r["parts"][1]) // 4
