@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from karyospark.llm import common
 from karyospark.llm.components import components
@@ -313,7 +314,11 @@ def links(docs: DataFrame, documents: DataFrame, groups: DataFrame, words: int =
 
 
 def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """uid, doc_id, n_shingles, key, component_id of every row; ``uid`` numbers the rows and ``key`` names their sets."""
+    """uid, doc_id, n_shingles, key, root, component_id of every row.
+
+    ``uid`` numbers the rows and ``key`` names their sets. ``root`` is the least uid of a component's classes; different
+    components may have one component_id, never one root. It is null where nothing can link.
+    """
     documents, postings = documents_and_postings(docs, words)
     verified = links(docs, documents, components(candidates(postings)), words)
     labels = components(verified)
@@ -322,9 +327,11 @@ def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rooted = classes.join(labels, "node", "left").select("key", "least_id", F.coalesce("label", "node").alias("root"))
     rooted = common.written(rooted, "jaccard-classes")
     heads = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = common.written(rooted.join(heads, "root").select("key", "component_id"), "jaccard-components")
+    ids = common.written(rooted.join(heads, "root").select("key", "root", "component_id"), "jaccard-components")
     linked = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return documents.join(ids, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, linked).otherwise(F.col("doc_id")))
+    root = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("root"))
+    return documents.join(ids, "key", "left").withColumn("root", root).withColumn(
+        "component_id", F.when(F.col("n_shingles") > 0, linked).otherwise(F.col("doc_id")))
 
 
 def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -332,27 +339,41 @@ def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return document_components(docs, words).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` with the least id of each component, with all their columns; rows without an id stay.
-
-    Of rows of one id and component, one stays; so does one of equal empty rows of one id.
-    """
+def _first_rows(docs: DataFrame, group: list[str], words: int) -> DataFrame:
+    """Of the rows with the least id of their component, the first of each ``group``, by id and set; rows without an id stay."""
     winner, winner_key = common.free_name(docs, "winner_id"), common.free_name(docs, "winner_key")
     found = document_components(docs, words).where("doc_id = component_id")
-    winners = common.written(found.groupBy("doc_id", "component_id").agg(F.min_by("key", "uid").alias(winner_key)).select(
+    winners = common.written(found.groupBy(*group).agg(F.min_by("key", "uid").alias(winner_key)).select(
         F.col("doc_id").alias(winner), winner_key), "jaccard-winners")
     count = winners.count()
-    joined = docs.join(common.small(winners, count), docs["doc_id"].cast("long") == winners[winner])
+    held = docs.withColumn(winner, F.col("doc_id").cast("long"))
+    if count <= common.BROADCAST_ROWS:  # beyond it this join would shuffle the texts once more
+        held = held.join(F.broadcast(winners.select(winner).distinct()), winner, "left_semi")
 
-    def same(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(it):
-            keys = [set_key(shingles(t, words)) for t in common.texts(b.column("text"))]
-            yield b.filter(pa.array([k == w for k, w in zip(keys, b.column(winner_key).to_pylist(), strict=True)], pa.bool_()))
+            keys = common.binary([set_key(shingles(t, words)) for t in common.texts(b.column("text"))])
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, winner_key])
 
-    stay = joined.mapInArrow(same, joined.schema).drop(winner_key)
+    schema = T.StructType([*held.schema.fields, T.StructField(winner_key, T.BinaryType())])
+    keyed = common.in_batches(held).mapInArrow(with_keys, schema)
+    stay = keyed.join(common.small(winners, count), [winner, winner_key], "left_semi")
     repeated = stay.select(winner).count() > count
-    stay = stay.dropDuplicates([winner]) if repeated else stay
-    return stay.drop(winner).unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = stay.dropDuplicates([winner, winner_key]) if repeated else stay
+    return stay.drop(winner, winner_key).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: of the rows with its least id the first; rows without an id stay.
+
+    Components whose least id is the same keep a row each. Of empty rows of one id one stays.
+    """
+    return _first_rows(docs, ["doc_id", "root"], words)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """As `representatives`, for tables whose ids are unique: of several components with the same least id only one stays."""
+    return _first_rows(docs, ["doc_id"], words)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

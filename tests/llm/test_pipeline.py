@@ -40,3 +40,9 @@ def test_empty_tables_pass_every_stage(spark, documents, save):
     folder = save(documents=documents([], extra=False), benchmark=spark.createDataFrame([], "item_id long, text string"),
                   labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark, documents):
+    rows = [(7, "text A"), (7, "unrelated text B"), (5, "unrelated y of this id"), (5, "x " + " ".join(WORDS)), (9, "x " + " ".join(WORDS))]
+    stay = corpus_pipeline.drop_near_duplicates(spark, documents(rows, extra=False), "")
+    assert sorted((r.doc_id, r.text) for r in stay.collect()) == sorted(rows[:4])

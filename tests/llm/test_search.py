@@ -257,3 +257,46 @@ def test_shingle_counts_of_a_long_document_are_not_cut():
     for r in answers:
         who = np.frombuffer(r["parts"][0], "<u2")
         assert (who == 0).sum() > 69_900 and len(who) == len(r["parts"][1]) // 4
+
+
+def _representatives(rows, words, least):
+    """Texts of each component's rows with its least id, by brute force; rows without an id, and empty rows by id."""
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+    sets, top = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if rows[a][0] is not None and rows[b][0] is not None and x and y and 100 * len(x & y) >= least * len(x | y):
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    groups = {}
+    for k, (d, t) in enumerate(rows):
+        if d is not None:
+            groups.setdefault(root(k) if sets[k] else ("empty", d), []).append((d, t))
+    return [{(d, t) for d, t in g if d == min(x for x, _ in g)} for g in groups.values()], [t for d, t in rows if d is None]
+
+
+def _check_representatives(got, rows, words, least):
+    groups, loose = _representatives(rows, words, least)
+    have = [(r.doc_id, r.text) for r in got if r.doc_id is not None]
+    assert len(have) == len(groups) and all(len([1 for x in have if x in g]) >= 1 for g in groups)
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted(loose)
+
+
+def test_components_of_one_least_id_all_keep_a_row(documents):
+    copied = _prose(random.Random(9), 60)
+    rows = [(7, "text A"), (7, "unrelated text B"), (7, ""), (5, "unrelated y of this id"), (5, copied), (9, copied + " tail")]
+    _check_representatives(jaccard.representatives(documents(rows)).collect(), rows, 4, 85)
+    rows = _near_rows(random.Random(6))
+    stay = jaccard.representatives(documents(rows))
+    assert stay.columns == documents(rows).columns
+    _check_representatives(stay.collect(), rows, 4, 85)
+    assert jaccard.representatives(documents([])).count() == 0
