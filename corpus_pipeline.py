@@ -26,8 +26,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of the n-gram Jaccard join connect: the one with the least id."""
-    return jaccard.representatives(docs)
+    """One document of each group that links of the n-gram Jaccard join connect: the one with the least id.
+
+    Links are of five words and a similarity of 0.8 or more; op7_jaccard has a contract of its own.
+    """
+    return jaccard.representatives(docs, words=5, least=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence, cut down by size-derived bounds.
 
-Documents are sets of distinct word shingles. Two link when 100 * intersection >= 85 * union. All pairs of documents are
+Documents are sets of distinct word shingles. Two link when 100 * intersection >= least * union; words and ``least``
+are parameters, 4 and 85 in op7_jaccard. All pairs of documents are
 the product of the incidence matrix with its transpose; it is never formed whole:
 
 1. `incidence`: each task packs the shingles of some thousand documents (a document block) into tiles, one for
    each range of shingle hashes (a gram block). A shingle that several documents of the block have is sent once.
 2. `shared`: a gram block counts in how many documents each of its shingles occurs and answers each tile with the
    shingles that more than one document has.
-3. `postings`: a link needs ceil(0.85 * size) common shingles. A document with fewer shared ones has no link and is
+3. `postings`: a link needs ceil(least / 100 * size) common shingles. A document with fewer shared ones has no link and is
    discarded; of the others only the rarest are kept, as many as two linked documents must have one of in common
    (prefix bound, Bayardo et al., "Scaling up all pairs similarity search", 2007).
 4. `candidates`: documents with equal sets become one node. Nodes that share a kept shingle and are of
@@ -85,9 +86,9 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def least_overlap(size: np.ndarray | int) -> np.ndarray | int:
-    """Common shingles that any link of a set of this size needs: ceil(0.85 * size)."""
-    return (LEAST * size + OF - 1) // OF
+def least_overlap(size: np.ndarray | int, least: int = LEAST) -> np.ndarray | int:
+    """Common shingles that any link of a set of this size needs: ceil(least / 100 * size)."""
+    return (least * size + OF - 1) // OF
 
 
 _TILE = "doc_block long, gram_block int, local boolean, parts array<binary>"
@@ -179,7 +180,7 @@ def _answers(group: pa.Table) -> pa.Table:
 _DOCS = "uid long, doc_id long, n_shingles long, key binary, gram long"
 
 
-def _prefixes(group: pa.Table) -> pa.Table:
+def _prefixes(group: pa.Table, least: int) -> pa.Table:
     """For one document block: a row per document, and a row per kept shingle of each node that may have links."""
     own, found = None, []
     for b, local, p in zip(*(group.column(c).to_pylist() for c in ("gram_block", "local", "parts")), strict=True):
@@ -205,7 +206,7 @@ def _prefixes(group: pa.Table) -> pa.Table:
     gram, who = gram[by], who[by]
     again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (who[1:] == who[:-1]))) if len(gram) else np.empty(0, bool)
     lost = np.bincount(who[again], minlength=len(ids))
-    need = least_overlap(size) - lost
+    need = least_overlap(size, least) - lost
     single = size - held  # shingles of no other document come first in the order
     prefix = size - need + 1 - single
     may = (held >= need) & (need > 0)
@@ -222,20 +223,21 @@ def _prefixes(group: pa.Table) -> pa.Table:
     return pa.concat_tables([everyone, posted])
 
 
-def documents_and_postings(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def documents_and_postings(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Written tables: documents (uid, doc_id, n_shingles, key) and postings (gram, node, size) of nodes that may link."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (chars // GRAM_BLOCK_BYTES).bit_length())
     tiles = incidence(docs, bits, words).groupBy("gram_block").applyInArrow(_answers, _TILE)
-    both = common.written(tiles.groupBy("doc_block").applyInArrow(_prefixes, _DOCS), "jaccard-documents")
+    both = common.written(tiles.groupBy("doc_block").applyInArrow(lambda group: _prefixes(group, least), _DOCS), "jaccard-documents")
     documents = both.where("gram is null").select("uid", "doc_id", "n_shingles", "key")
     postings = both.where("gram is not null").groupBy("gram", "key").agg(F.min("uid").alias("node"), F.max("n_shingles").alias("size"))
     return documents, common.written(postings.select("gram", "node", "size"), "jaccard-postings")
 
 
-def candidates(postings: DataFrame) -> DataFrame:
+def candidates(postings: DataFrame, least: int = LEAST) -> DataFrame:
     """a, b: stars over the nodes of each shingle and size band, and between neighbouring bands. No link leaves them."""
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(OF / LEAST))).cast("int")
+    # a band is wide enough for any link; the shift keeps whole powers of its width from being rounded either way
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(OF / min(least, OF - 1))) + 1e-9).cast("int")
     banded = postings.withColumn("band", band)
     hubs = common.written(banded.groupBy("gram", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "jaccard-hubs")
     stars = banded.join(hubs.where("n > 1"), ["gram", "band"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -261,7 +263,7 @@ def _forest(size: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]
     return out
 
 
-def product_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def product_links(sets: list[np.ndarray], least: int = LEAST) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets: overlaps are summed over steps of the sorted shingles."""
     size = np.array([len(s) for s in sets], np.int64)
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -277,19 +279,19 @@ def product_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         part = np.zeros((len(sets), min(STEP_GRAMS, columns - at)), np.float32)
         part[row[a:z], name[a:z] - at] = 1
         overlap += (part @ part.T).astype(np.int64)
-    linked = np.triu(OF * overlap >= LEAST * (size[:, None] + size - overlap), 1)
+    linked = np.triu(OF * overlap >= least * (size[:, None] + size - overlap), 1)
     return _forest(len(sets), zip(*(x.tolist() for x in np.nonzero(linked)), strict=True))
 
 
-def _product(group: pa.Table) -> pa.Table:
+def _product(group: pa.Table, least: int) -> pa.Table:
     node = group.column("node").to_pylist()
     sets = {n: np.frombuffer(g, "<u8") for n, g in zip(node, group.column("grams").to_pylist(), strict=True)}
     order = sorted(sets)
-    found = product_links([sets[n] for n in order]) if len(order) > 1 else []
+    found = product_links([sets[n] for n in order], least) if len(order) > 1 else []
     return pa.table([pa.array([order[a] for a, _ in found], pa.int64()), pa.array([order[b] for _, b in found], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, documents: DataFrame, groups: DataFrame, words: int = WORDS) -> DataFrame:
+def links(docs: DataFrame, documents: DataFrame, groups: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """a, b: verified links that connect all linked nodes, from candidate ``groups`` (node, label)."""
     groups = common.written(groups, "jaccard-groups")
     count = groups.count()
@@ -310,17 +312,19 @@ def links(docs: DataFrame, documents: DataFrame, groups: DataFrame, words: int =
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = whole.select("label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "grams")
     paired = dealt.select("label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "grams")
-    return paired.groupBy("label", "i", "j").applyInArrow(_product, "a long, b long")
+    return paired.groupBy("label", "i", "j").applyInArrow(lambda group: _product(group, least), "a long, b long")
 
 
-def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def document_components(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """uid, doc_id, n_shingles, key, root, component_id of every row.
 
     ``uid`` numbers the rows and ``key`` names their sets. ``root`` is the least uid of a component's classes; different
     components may have one component_id, never one root. It is null where nothing can link.
     """
-    documents, postings = documents_and_postings(docs, words)
-    verified = links(docs, documents, components(candidates(postings)), words)
+    if words < 1 or not 0 < least <= OF:
+        raise ValueError(f"shingles of {words} words, similarity {least} of {OF}")
+    documents, postings = documents_and_postings(docs, words, least)
+    verified = links(docs, documents, components(candidates(postings, least)), words, least)
     labels = components(verified)
     named = documents.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"))
@@ -334,15 +338,15 @@ def document_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "component_id", F.when(F.col("n_shingles") > 0, linked).otherwise(F.col("doc_id")))
 
 
-def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def join_components(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return document_components(docs, words).select("doc_id", "n_shingles", "component_id")
+    return document_components(docs, words, least).select("doc_id", "n_shingles", "component_id")
 
 
-def _first_rows(docs: DataFrame, group: list[str], words: int) -> DataFrame:
+def _first_rows(docs: DataFrame, group: list[str], words: int, least: int) -> DataFrame:
     """Of the rows with the least id of their component, the first of each ``group``, by id and set; rows without an id stay."""
     winner, winner_key = common.free_name(docs, "winner_id"), common.free_name(docs, "winner_key")
-    found = document_components(docs, words).where("doc_id = component_id")
+    found = document_components(docs, words, least).where("doc_id = component_id")
     winners = common.written(found.groupBy(*group).agg(F.min_by("key", "uid").alias(winner_key)).select(
         F.col("doc_id").alias(winner), winner_key), "jaccard-winners")
     count = winners.count()
@@ -363,17 +367,17 @@ def _first_rows(docs: DataFrame, group: list[str], words: int) -> DataFrame:
     return stay.drop(winner, winner_key).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """One row of ``docs`` of each component, with all its columns: of the rows with its least id the first; rows without an id stay.
 
     Components whose least id is the same keep a row each. Of empty rows of one id one stays.
     """
-    return _first_rows(docs, ["doc_id", "root"], words)
+    return _first_rows(docs, ["doc_id", "root"], words, least)
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """As `representatives`, for tables whose ids are unique: of several components with the same least id only one stays."""
-    return _first_rows(docs, ["doc_id"], words)
+    return _first_rows(docs, ["doc_id"], words, least)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

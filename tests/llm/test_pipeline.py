@@ -46,3 +46,13 @@ def test_near_duplicates_keep_other_texts_of_an_id(spark, documents):
     rows = [(7, "text A"), (7, "unrelated text B"), (5, "unrelated y of this id"), (5, "x " + " ".join(WORDS)), (9, "x " + " ".join(WORDS))]
     stay = corpus_pipeline.drop_near_duplicates(spark, documents(rows, extra=False), "")
     assert sorted((r.doc_id, r.text) for r in stay.collect()) == sorted(rows[:4])
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark, documents):
+    rng = random.Random(4)
+    prose = lambda n: "".join(f" {rng.choice(WORDS)}{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(n))
+    base, edge = prose(80), prose(80)
+    rows = [(1, base), (2, base + prose(18)), (3, base + prose(60)), (4, edge), (5, edge + prose(19)), (6, prose(84)), (7, prose(80))]
+    rows += [(8, rows[6][1] + prose(20))]  # 76 of 96 shingles: 0.79
+    stay = corpus_pipeline.drop_near_duplicates(spark, documents(rows, extra=False), "")
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 3, 4, 6, 7, 8]

@@ -300,3 +300,15 @@ def test_components_of_one_least_id_all_keep_a_row(documents):
     assert stay.columns == documents(rows).columns
     _check_representatives(stay.collect(), rows, 4, 85)
     assert jaccard.representatives(documents([])).count() == 0
+
+
+@pytest.mark.parametrize(("words", "least"), [(5, 80), (2, 50), (3, 100)])
+def test_representatives_at_other_thresholds(documents, words, least):
+    rows = _near_rows(random.Random(11))
+    _check_representatives(jaccard.representatives(documents(rows), words, least).collect(), rows, words, least)
+
+
+def test_a_threshold_must_be_a_share(documents):
+    for least in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard.representatives(documents([]), 5, least)
