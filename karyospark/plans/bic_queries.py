@@ -177,13 +177,21 @@ def _(spark, sf):
     return bic.hash_sample(_pos_counts(spark, sf), F.col("pos"), 0.02, 7)
 
 
+def _marked_anywhere(spark, sf):
+    """The same positions over the whole length of their contigs."""
+    length = ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).cast("bigint").alias("_length"))
+    return _marked(spark, sf).join(length.filter("_length > 0"), "chrom").withColumn(
+        "pos", (F.col("event_id") * 7919) % F.col("_length")).drop("_length")
+
+
 @query("a57_bias_regression_curve")
 def _(spark, sf):
-    train = bic.training_covariates(_marked(spark, sf), ref_chunks(spark, sf), 20, 2, tile=1024).withColumn(
+    train = bic.training_covariates(_marked_anywhere(spark, sf), ref_chunks(spark, sf), 300, 5).withColumn(
         "n", F.col("n").cast("double"))
-    model, inputs, theta = bic.fit_bias(train, ["G-1", "C-1", "T-1", "G0", "C0", "T0"])
+    factors = [f"{base}{k}" for k in range(-5, 5) for base in "GCT"]
+    model, inputs, theta = bic.fit_bias(train, factors)
     grid = train.groupBy(F.round("gc", 2).alias("gc")).agg(F.count("*").alias("positions"), F.avg("n").alias("observed"))
-    flat = grid.withColumns({c: F.lit(0) for c in ("G-1", "C-1", "T-1", "G0", "C0", "T0")})
+    flat = grid.withColumns({c: F.lit(0) for c in factors})
     return bic.expected_rate(flat, model, inputs).select("gc", "positions", "observed", "rate", F.lit(theta).alias("theta"))
 
 

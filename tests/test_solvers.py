@@ -182,3 +182,14 @@ def test_negative_binomial_and_polynomial_fits(spark):
         model, inputs = bic.fit_refine(bins, polynomial=polynomial)
         at = spark.createDataFrame([(0.4,)], "gc double").withColumns(bic.hinge_columns(F.col("gc"), bic.KNOTS))
         assert at.select(bic.refine_term(model, inputs).alias("o")).first().o == pytest.approx(-0.02, abs=0.02)
+
+
+def test_bias_positions_reach_the_end_of_long_contigs(spark):
+    from karyospark.plans import bic_queries
+    from karyospark.plans.projections import ref_chunks
+
+    sf = "/root/testdata/sf0.01"
+    length = {r.chrom: r.n for r in ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).alias("n")).collect()}
+    got = bic_queries._marked_anywhere(spark, sf).collect()
+    assert all(0 <= r.pos < length[r.chrom] for r in got)
+    assert max(r.pos for r in got) > 3000 and any(r.pos > 0.9 * length[r.chrom] > 3000 for r in got)
