@@ -151,13 +151,23 @@ def parse_config(lines: DataFrame, columns: int) -> DataFrame:
     return rows.groupBy("chrom").agg(F.first("files").alias("files"), once.alias("_ok")).filter("_ok").drop("_ok")
 
 
-def read_configured(spark: SparkSession, config: DataFrame, schema: str, which: int = 0) -> DataFrame:
-    """All files of a configuration (a short list of chromosomes) in one scan, with their chromosome."""
-    files = {r["files"][which]: r["chrom"] for r in config.collect()}
+def read_configured(spark: SparkSession, config: DataFrame, schema: str) -> DataFrame:
+    """All files of a configuration (a short list of chromosomes) in one scan, with their chromosome and file column (from 1).
+
+    A file that is listed more than once gives its rows for each place.
+    """
+    places: dict[str, list[tuple[str, int]]] = {}
+    paths = {}
+    for r in config.collect():
+        for k, p in enumerate(r["files"], 1):
+            name = re.sub("^[a-z0-9]+:/+", "/", p)
+            paths.setdefault(name, p)
+            places.setdefault(name, []).append((r["chrom"], k))
     bare = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
-    df = spark.read.schema(schema).option("sep", "\t").csv(list(files)).select("*", bare.alias("_file"))
-    name = F.create_map(*[x for p, c in files.items() for x in (F.lit(re.sub("^[a-z0-9]+:/+", "/", p)), F.lit(c))])
-    return df.withColumn("chrom", name[F.col("_file")]).drop("_file")
+    df = spark.read.schema(schema).option("sep", "\t").csv(list(paths.values())).select("*", bare.alias("_file"))
+    at = F.create_map(*[x for p, found in places.items() for x in (
+        F.lit(p), F.array(*[F.struct(F.lit(c).alias("chrom"), F.lit(k).alias("column")) for c, k in found]))])
+    return df.withColumn("_at", F.explode(at[F.col("_file")])).select("*", "_at.chrom", "_at.column").drop("_file", "_at")
 
 
 # Headers that an upload must have.

@@ -175,3 +175,14 @@ def test_streams_take_each_key_once(spark, tmp_path):
         spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(str(up))
         ingest.ingest_uploads(spark.readStream.schema(s).parquet(str(up)), res, str(tmp_path / "cp2"), ["sample", "algorithm"], "id")
     assert sorted((r["sample"], r.id) for r in spark.read.parquet(res).collect()) == [("x", 1), ("y", 4)]
+
+
+def test_every_file_column_of_a_configuration_is_read(spark, tmp_path):
+    for name, rows in (("a1", "1\t5\n2\t6\n"), ("b1", "3\t7\n"), ("a2", "4\t8\n"), ("both", "5\t9\n")):
+        put(tmp_path / f"{name}.csv", rows)
+    lines = [("chrom case control other", 0), (f"1 {tmp_path}/a1.csv file://{tmp_path}/b1.csv {tmp_path}/both.csv", 1),
+             (f"2 {tmp_path}/a2.csv {tmp_path}/both.csv {tmp_path}/both.csv", 2)]
+    config = text.parse_config(spark.createDataFrame(lines, "value string, n bigint"), 4)
+    got = text.read_configured(spark, config, "start bigint, obs bigint").collect()
+    assert sorted((r.chrom, r["column"], r.start, r.obs) for r in got) == [
+        ("1", 1, 1, 5), ("1", 1, 2, 6), ("1", 2, 3, 7), ("1", 3, 5, 9), ("2", 1, 4, 8), ("2", 2, 5, 9), ("2", 3, 5, 9)]
