@@ -382,8 +382,8 @@ def _(spark, sf):
     schema = table(spark, sf, "lineitem").schema
     # The projection of a stream: the same columns as `reads`, on a file stream of line items.
     stream = spark.readStream.schema(schema).parquet(f"{sf}/lineitem*.parquet")
-    ingest.ingest_samples(pj.reads_of(stream), path, mark, B)
-    df = spark.read.parquet(path)
+    ingest.ingest_counts(pj.reads_of(stream), path, mark, B)
+    df = ingest.stored_proportions(spark, path, B)
     return df.select("sample", "chrom", "bin", "n", r6(F.col("proportion")).alias("proportion"))
 
 

@@ -1,4 +1,4 @@
-"""File streams of reads and uploads; each sample and each upload key enters once.
+"""File streams of reads and uploads; read counts of a sample add up over batches, each upload key enters once.
 
 A micro-batch writes to its own `batch` folder in overwrite mode, so a batch that is repeated
 after a failure replaces itself. What is stored is the memory of the stream: no state store grows.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karyospark.operators import counts
@@ -33,10 +33,24 @@ def _run(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     q.awaitTermination()
 
 
+def ingest_counts(stream: DataFrame, path: str, checkpoint: str, bin_size: int) -> None:
+    """Count the reads of each micro-batch; counts add up, so the files of a sample may come in any batches."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        counts.count_reads(batch, bin_size).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _run(stream, checkpoint, handle)
+
+
+def stored_proportions(spark: SparkSession, path: str, bin_size: int) -> DataFrame:
+    """Counts and proportions of every sample over all batches that `ingest_counts` stored so far."""
+    bins = spark.read.parquet(path).groupBy("sample", "chrom", "bin").agg(F.sum("n").alias("n"))
+    return counts.proportion(bins, bin_size, "n")
+
+
 def ingest_samples(stream: DataFrame, path: str, checkpoint: str, bin_size: int) -> None:
     """Count reads and take proportions of every sample that is not stored yet.
 
-    The files of one sample arrive together; later files of a stored sample are ignored.
+    The files of one sample arrive together; later files of a stored sample are ignored (`ingest_counts` takes them in).
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         fresh = _new_only(batch, path, batch_id, ["sample"])

@@ -186,3 +186,19 @@ def test_every_file_column_of_a_configuration_is_read(spark, tmp_path):
     got = text.read_configured(spark, config, "start bigint, obs bigint").collect()
     assert sorted((r.chrom, r["column"], r.start, r.obs) for r in got) == [
         ("1", 1, 1, 5), ("1", 1, 2, 6), ("1", 2, 3, 7), ("1", 3, 5, 9), ("2", 1, 4, 8), ("2", 2, 5, 9), ("2", 3, 5, 9)]
+
+
+def test_late_files_of_a_sample_are_counted(spark, tmp_path):
+    src, rd = tmp_path / "late", "sample string, chrom string, pos bigint, end bigint"
+    runs = [(str(tmp_path / "late-out"), str(tmp_path / "late-cp")), (str(tmp_path / "once-out"), str(tmp_path / "once-cp"))]
+    for rows in ([("a", "1", 5, 6), ("a", "2", 9, 10)], [("b", "1", 6, 7)], [("a", "1", 7, 8), ("a", "X", 70_000_000, 70_000_001)]):
+        spark.createDataFrame(rows, rd).coalesce(1).write.mode("append").parquet(str(src))
+        ingest.ingest_counts(spark.readStream.schema(rd).parquet(str(src)), *runs[0], 50_000_000)
+    ingest.ingest_counts(spark.readStream.schema(rd).option("maxFilesPerTrigger", 1).parquet(str(src)), *runs[1], 50_000_000)
+    want = counts.proportion(counts.count_reads(spark.read.parquet(str(src)), 50_000_000), 50_000_000, "n")
+    keys = ["sample", "chrom", "bin", "n", "proportion"]
+    for out, _ in runs:
+        assert spark.read.parquet(out).select("batch").distinct().count() == 3
+        got = ingest.stored_proportions(spark, out, 50_000_000)
+        assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
+    assert sum(r.n for r in got.collect() if r["sample"] == "a") == 4
