@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,35 +109,80 @@ def bin_expectation(positions: DataFrame, by: list[str], theta: float) -> DataFr
                                       F.sum(m + m * m / theta).alias("var"))
 
 
+def sliding_quantile(values: np.ndarray, first: np.ndarray, last: np.ndarray, q: float) -> np.ndarray:
+    """The ceil(q * size)-th smallest of values[first:last] for many windows at once.
+
+    A wavelet matrix: the levels of the values are split bit by bit, and each window follows the half that holds its
+    wanted rank by counting zeros before its ends. No window is ever listed or sorted.
+    """
+    levels, code = np.unique(values, return_inverse=True)
+    a, z = first.copy(), last.copy()
+    k = np.ceil((last - first) * q).astype(np.int64) - 1
+    found = np.zeros(len(first), np.int64)
+    for bit in reversed(range(max(1, int(len(levels) - 1).bit_length()))):
+        one = (code >> bit) & 1 == 1
+        zeros = np.concatenate(([0], np.cumsum(~one)))
+        za, zz = zeros[a], zeros[z]
+        low = k < zz - za
+        found |= np.where(low, 0, 1 << bit)
+        k = np.where(low, k, k - (zz - za))
+        a, z = np.where(low, za, zeros[-1] + a - za), np.where(low, zz, zeros[-1] + z - zz)
+        code = np.concatenate((code[~one], code[one]))
+    return levels[found]
+
+
 def cap_outliers(counts: DataFrame, window: int = 200, q: float = 0.95, multiple: float = 5.0,
                  block: int = 100_000) -> DataFrame:
     """Cap each count at `multiple` times the q-quantile of the `window` covered positions around it.
 
     Positions get their rank by block-wise counting; each block of ranks carries a halo of one
-    window on both sides, so blocks are independent. Near chromosome ends the first or last full
-    window is used.
+    window on both sides, so blocks are independent and bounded. Near chromosome ends the first or last full
+    window is used; a chromosome too short for one uses what each window reaches.
     """
     keys = ["sample", "chrom"]
     left = (window - 1) // 2
-    df = carry_forward(counts.withColumn("_one", F.lit(1)).withColumn("_g", F.floor(F.col("pos") / BLOCK)),
-                       keys, "_g", ["pos"], ["_one"]).drop("_g", "_one")
+    df = carry_forward(counts.select(*keys, "pos", F.col("n").cast("bigint").alias("n"), F.lit(1).alias("_one"),
+                                     F.floor(F.col("pos") / BLOCK).alias("_g")), keys, "_g", ["pos"], ["_one"])
     size = counts.groupBy(*keys).agg(F.count("*").alias("_size"))
-    df = df.withColumn("rank", F.col("run__one") - 1).drop("run__one").join(size, keys)
-    home = F.floor(F.col("rank") / block)
+    df = df.select(*keys, "pos", "n", (F.col("run__one") - 1).alias("rank")).join(size, keys)
     copies = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block))
-    df = df.withColumn("_home", home).withColumn("_b", F.explode(copies))
-    w = Window.partitionBy(*keys, "_b").orderBy("rank").rowsBetween(-left, window - left - 1)
-    values = F.array_sort(F.collect_list("n").over(w))
-    df = df.withColumn("_q", F.get(values, (F.ceil(F.size(values) * F.lit(q)) - 1).cast("int")))
-    # Rank of the nearest centre that has a full window.
-    centre = F.least(F.greatest(F.col("rank"), F.lit(left)), F.greatest(F.col("_size") - (window - left), F.lit(left)))
-    edge = Window.partitionBy(*keys, "_b")
-    df = df.withColumn("_c", centre)
-    first = F.max(F.when(F.col("rank") == left, F.col("_q"))).over(edge)
-    last = F.max(F.when(F.col("rank") == F.greatest(F.col("_size") - (window - left), F.lit(left)), F.col("_q"))).over(edge)
-    quantile = F.coalesce(F.when(F.col("rank") < F.col("_c"), first).when(F.col("rank") > F.col("_c"), last), F.col("_q"))
-    df = df.withColumn("_quantile", quantile).filter("_b = _home")
-    return df.withColumn("n", F.least(F.col("n"), (F.col("_quantile") * multiple).cast("bigint"))).select(*keys, "pos", "n")
+    df = df.withColumn("_b", F.explode(copies))
+
+    def capped(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        rank, n = (group.column(c).to_numpy() for c in ("rank", "n"))
+        size, number = group.column("_size")[0].as_py(), group.column("_b")[0].as_py()
+        home = np.flatnonzero(rank // block == number)
+        centre = np.clip(rank[home], left, max(size - (window - left), left))
+        centre = np.where(centre < size, centre, rank[home])
+        first = np.maximum(centre - left, 0) - rank[0]
+        last = np.minimum(centre - left + window, size) - rank[0]
+        limit = (sliding_quantile(n, first, last, q) * multiple).astype(np.int64)
+        out = group.select([*keys, "pos"]).take(pa.array(home))
+        return out.append_column("n", pa.array(np.minimum(n[home], limit)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, "pos"]), "n bigint"])
+    return df.groupBy(*keys, "_b").applyInArrow(capped, schema)
+
+
+def mappable_runs(counts: DataFrame, pieces: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """keys, start, end, n: every covered position as a run of one with its count, the empty stretches between as runs with 0.
+
+    `pieces` are those of `disjoint_pieces`, `counts` has one row per (keys, pos). The runs tile the pieces; one sweep of piece starts and positions
+    inside a block makes them, so an empty position is never a row.
+    """
+    c = counts.select(*keys, F.floor(F.col("pos") / block).alias("_b"), F.col("pos").alias("_x"), F.col("n").cast("bigint").alias("n"))
+    s = pieces.select(*keys, "_b", F.col("start").alias("_x"), F.lit(None).cast("bigint").alias("n"), F.col("end").alias("_end"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_x", F.col("n").isNotNull())
+    sweep = s.unionByName(c.withColumn("_end", F.lit(None).cast("bigint")))
+    sweep = sweep.withColumn("_end", F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sweep = sweep.withColumn("_next", F.least(F.coalesce(F.lead("_x").over(w), F.col("_end")), F.col("_end"))).where("_x < _end")
+    after = F.col("_x") + F.when(F.col("n").isNull(), 0).otherwise(1)
+    run = F.filter(F.array(F.struct(F.col("_x").alias("start"), after.alias("end"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")),
+                           F.struct(after.alias("start"), F.col("_next").alias("end"), F.lit(0).cast("bigint").alias("n"))),
+                   lambda r: r["end"] > r["start"])
+    return sweep.select(*keys, F.explode(run).alias("r")).select(*keys, "r.start", "r.end", "r.n")
 
 
 def far_from_gaps(positions: DataFrame, gaps: DataFrame, distance: int = 1_000_000) -> DataFrame:
@@ -184,64 +231,6 @@ def require_aligned(combined: DataFrame) -> DataFrame:
     return combined.filter(ok)
 
 
-# --- reference sequence around positions -------------------------------------------------------
-
-def sequence_tiles(chunks: DataFrame, tile: int, halo: int) -> DataFrame:
-    """chrom, tile, lo, seq: sequence of each tile with `halo` more bases on both sides."""
-    n = F.length("seq").cast("bigint")
-    first = F.floor(F.greatest(F.col("offset") - halo, F.lit(0)) / tile)
-    last = F.floor((F.col("offset") + n - 1 + halo) / tile)
-    p = chunks.filter(n > 0).withColumn("tile", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("offset"), F.col("tile") * tile - halo)
-    hi = F.least(F.col("offset") + n, (F.col("tile") + 1) * tile + halo)
-    part = F.substring(F.col("seq"), (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))
-    p = p.filter(hi > lo).select("chrom", "tile", F.struct(lo.alias("lo"), part.alias("s")).alias("p"))
-    agg = p.groupBy("chrom", "tile").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return agg.select("chrom", "tile", F.col("ps")[0]["lo"].alias("lo"),
-                      F.array_join(F.transform("ps", lambda x: x["s"]), "").alias("seq"))
-
-
-def training_covariates(positions: DataFrame, chunks: DataFrame, fragment: int, flank: int, tile: int = 65536) -> DataFrame:
-    """GC share of the 2*fragment+1 bases around a position and one-hot G, C, T of 2*flank bases.
-
-    Positions whose window leaves the sequence are skipped.
-    """
-    halo = max(fragment, flank)
-    tiles = sequence_tiles(chunks, tile, halo)
-    df = positions.withColumn("tile", F.floor(F.col("pos") / tile)).join(tiles, ["chrom", "tile"])
-    at = (F.col("pos") - F.col("lo")).cast("int")
-    df = df.withColumn("_at", at)
-    inside = (F.col("_at") >= halo) & (F.col("_at") + halo < F.length("seq"))
-    window = F.substring(F.col("seq"), F.col("_at") - fragment + 1, F.lit(2 * fragment + 1))
-    gc = (F.lit(2 * fragment + 1) - F.length(F.translate(window, "GCgc", ""))) / F.lit(2 * fragment + 1)
-    out = df.filter(inside).withColumn("gc", gc)
-    near = F.substring(F.col("seq"), F.col("_at") - flank + 1, F.lit(2 * flank))
-    cols = {}
-    for i in range(2 * flank):
-        base = F.upper(F.substring(near, i + 1, 1))
-        for letter in "GCT":
-            cols[f"{letter}{i - flank}"] = F.when(base == letter, 1).otherwise(0)
-    return out.withColumns(cols).drop("tile", "lo", "seq", "_at")
-
-
-def gc_window(chunks: DataFrame, half: int, tile: int = 65536) -> DataFrame:
-    """GC bases in the 2*half+1 bases around every position that has a full window.
-
-    Only pieces of text are shuffled, into tiles with a halo; a tile is then unfolded where it is and
-    each window is the difference of two running counts.
-    """
-    t = sequence_tiles(chunks, tile, half + 1)
-    per = t.select("chrom", "tile", "lo", F.posexplode(F.split("seq", "")).alias("i", "ch"))
-    w = Window.partitionBy("chrom", "tile").orderBy("pos")
-    per = per.select("chrom", "tile", "lo", (F.col("lo") + F.col("i")).alias("pos"),
-                     F.when(F.upper("ch").isin("G", "C"), 1).otherwise(0).cast("bigint").alias("gc"))
-    run = per.withColumn("_c", F.sum("gc").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead, behind = F.lead("_c", half).over(w), F.coalesce(F.lag("_c", half + 1).over(w), F.lit(0))
-    run = run.withColumn("gc_count", ahead - behind)
-    return run.filter((F.floor(F.col("pos") / tile) == F.col("tile")) & (F.col("pos") >= half)
-                      & F.col("gc_count").isNotNull()).select("chrom", "pos", "gc_count")
-
-
 def hash_sample(df: DataFrame, number: Column, share: float, seed: int = 0) -> DataFrame:
     """Repeatable Bernoulli sample on a whole-number key."""
     return df.filter(F.pmod(number * 7919 + F.lit(seed) * 104729, F.lit(1_000_003)) < int(share * 1_000_003))
@@ -261,53 +250,6 @@ def hinge_columns(gc: Column, knots: list[float]) -> dict[str, Column]:
 KNOTS = [0.3, 0.4, 0.5, 0.6, 0.7]
 
 
-def fit_bias(train: DataFrame, factors: list[str], knots: list[float] = KNOTS, negative_binomial: bool = False,
-             rounds: int = 4):
-    """Poisson regression of counts on a GC spline and base indicators; returns (model, inputs, theta).
-
-    The negative-binomial form solves the same score equations with weights 1/(1+rate/theta), so it
-    is the Poisson fit repeated with the weights of the round before.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    basis = hinge_columns(F.col("gc"), knots)
-    df = train.withColumns(basis)
-    inputs = [*basis, *factors]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features")
-
-    def fit(weight: Column):
-        glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", weightCol="_w", regParam=1e-6, maxIter=25)
-        return glm.fit(vectors.transform(df.withColumn("_w", weight)).select("n", "features", "_w"))
-
-    def dispersion(model) -> float:
-        rate = linear_rate(model, inputs)
-        s = df.select((F.col("n") / rate).alias("r"), rate.alias("m")).agg(
-            F.var_samp("r").alias("v"), F.avg("m").alias("m"), F.avg(F.col("m") * F.col("m")).alias("m2")).first()
-        return 1.0 / max((s["v"] * s["m2"] - s["m"]) / (s["m"] ** 2), 0.1)
-
-    model = fit(F.lit(1.0))
-    theta = dispersion(model)
-    for _ in range(rounds if negative_binomial else 0):
-        model = fit(1 / (1 + linear_rate(model, inputs) / theta))
-        theta = dispersion(model)
-    return model, inputs, theta
-
-
-def linear_rate(model, inputs: list[str]) -> Column:
-    """exp(intercept + sum of coefficient * column); the fitted numbers become literals of the plan."""
-    lin = F.lit(float(model.intercept))
-    for name, c in zip(inputs, model.coefficients):
-        lin = lin + F.col(name) * F.lit(float(c))
-    return F.exp(lin)
-
-
-def expected_rate(positions: DataFrame, model, inputs: list[str], knots: list[float] = KNOTS) -> DataFrame:
-    """Expected count per position from a fitted model."""
-    basis = hinge_columns(F.col("gc"), knots)
-    return positions.withColumns(basis).withColumn("rate", linear_rate(model, inputs)).drop(*basis)
-
-
 def rate_from_terms(intercept: float, terms: dict[str, float]) -> Column:
     lin = F.lit(intercept)
     for name, c in terms.items():

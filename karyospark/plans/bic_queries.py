@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from karyospark.operators import bic, segmentation
+from karyospark.operators import bias, bic, segmentation
 from karyospark.operators.intervals import overlap_sum
 from karyospark.operators.reference import per_bin
 from karyospark.plans import ratio_chain
@@ -94,46 +97,49 @@ add_cte("rated", """SELECT *, exp(-1.0 + (0.2::DOUBLE + ((pos // 1000) % 61) / 1
 
 
 @query("a54_a58_expected_per_bin", """
-    SELECT sample, chrom, pos // 5000000 AS bin, CAST(sum(n) AS BIGINT) AS obs, round(sum(rate), 6) AS expected,
+    SELECT sample, chrom, pos // 400000 AS bin, CAST(sum(n) AS BIGINT) AS obs, round(sum(rate), 6) AS expected,
            round(sum(rate + rate * rate / 4.0), 6) AS var FROM rated GROUP BY ALL""")
 def _(spark, sf):
-    df = bic.bin_expectation(_rated(spark, sf).withColumn("bin", F.expr("pos div 5000000")), ["sample", "chrom", "bin"], 4.0)
+    df = bic.bin_expectation(_rated(spark, sf).withColumn("bin", F.expr(f"pos div {READ_BIN}")), ["sample", "chrom", "bin"], 4.0)
     return df.withColumn("expected", r6(F.col("expected"))).withColumn("var", r6(F.col("var")))
 
 
 @query("j11_mappable_positions_with_counts", """
-    SELECT chrom, count(*) AS positions, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n = 0) AS empty FROM (
-      SELECT m.chrom, m.pos, coalesce(c.n, 0) AS n FROM (
-        SELECT DISTINCT chrom, unnest(range(start // 1000, ("end" - 1) // 1000 + 1)) AS pos FROM islands) m
-      LEFT JOIN (SELECT chrom, pos // 1000 AS pos, CAST(sum(n) AS BIGINT) AS n FROM pos_counts GROUP BY ALL) c
-        ON c.chrom = m.chrom AND c.pos = m.pos) GROUP BY chrom""")
+    SELECT m.chrom, m.positions, CAST(coalesce(c.n, 0) AS BIGINT) AS n, m.positions - coalesce(c.covered, 0) AS empty
+    FROM (SELECT chrom, CAST(sum("end" - start) AS BIGINT) AS positions FROM islands GROUP BY chrom) m
+    LEFT JOIN (SELECT p.chrom, sum(n) AS n, count(*) AS covered
+               FROM (SELECT chrom, pos, CAST(sum(n) AS BIGINT) AS n FROM pos_counts GROUP BY ALL) p
+               JOIN islands i ON i.chrom = p.chrom AND p.pos >= i.start AND p.pos < i."end" GROUP BY p.chrom) c ON c.chrom = m.chrom""")
 def _(spark, sf):
-    # Positions at a resolution of 1 kb, as every one of them is listed.
-    m = bic.disjoint_pieces(_mappable(spark, sf), ["chrom"]).select(
-        "chrom", F.explode(F.sequence(F.expr("start div 1000"), F.expr("(`end` - 1) div 1000"))).alias("pos")).distinct()
-    c = _pos_counts(spark, sf).groupBy("chrom", F.expr("pos div 1000").alias("pos")).agg(F.sum("n").alias("n"))
-    df = m.join(c, ["chrom", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return df.groupBy("chrom").agg(F.count("*").alias("positions"), F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("empty"))
+    c = _pos_counts(spark, sf).groupBy("chrom", "pos").agg(F.sum("n").alias("n"))
+    runs = bic.mappable_runs(c, bic.disjoint_pieces(_mappable(spark, sf), ["chrom"]), ["chrom"])
+    size = F.col("end") - F.col("start")
+    return runs.groupBy("chrom").agg(F.sum(size).alias("positions"), F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 0, size).otherwise(0)).alias("empty"))
+
+
+# Samples of one sex together, as a single one has fewer covered positions on a chromosome than the window.
+add_cte("pooled_counts", """SELECT sample, chrom, pos, CASE WHEN pos % 11 = 0 THEN n * 40 ELSE n END AS n FROM (
+    SELECT CASE WHEN CAST(substring(sample, 2) AS BIGINT) % 2 = 0 THEN 'female' ELSE 'male' END AS sample, chrom, pos,
+           CAST(sum(n) AS BIGINT) AS n FROM pos_counts GROUP BY 1, 2, 3)""")
 
 
 @query("w10_outlier_cap", """
     SELECT sample, chrom, pos, least(n, CAST(q * 5 AS BIGINT)) AS n FROM (
       SELECT *, list_sort(list(n) OVER w)[CAST(ceil(0.95::DOUBLE * len(list(n) OVER w)) AS BIGINT)] AS qq,
-             CASE WHEN rk < 9 THEN first_value(qq0) OVER e WHEN rk > greatest(sz - 11, 9) THEN last_value(qq0) OVER e END AS qe,
+             CASE WHEN rk < 99 THEN max(CASE WHEN rk = 99 THEN qq0 END) OVER e
+                  WHEN rk > greatest(sz - 101, 99) THEN max(CASE WHEN rk = greatest(sz - 101, 99) THEN qq0 END) OVER e END AS qe,
              coalesce(qe, qq) AS q
-      FROM (SELECT *, CASE WHEN rk = 9 OR rk = greatest(sz - 11, 9) THEN
-                   list_sort(list(n) OVER (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING)) END AS full_w,
+      FROM (SELECT *, CASE WHEN rk = 99 OR rk = greatest(sz - 101, 99) THEN
+                   list_sort(list(n) OVER (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING)) END AS full_w,
                    full_w[CAST(ceil(0.95::DOUBLE * len(full_w)) AS BIGINT)] AS qq0
-            FROM (SELECT sample, chrom, pos, CASE WHEN pos % 11 = 0 THEN n * 40 ELSE n END AS n,
-                         row_number() OVER (PARTITION BY sample, chrom ORDER BY pos) - 1 AS rk,
-                         count(*) OVER (PARTITION BY sample, chrom) AS sz FROM pos_counts))
-      WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING),
-             e AS (PARTITION BY sample, chrom))""".replace(
-    "first_value(qq0) OVER e", "max(CASE WHEN rk = 9 THEN qq0 END) OVER e").replace(
-    "last_value(qq0) OVER e", "max(CASE WHEN rk = greatest(sz - 11, 9) THEN qq0 END) OVER e"))
+            FROM (SELECT sample, chrom, pos, n, row_number() OVER (PARTITION BY sample, chrom ORDER BY pos) - 1 AS rk,
+                         count(*) OVER (PARTITION BY sample, chrom) AS sz FROM pooled_counts))
+      WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING),
+             e AS (PARTITION BY sample, chrom))""")
 def _(spark, sf):
-    spiked = _pos_counts(spark, sf).withColumn("n", F.when(F.col("pos") % 11 == 0, F.col("n") * 40).otherwise(F.col("n")))
-    return bic.cap_outliers(spiked, window=20, block=40)
+    sex = F.when(F.substring("sample", 2, 10).cast("bigint") % 2 == 0, "female").otherwise("male")
+    pooled = _pos_counts(spark, sf).groupBy(sex.alias("sample"), "chrom", "pos").agg(F.sum("n").alias("n"))
+    return bic.cap_outliers(pooled.withColumn("n", F.when(F.col("pos") % 11 == 0, F.col("n") * 40).otherwise(F.col("n"))))
 
 
 add_cte("contigs", """SELECT chrom, string_agg(seq, '' ORDER BY "offset") AS s, CAST(sum(length(seq)) AS BIGINT) AS len
@@ -145,30 +151,51 @@ add_cte("contigs", """SELECT chrom, string_agg(seq, '' ORDER BY "offset") AS s,
       SELECT chrom, p, sum(CASE WHEN c IN ('G', 'C', 'g', 'c') THEN 1 ELSE 0 END) OVER w AS g, count(*) OVER w AS k
       FROM (SELECT chrom, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS c
             FROM (SELECT chrom, regexp_extract_all(s, '(?s).') AS l FROM contigs))
-      WINDOW w AS (PARTITION BY chrom ORDER BY p ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)) WHERE k = 101 GROUP BY chrom""")
+      WINDOW w AS (PARTITION BY chrom ORDER BY p ROWS BETWEEN 300 PRECEDING AND 300 FOLLOWING)) WHERE k = 601 GROUP BY chrom""")
 def _(spark, sf):
-    df = bic.gc_window(ref_chunks(spark, sf), 50)
-    return df.groupBy("chrom").agg(F.count("*").alias("positions"), F.sum("gc_count").alias("gc_sum"),
-                                   F.sum(F.col("gc_count") * (F.col("pos") % 1009)).alias("mark"))
+    zero = F.lit(0).cast("bigint")
+    marked = F.transform("counts", lambda g, i: g * ((F.col("first") + i) % 1009))
+    t = bias.gc_window_tiles(ref_chunks(spark, sf), 300).select(
+        "chrom", F.size("counts").alias("k"), F.aggregate("counts", zero, lambda a, g: a + g).alias("g"), F.aggregate(marked, zero, lambda a, g: a + g).alias("m"))
+    return t.groupBy("chrom").agg(F.sum("k").alias("positions"), F.sum("g").alias("gc_sum"), F.sum("m").alias("mark"))
+
+
+# Events as read positions anywhere on the document contigs.
+add_cte("marked", """
+    SELECT event_id, chrom, (event_id * 7919) % len AS pos, user_id % 5 AS n, len, s
+    FROM (SELECT *, 'D' || (event_id // 10) AS chrom FROM events) JOIN contigs USING (chrom) WHERE len > 0""")
 
 
 def _marked(spark, sf):
-    """Events as read positions on the document contigs."""
-    return table(spark, sf, "events").select(
-        F.concat(F.lit("D"), F.expr("event_id div 10").cast("string")).alias("chrom"),
-        ((F.col("event_id") * 7919) % 3000).alias("pos"), (F.col("user_id") % 5).alias("n"), "event_id")
+    length = ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).cast("bigint").alias("_length"))
+    e = table(spark, sf, "events").select(F.concat(F.lit("D"), F.expr("event_id div 10").cast("string")).alias("chrom"), "event_id",
+                                          (F.col("user_id") % 5).alias("n"))
+    return e.join(length.filter("_length > 0"), "chrom").withColumn("pos", (F.col("event_id") * 7919) % F.col("_length")).drop("_length")
+
+
+FRAGMENT, FLANK, READ_LENGTH = 300, 5, 50
+OFFSETS = bias.read_offsets(FLANK, READ_LENGTH)
+_SEEN = ["G-5", "C-1", "T0", "G4", "C45", "T50", "G54"]
 
 
 @query("a55_training_covariates", """
-    SELECT event_id, chrom, pos, round(length(regexp_replace(substring(s, pos - 19, 41), '[^GCgc]', '', 'g')) / 41.0::DOUBLE, 6) AS gc,
-           CASE WHEN upper(s[pos - 1]) = 'G' THEN 1 ELSE 0 END AS g_m2, CASE WHEN upper(s[pos]) = 'C' THEN 1 ELSE 0 END AS c_m1,
-           CASE WHEN upper(s[pos + 1]) = 'T' THEN 1 ELSE 0 END AS t_0, CASE WHEN upper(s[pos + 2]) = 'G' THEN 1 ELSE 0 END AS g_1
-    FROM (SELECT event_id, 'D' || (event_id // 10) AS chrom, (event_id * 7919) % 3000 AS pos FROM events) e
-    JOIN contigs USING (chrom) WHERE pos >= 20 AND pos + 20 < len""")
+    SELECT event_id, chrom, pos, round(length(regexp_replace(substring(s, pos - 299, 601), '[^GCgc]', '', 'g')) / 601.0::DOUBLE, 6) AS gc, """ + ", ".join(
+    f"""CASE WHEN upper(substring(s, pos + {int(c[1:]) + 1}, 1)) = '{c[0]}' THEN 1 ELSE 0 END AS {c.replace("-", "m").lower()}""" for c in _SEEN) + """
+    FROM marked WHERE pos >= 300 AND pos + 300 < len""")
 def _(spark, sf):
-    df = bic.training_covariates(_marked(spark, sf), ref_chunks(spark, sf), 20, 2, tile=1024)
-    return df.select("event_id", "chrom", "pos", r6(F.col("gc")).alias("gc"), F.col("G-2").alias("g_m2"),
-                     F.col("C-1").alias("c_m1"), F.col("T0").alias("t_0"), F.col("G1").alias("g_1"))
+    df = bias.training_covariates(_marked(spark, sf), ref_chunks(spark, sf), FRAGMENT, FLANK, read_length=READ_LENGTH)
+    return df.select("event_id", "chrom", "pos", r6(F.col("gc")).alias("gc"), *[F.col(c).alias(c.replace("-", "m").lower()) for c in _SEEN])
+
+
+@query("a55_whole_read_covariates", """
+    SELECT event_id, pos, length(regexp_replace(upper(substring(s, pos - 4, 60)), '[^G]', '', 'g')) AS g,
+           length(regexp_replace(upper(substring(s, pos - 4, 60)), '[^T]', '', 'g')) AS t
+    FROM marked WHERE pos >= 300 AND pos + 300 < len""")
+def _(spark, sf):
+    offsets = bias.read_offsets(FLANK, READ_LENGTH, whole_read=True)
+    df = bias.covariates(_marked(spark, sf), ref_chunks(spark, sf), FRAGMENT, offsets)
+    held = {c: F.aggregate("letters", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x == k, 1).otherwise(0)) for c, k in (("g", 1), ("t", 3))}  # noqa: B023
+    return df.select("event_id", "pos", *[n.alias(c) for c, n in held.items()])
 
 
 @query("a56_hash_sample", """
@@ -177,31 +204,91 @@ def _(spark, sf):
     return bic.hash_sample(_pos_counts(spark, sf), F.col("pos"), 0.02, 7)
 
 
-def _marked_anywhere(spark, sf):
-    """The same positions over the whole length of their contigs."""
-    length = ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).cast("bigint").alias("_length"))
-    return _marked(spark, sf).join(length.filter("_length > 0"), "chrom").withColumn(
-        "pos", (F.col("event_id") * 7919) % F.col("_length")).drop("_length")
+def _cells(spark, sf):
+    return bias.covariate_cells(bias.covariates(_marked(spark, sf), ref_chunks(spark, sf), FRAGMENT, OFFSETS))
 
 
 @query("a57_bias_regression_curve")
 def _(spark, sf):
-    train = bic.training_covariates(_marked_anywhere(spark, sf), ref_chunks(spark, sf), 300, 5).withColumn(
-        "n", F.col("n").cast("double"))
-    factors = [f"{base}{k}" for k in range(-5, 5) for base in "GCT"]
-    model, inputs, theta = bic.fit_bias(train, factors)
-    grid = train.groupBy(F.round("gc", 2).alias("gc")).agg(F.count("*").alias("positions"), F.avg("n").alias("observed"))
-    flat = grid.withColumns({c: F.lit(0) for c in factors})
-    return bic.expected_rate(flat, model, inputs).select("gc", "positions", "observed", "rate", F.lit(theta).alias("theta"))
+    cells = _cells(spark, sf)
+    model = bias.fit_bias(cells, FRAGMENT, OFFSETS)
+    grid = cells.groupBy("gc_count").agg(F.sum("positions").alias("positions"), (F.sum("reads") / F.sum("positions")).alias("observed"))
+    flat = grid.withColumn("letters", F.array_repeat(F.lit(0).cast("tinyint"), len(OFFSETS)))
+    return flat.select((F.col("gc_count") / 601.0).alias("gc"), "positions", "observed", model.rate().alias("rate"), F.lit(model.theta).alias("theta"))
+
+
+# The fit itself cannot be SQL, but its score equations can: for each term the expected reads of a Poisson fit equal the observed ones.
+@query("a57_score_equations", """
+    SELECT term, positions, CAST(reads AS DOUBLE) AS reads, CAST(reads AS DOUBLE) AS expected FROM (
+      SELECT 'all' AS term, count(*) AS positions, sum(n) AS reads FROM marked WHERE pos >= 300 AND pos + 300 < len""" + "".join(
+    f"""
+      UNION ALL SELECT '{letter}{k}', count(*), coalesce(sum(n), 0) FROM marked
+      WHERE pos >= 300 AND pos + 300 < len AND upper(substring(s, pos + {k + 1}, 1)) = '{letter}'""" for k in OFFSETS for letter in "GCT") + ")")
+def _(spark, sf):
+    cells = _cells(spark, sf)
+    model = bias.fit_bias(cells, FRAGMENT, OFFSETS)
+    judged = cells.select("positions", "reads", (F.col("positions") * model.rate()).alias("expected"), "letters")
+    names = [F.when(F.get("letters", F.lit(i)) == code, f"{letter}{k}") for i, k in enumerate(OFFSETS) for code, letter in enumerate("GCT", 1)]
+    held = judged.select("positions", "reads", "expected", F.explode(F.concat(F.array(F.lit("all")), F.array_compact(F.array(*names)))).alias("term"))
+    sums = held.groupBy("term").agg(F.sum("positions").alias("positions"), F.sum("reads").alias("reads"), F.round(F.sum("expected"), 4).alias("expected"))
+    every = spark.createDataFrame([("all",), *((f"{letter}{k}",) for k in OFFSETS for letter in "GCT")], "term string")
+    zero = F.lit(0.0)
+    return F.broadcast(every).join(sums, "term", "left").select("term", F.coalesce("positions", F.lit(0).cast("bigint")).alias("positions"),
+                                                                 F.coalesce("reads", zero).alias("reads"), F.coalesce("expected", zero).alias("expected"))
+
+
+# A model in round numbers, so that SQL can work out the same rates: GC spline, letters at both read ends, refine curve.
+_GC_TERMS, _REFINE_TERMS = [0.9, -0.4, 0.2, 1.5, -2.0, 0.5, 0.3], [0.05, 0.02, -0.03, 0.1, 0.0, 0.0, -0.2]
+LITERAL_MODEL = bias.BiasModel(
+    FRAGMENT, OFFSETS, bias.Spline(0.0, 0.5), -3.0, _GC_TERMS, np.array([[((3 * i + j) % 7 - 3) / 100 for j in range(3)] for i in range(len(OFFSETS))]),
+    4.0, (bias.Spline(0.0, 0.5), 0.01, _REFINE_TERMS))
+
+
+def _spline_sql(terms: list[float]) -> str:
+    parts = ["u", "u * u", "u * u * u", *(f"pow(greatest(x - {k}, 0), 3)" for k in bias.KNOTS)]
+    return " + ".join(f"({c}::DOUBLE) * {p}" for c, p in zip(terms, parts, strict=True))
+
+
+def _letter_sql(i: int, k: int) -> str:
+    at = f"lead(c, {k}) OVER o" if k >= 0 else f"lag(c, {-k}) OVER o"
+    g, c, t = (((3 * i + j) % 7 - 3) / 100 for j in range(3))
+    return f"CASE {at} WHEN 'G' THEN {g}::DOUBLE WHEN 'C' THEN {c}::DOUBLE WHEN 'T' THEN {t}::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query("a58_expected_per_bin_from_sequence", f"""
+    SELECT chrom, p // 1000 AS bin, count(*) AS positions, round(sum(rate), 6) AS expected, round(sum(rate + rate * rate / 4.0::DOUBLE), 6) AS var,
+           round(avg(g / 601.0::DOUBLE), 6) AS gc
+    FROM (SELECT chrom, p, g, exp(-3.0::DOUBLE + {_spline_sql(_GC_TERMS)} + 0.01::DOUBLE + {_spline_sql(_REFINE_TERMS)} + letters) AS rate
+          FROM (SELECT *, 2 * x - 1 AS u FROM (SELECT chrom, p, g, letters, least(g / 601.0::DOUBLE / 0.5::DOUBLE, 1.0::DOUBLE) AS x
+            FROM (SELECT chrom, p, sum(CASE WHEN c IN ('G', 'C') THEN 1 ELSE 0 END) OVER w AS g, count(*) OVER w AS k,
+                         {" + ".join(_letter_sql(i, k) for i, k in enumerate(OFFSETS))} AS letters
+                  FROM (SELECT chrom, generate_subscripts(l, 1) - 1 AS p, upper(unnest(l)) AS c
+                        FROM (SELECT chrom, regexp_extract_all(s, '(?s).') AS l FROM contigs))
+                  WINDOW w AS (PARTITION BY chrom ORDER BY p ROWS BETWEEN 300 PRECEDING AND 300 FOLLOWING), o AS (PARTITION BY chrom ORDER BY p))
+            WHERE k = 601)))
+    GROUP BY ALL""")
+def _(spark, sf):
+    df = bias.bin_rates(ref_chunks(spark, sf), LITERAL_MODEL, 1000)
+    return df.select("chrom", "bin", "positions", r6(F.col("expected")).alias("expected"), r6(F.col("var")).alias("var"), r6(F.col("gc")).alias("gc"))
+
+
+@query("a58_bias_chain")
+def _(spark, sf):
+    """Counts to normalised bins: fit, rates, bins, outlier cut, refine curve, rates and bins with it."""
+    chunks, marked = ref_chunks(spark, sf), _marked(spark, sf)
+    model = bias.fit_bias(bias.covariate_cells(bias.covariates(marked, chunks, FRAGMENT, OFFSETS)), FRAGMENT, OFFSETS)
+    first = bias.observed_bins(bias.bin_rates(chunks, model, 1000), marked, 1000).withColumn("all", F.lit(1))
+    curve = bias.fit_refine_curve(bic.ratio_outlier_cut(first.filter("expected > 0"), ["all"]))
+    bins = bias.observed_bins(bias.bin_rates(chunks, dataclasses.replace(model, refine=curve), 1000), marked, 1000)
+    return bins.select("chrom", "bin", "positions", "gc", "obs", "expected", "var")
 
 
 @query("a59_refine_curve")
 def _(spark, sf):
     cut = bic.ratio_outlier_cut(bic_bins(spark, sf).filter("expected > 0"), ["sample"])
-    model, inputs = bic.fit_refine(cut)
-    lin = bic.refine_term(model, inputs)
+    spline, intercept, coefficients = bias.fit_refine_curve(cut)
     grid = cut.groupBy(F.round("gc", 2).alias("gc")).agg(F.count("*").alias("bins"), F.avg("log_ratio").alias("mean_log_ratio"))
-    return grid.withColumns(bic.hinge_columns(F.col("gc"), bic.KNOTS)).select("gc", "bins", "mean_log_ratio", lin.alias("curve"))
+    return grid.select("gc", "bins", "mean_log_ratio", (F.lit(intercept) + spline.column(F.col("gc"), coefficients)).alias("curve"))
 
 
 @query("a59_ratio_outlier_cut", """

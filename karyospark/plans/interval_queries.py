@@ -44,12 +44,12 @@ def _(spark, sf):
 
 
 @query("j03_bins_overlapping_bed", f"""
-    SELECT chrom, bin, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = g.chrom AND r.start < (g.bin + 1) * 1000000
-                               AND r."end" > g.bin * 1000000) AS touched
-    FROM (SELECT chrom, unnest(range(0, length // 1000000)) AS bin FROM chromosomes) g""")
+    SELECT chrom, bin, EXISTS (SELECT 1 FROM regions r WHERE r.chrom = g.chrom AND r.start < (g.bin + 1) * {B}
+                               AND r."end" > g.bin * {B}) AS touched
+    FROM (SELECT chrom, unnest(range(0, length // {B})) AS bin FROM chromosomes) g""")
 def _(spark, sf):
-    grid = bin_grid(spark, 1_000_000).select("chrom", "bin", (F.col("bin") * 1_000_000).alias("start"),
-                                             ((F.col("bin") + 1) * 1_000_000).alias("end"))
+    grid = bin_grid(spark, B).select("chrom", "bin", (F.col("bin") * B).alias("start"),
+                                             ((F.col("bin") + 1) * B).alias("end"))
     return intervals.touched(grid, regions(spark, sf).select("chrom", "start", "end"), ["chrom"], ["bin"])
 
 
@@ -176,31 +176,39 @@ def _(spark, sf):
 add_cte("bin_at", """SELECT b.sample, b.chrom_num, b.bin, b.start, b."end", b.obs FROM bic_bins b""")
 
 
+add_cte("callers", "SELECT DISTINCT sample, algorithm FROM segments")
+
+
+def _bins_per_caller(spark, sf):
+    """Bins of a sample once for each caller that has segments of it."""
+    callers = segments(spark, sf).select("sample", "algorithm").distinct()
+    return bic_bins(spark, sf).select("sample", "chrom_num", "bin", "start", "end").join(callers, "sample")
+
+
 @query("j08_point_in_segment", """
-    SELECT b.sample, b.chrom_num, b.bin, coalesce(max_by(CASE WHEN copy_number >= 2.3 THEN 'gain'
+    SELECT b.sample, b.algorithm, b.chrom_num, b.bin, coalesce(max_by(CASE WHEN copy_number >= 2.3 THEN 'gain'
            WHEN copy_number <= 1.7 THEN 'loss' ELSE 'normal' END, s.start * 10000000 + seg_id) FILTER (b.start <= s."end"),
            'no_change') AS state
-    FROM (SELECT DISTINCT sample, chrom_num, bin, start FROM bin_at) b
-    LEFT JOIN (SELECT * FROM segments WHERE algorithm = 'cbs') s
-      ON s.sample = b.sample AND s.chrom_num = b.chrom_num AND s.start <= b.start AND b.start <= s."end"
-    GROUP BY b.sample, b.chrom_num, b.bin""")
+    FROM (SELECT DISTINCT sample, algorithm, chrom_num, bin, start FROM bin_at JOIN callers USING (sample)) b
+    LEFT JOIN segments s
+      ON s.sample = b.sample AND s.algorithm = b.algorithm AND s.chrom_num = b.chrom_num AND s.start <= b.start AND b.start <= s."end"
+    GROUP BY b.sample, b.algorithm, b.chrom_num, b.bin""")
 def _(spark, sf):
-    seg = segments(spark, sf).filter("algorithm = 'cbs'").withColumn("state", calls.call_web(F.col("copy_number")))
-    pts = bic_bins(spark, sf).select("sample", "chrom_num", "bin", "start")
-    df = intervals.segment_at(pts, seg, ["sample", "chrom_num"], "start", "state")
-    return df.select("sample", "chrom_num", "bin", F.coalesce("state", F.lit("no_change")).alias("state"))
+    seg = segments(spark, sf).withColumn("state", calls.call_web(F.col("copy_number")))
+    df = intervals.segment_at(_bins_per_caller(spark, sf).drop("end"), seg, ["sample", "algorithm", "chrom_num"], "start", "state")
+    return df.select("sample", "algorithm", "chrom_num", "bin", F.coalesce("state", F.lit("no_change")).alias("state"))
 
 
 @query("j09_bin_inside_segment", """
-    SELECT b.sample, b.chrom_num, b.bin, min_by(s.copy_number, s.seg_id) AS copy_number
-    FROM bin_at b LEFT JOIN (SELECT * FROM segments WHERE algorithm = 'cbs') s
-      ON s.sample = b.sample AND s.chrom_num = b.chrom_num AND b.start >= s.start AND b."end" <= s."end"
-    GROUP BY b.sample, b.chrom_num, b.bin""")
+    SELECT b.sample, b.algorithm, b.chrom_num, b.bin, min_by(s.copy_number, s.seg_id) AS copy_number
+    FROM (SELECT * FROM bin_at JOIN callers USING (sample)) b LEFT JOIN segments s
+      ON s.sample = b.sample AND s.algorithm = b.algorithm AND s.chrom_num = b.chrom_num AND b.start >= s.start AND b."end" <= s."end"
+    GROUP BY b.sample, b.algorithm, b.chrom_num, b.bin""")
 def _(spark, sf):
-    seg = segments(spark, sf).filter("algorithm = 'cbs'").select("sample", "chrom_num", "start", "end", "copy_number", "seg_id")
-    pts = bic_bins(spark, sf).select("sample", "chrom_num", "bin", "start", "end")
-    df = intervals.first_hit(pts, seg, ["sample", "chrom_num"], ["bin"], "copy_number", "seg_id", inside=True, closed=True)
-    return df.select("sample", "chrom_num", "bin", "copy_number")
+    seg = segments(spark, sf).select("sample", "algorithm", "chrom_num", "start", "end", "copy_number", "seg_id")
+    df = intervals.first_hit(_bins_per_caller(spark, sf), seg, ["sample", "algorithm", "chrom_num"], ["bin"], "copy_number", "seg_id",
+                             inside=True, closed=True)
+    return df.select("sample", "algorithm", "chrom_num", "bin", "copy_number")
 
 
 @query("j10_positions_outside_intervals", """
@@ -216,10 +224,10 @@ def _(spark, sf):
 @query("j12_positions_far_from_gaps", """
     SELECT chrom, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM reads x
     WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.chrom = x.chrom
-                      AND x.pos BETWEEN r.start - 100000 AND r."end" + 100000) GROUP BY ALL""")
+                      AND x.pos BETWEEN r.start - 1000000 AND r."end" + 1000000) GROUP BY ALL""")
 def _(spark, sf):
     from karyospark.operators.bic import far_from_gaps
-    df = far_from_gaps(reads(spark, sf).select("chrom", "pos"), regions(spark, sf), distance=100_000)
+    df = far_from_gaps(reads(spark, sf).select("chrom", "pos"), regions(spark, sf))
     return df.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 
@@ -237,12 +245,12 @@ def _(spark, sf):
 @query("j14_aligned_combine", """
     SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.bin, b.bin) AS bin, a.obs AS obs_a, b.obs AS obs_b,
            a.obs IS NOT NULL AND b.obs IS NOT NULL AS aligned
-    FROM (SELECT chrom, pos // 5000000 AS bin, count(*) AS obs FROM reads WHERE flag & 16 = 0 GROUP BY ALL) a
-    FULL JOIN (SELECT chrom, pos // 5000000 AS bin, count(*) AS obs FROM reads WHERE flag & 16 <> 0 GROUP BY ALL) b
+    FROM (SELECT chrom, pos // 400000 AS bin, count(*) AS obs FROM reads WHERE flag & 16 = 0 GROUP BY ALL) a
+    FULL JOIN (SELECT chrom, pos // 400000 AS bin, count(*) AS obs FROM reads WHERE flag & 16 <> 0 GROUP BY ALL) b
     ON a.chrom = b.chrom AND a.bin = b.bin""")
 def _(spark, sf):
     from karyospark.operators.bic import combine_aligned
-    b = reads(spark, sf).groupBy("chrom", F.expr("pos div 5000000").alias("bin"), F.col("flag").bitwiseAND(F.lit(16)).alias("s")).agg(
+    b = reads(spark, sf).groupBy("chrom", F.expr(f"pos div {B}").alias("bin"), F.col("flag").bitwiseAND(F.lit(16)).alias("s")).agg(
         F.count("*").alias("obs"))
     return combine_aligned(b.filter("s = 0").drop("s"), b.filter("s <> 0").drop("s"), ["chrom", "bin"], "obs")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from karyospark.operators import bic, segmentation as sg
+from karyospark.operators import bias, bic, segmentation as sg
 
 
 def test_lowess_follows_a_curve_and_ignores_outliers():
@@ -142,15 +142,53 @@ def test_chi_square_tail(spark):
         assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-6)
 
 
-def test_bias_regression_recovers_gc_slope(spark):
+def _cells(spark, gc, letters, n, fragment=300):
+    rows = [(int(round(g * (2 * fragment + 1))), [int(x) for x in c], float(v)) for g, c, v in zip(gc, letters, n)]
+    return bias.covariate_cells(spark.createDataFrame(rows, "gc_count int, letters array<tinyint>, n double"))
+
+
+def test_bias_regression_recovers_gc_slope_and_letters(spark):
     rng = np.random.default_rng(10)
-    rows = [(float(g), int(c), float(rng.poisson(math.exp(0.5 + 2 * g - 0.4 * c)))) for g, c in zip(rng.uniform(0.3, 0.7, 3000), rng.integers(0, 2, 3000))]
-    train = spark.createDataFrame(rows, "gc double, C0 int, n double")
-    model, inputs, theta = bic.fit_bias(train, ["C0"], knots=[0.5])
-    at = spark.createDataFrame([(0.4, 0), (0.6, 1)], "gc double, C0 int")
-    got = [r.rate for r in bic.expected_rate(at, model, inputs, [0.5]).orderBy("gc").collect()]
-    assert got == pytest.approx([math.exp(1.3), math.exp(1.3)], rel=0.08)
-    assert 0 < theta <= 10.0
+    gc, letters = rng.uniform(0.3, 0.7, 4000), rng.integers(0, 4, (4000, 2))
+    effect = np.array([[0, 0.3, -0.4, 0.1], [0, 0.0, 0.2, -0.2]])
+    n = rng.poisson(np.exp(0.5 + 2 * gc + effect[0][letters[:, 0]] + effect[1][letters[:, 1]]))
+    cells = _cells(spark, gc, letters, n)
+    model = bias.fit_bias(cells, 300, [-1, 0])
+    assert np.abs(model.letters - effect[:, 1:]).max() < 0.06 and 0 < model.theta <= 10.0 and model.steps < 15
+    at = spark.createDataFrame([(240, [0, 0]), (361, [2, 0])], "gc_count int, letters array<tinyint>")
+    got = [r.rate for r in at.select(model.rate().alias("rate")).collect()]
+    assert got == pytest.approx([math.exp(0.5 + 2 * 240 / 601), math.exp(0.1 + 2 * 361 / 601)], rel=0.08)
+    # the score equations hold: expected reads equal observed ones for each term
+    judged = cells.withColumn("expected", F.col("positions") * model.rate())
+    for i in range(2):
+        for code in (1, 2, 3):
+            r = judged.where(F.get("letters", F.lit(i)) == code).agg(F.sum("expected"), F.sum("reads")).first()
+            assert r[0] == pytest.approx(r[1], rel=1e-7)
+
+
+def test_bias_fits_of_odd_training_sets(spark):
+    none = bias.fit_bias(_cells(spark, [], [], []), 300, [0])
+    assert none.intercept == -math.inf and spark.createDataFrame([(5, [1])], "gc_count int, letters array<tinyint>").select(none.rate()).first()[0] == 0
+    one = bias.fit_bias(_cells(spark, [0.5] * 4, [[1]] * 4, [1, 2, 3, 2]), 300, [0])  # one cell: all columns but the mean are undetermined
+    cell = spark.createDataFrame([(300, [1])], "gc_count int, letters array<tinyint>").select(one.rate()).first()[0]
+    assert cell == pytest.approx(2.0)
+
+
+def test_bin_rates_sum_the_rates_of_positions(spark):
+    rng = np.random.default_rng(12)
+    seq = "".join(rng.choice(list("ACGTN"), 700))
+    chunks = spark.createDataFrame([("c", a, seq[a:b]) for a, b in ((0, 90), (90, 91), (91, 700))] + [("short", 0, "ACGT")], "chrom string, offset bigint, seq string")
+    refine = (bias.Spline(0.2, 0.8), 0.05, [0.1, -0.05, 0.02, 0.3, 0, 0, 0.1])
+    model = bias.BiasModel(20, bias.read_offsets(3, 25), bias.Spline(0.1, 0.7), -1.0, [0.5, -0.2, 0.1, 0.3, -0.1, 0.2, 0.4], rng.normal(0, 0.1, (12, 3)), 4.0, refine)
+    got = {r.bin: r for r in bias.bin_rates(chunks, model, 50, tile=64).collect()}
+    positions = spark.createDataFrame([("c", p) for p in range(700)], "chrom string, pos bigint")
+    rows = bias.covariates(positions, chunks, 20, model.offsets, tile=128).withColumn("rate", model.rate()).collect()
+    assert len(rows) == 700 - 2 * 27
+    for k, r in got.items():
+        own = [x for x in rows if x.pos // 50 == k]
+        assert r.positions == len(own) and r.expected == pytest.approx(sum(x.rate for x in own)) and r["var"] == pytest.approx(sum(x.rate + x.rate**2 / 4 for x in own))
+        assert r.gc == pytest.approx(sum(x.gc_count for x in own) / 41 / len(own))
+    assert sum(r.positions for r in got.values()) == len(rows)
 
 
 def test_covariates_match_slices(spark):
@@ -158,14 +196,20 @@ def test_covariates_match_slices(spark):
     cuts = [0, 37, 37, 120, 300, 500]
     chunks = spark.createDataFrame([("c", a, seq[a:b]) for a, b in zip(cuts, cuts[1:])], "chrom string, offset bigint, seq string")
     pos = spark.createDataFrame([("c", p) for p in range(0, 500, 11)], "chrom string, pos bigint")
-    got = {r.pos: r for r in bic.training_covariates(pos, chunks, 12, 2, tile=64).collect()}
+    got = {r.pos: r for r in bias.training_covariates(pos, chunks, 12, 2, tile=64).collect()}
     assert sorted(got) == [p for p in range(0, 500, 11) if p >= 12 and p + 12 < 500]
     for p, r in got.items():
         w = seq[p - 12:p + 13]
         assert r.gc == pytest.approx((w.count("G") + w.count("C")) / 25)
         assert [r["G-2"], r["C-1"], r["T0"], r["G1"]] == [int(seq[p - 2] == "G"), int(seq[p - 1] == "C"), int(seq[p] == "T"), int(seq[p + 1] == "G")]
-    win = {r.pos: r.gc_count for r in bic.gc_window(chunks, 10, tile=64).collect()}
+    win = {r.pos: r.gc_count for r in bias.gc_window(chunks, 10, tile=64).collect()}
     assert win == {p: sum(c in "GC" for c in seq[p - 10:p + 11]) for p in range(10, 490)}
+    both = bias.training_covariates(pos, chunks, 12, 2, tile=64, read_length=9).collect()
+    whole = bias.training_covariates(pos, chunks, 12, 2, tile=64, read_length=9, whole_read=True).collect()
+    assert [r.pos for r in sorted(both, key=lambda r: r.pos)] == [p for p in range(0, 500, 11) if p >= 12 and p + 12 < 500]
+    for r in both:
+        assert [r["T7"], r["G10"]] == [int(seq[r.pos + 7] == "T"), int(seq[r.pos + 10] == "G")] and "G3" not in r
+    assert all([r["T3"], r["G10"]] == [int(seq[r.pos + 3] == "T"), int(seq[r.pos + 10] == "G")] for r in whole)
 
 
 def test_negative_binomial_and_polynomial_fits(spark):
@@ -173,15 +217,16 @@ def test_negative_binomial_and_polynomial_fits(spark):
     gc = rng.uniform(0.3, 0.7, 4000)
     mu = np.exp(1.0 + 1.5 * gc)
     n = rng.poisson(mu * rng.gamma(2.0, 0.5, 4000))
-    train = spark.createDataFrame([(float(g), float(c)) for g, c in zip(gc, n)], "gc double, n double")
-    model, inputs, theta = bic.fit_bias(train, [], knots=[0.5], negative_binomial=True)
-    got = bic.expected_rate(spark.createDataFrame([(0.5,)], "gc double"), model, inputs, [0.5]).first().rate
-    assert got == pytest.approx(math.exp(1.75), rel=0.08) and 1.4 < theta < 2.8
+    model = bias.fit_bias(_cells(spark, gc, np.zeros((4000, 0)), n), 300, [], negative_binomial=True)
+    got = spark.createDataFrame([(300, [])], "gc_count int, letters array<tinyint>").select(model.rate()).first()[0]
+    assert got == pytest.approx(math.exp(1.75), rel=0.08) and 1.4 < model.theta < 2.8
     bins = spark.createDataFrame([(float(g), float(0.3 - 0.8 * g + e)) for g, e in zip(gc, rng.normal(0, 0.02, 4000))], "gc double, log_ratio double")
     for polynomial in (False, True):
         model, inputs = bic.fit_refine(bins, polynomial=polynomial)
         at = spark.createDataFrame([(0.4,)], "gc double").withColumns(bic.hinge_columns(F.col("gc"), bic.KNOTS))
         assert at.select(bic.refine_term(model, inputs).alias("o")).first().o == pytest.approx(-0.02, abs=0.02)
+    spline, intercept, coefficients = bias.fit_refine_curve(bins)
+    assert intercept + float((spline.basis(np.array([0.4])) @ np.array(coefficients))[0]) == pytest.approx(-0.02, abs=0.005)
 
 
 def test_bias_positions_reach_the_end_of_long_contigs(spark):
