@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from karyospark.operators.intervals import overlap_sum, positions_outside
+from karyospark.operators.quantiles import exact_quantiles
 from karyospark.operators.running import BLOCK, carry_forward, running_totals
 from karyospark.session import materialise, spread
 
@@ -260,7 +261,7 @@ def rate_from_terms(intercept: float, terms: dict[str, float]) -> Column:
 def ratio_outlier_cut(bins: DataFrame, by: list[str]) -> DataFrame:
     """Bins with reads whose log(obs/expected) lies within 2 interquartile ranges of the quartiles."""
     df = bins.filter("obs > 0").withColumn("log_ratio", F.log(F.col("obs") / F.col("expected") + F.lit(EPS)))
-    q = df.groupBy(*by).agg(F.percentile("log_ratio", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, by, "log_ratio", [0.25, 0.75]).select(*by, "q")
     span = 2 * (F.col("q")[1] - F.col("q")[0])
     return df.join(q, by).filter(F.col("log_ratio").between(F.col("q")[0] - span, F.col("q")[1] + span)).drop("q")
 
@@ -362,11 +363,10 @@ def non_neutral(bins: DataFrame) -> DataFrame:
 
 def mad_cut(bins: DataFrame, by: list[str], value: str, width: float = 10.0) -> DataFrame:
     """Rows within median +- width * 1.4826 * MAD."""
-    med = bins.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    df = bins.join(med, by)
-    mad = df.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    half = F.lit(width * 1.4826) * F.col("_mad")
-    return df.join(mad, by).filter(F.abs(F.col(value) - F.col("_med")) <= half).drop("_med", "_mad")
+    med = exact_quantiles(bins, by, value, [0.5]).select(*by, F.col("q")[0].alias("_med"))
+    df = bins.join(med, by).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    mad = exact_quantiles(df, by, "_off", [0.5]).select(*by, F.col("q")[0].alias("_mad"))
+    return df.join(mad, by).filter(F.col("_off") <= F.lit(width * 1.4826) * F.col("_mad")).drop("_med", "_mad", "_off")
 
 
 # --- regions and segments ---------------------------------------------------------------------
@@ -573,7 +573,7 @@ def common_cnv(segments: DataFrame, segment_key: list[str], cutoff: float = 0.5)
 
 def count_gc_histogram(bins: DataFrame, gc_classes: int = 20, n_classes: int = 20) -> DataFrame:
     """Counts against GC: 2-D histogram inside the 5-95 % count range widened by 0.6 of it."""
-    q = bins.groupBy("sample").agg(F.percentile("obs", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    q = exact_quantiles(bins, ["sample"], "obs", [0.05, 0.95]).select("sample", "q")
     span = F.col("q")[1] - F.col("q")[0]
     df = bins.join(q, "sample").withColumn("_lo", F.col("q")[0] - 0.6 * span).withColumn("_hi", F.col("q")[1] + 0.6 * span)
     df = df.filter((F.col("obs") >= F.col("_lo")) & (F.col("obs") <= F.col("_hi")) & (F.col("_hi") > F.col("_lo")))

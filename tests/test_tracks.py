@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from karyospark.operators import counts, masks, reference, smoothing
-from karyospark.operators.bic import cap_outliers
+from karyospark.operators.bic import cap_outliers, disjoint_pieces
 from karyospark.schema import CHROMOSOME_LENGTHS
 
 B = 10_000_000
@@ -116,17 +116,68 @@ def test_outlier_cap_blocks_agree_with_one_block(spark):
                 assert capped[p] == min(n, 5 * win[-(-95 * len(win) // 100) - 1])
 
 
-def test_exact_quantiles_with_a_hot_group(spark):
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_exact_quantiles_with_a_hot_group(spark, block):
     import numpy as np
 
     from karyospark.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(12)
     rows = [("hot" if i % 3 else rng.choice(["a", "b", "c"]), float(np.round(rng.normal(), 2)) if i % 7 else 0.5) for i in range(900)]
-    rows += [("one", 3.0), ("none", None)]
-    df = spark.createDataFrame([(str(k), v) for k, v in rows], "k string, v double")
+    rows += [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0), *(("wild", float(10.0**k * (-1) ** k)) for k in range(-80, 80))]
+    df = spark.createDataFrame([(None if k is None else str(k), v) for k, v in rows], "k string, v double")
     cuts = [0.0, 0.1, 0.5, 0.77, 1.0]
-    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", cuts, block=3).collect()}
-    for k in ("hot", "a", "b", "c", "one"):
+    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", cuts, block=block).collect()}
+    for k in ("hot", "a", "b", "c", "one", None, "wild"):
         v = [x for kk, x in rows if kk == k]
         assert got[k][0] == len(v) and got[k][1] == pytest.approx(np.quantile(v, cuts))
     assert "none" not in got
+
+
+def test_exact_quantiles_narrow_a_large_group_in_rounds(spark, monkeypatch):
+    import numpy as np
+
+    from karyospark.operators import quantiles
+    monkeypatch.setattr(quantiles, "GRID", 16)
+    df = spark.range(60_000).selectExpr("id % 3 > 0 as k", "pow(rand(4), 9) * 1e6 as v").union(spark.range(5000).selectExpr("true", "7.5D"))
+    df = spark.createDataFrame(df.toPandas())
+    cuts = [0.001, 0.25, 0.5, 0.9, 0.9999]
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", cuts, block=40).collect()}
+    frame = df.toPandas()
+    for k in (True, False):
+        v = frame.v[frame.k == k]
+        assert got[k].n == len(v) and got[k].q == pytest.approx(np.quantile(v, cuts)) and got[k]["mean"] == pytest.approx(v.mean())
+
+
+def test_exact_quantiles_of_many_small_groups_are_one_aggregate(spark):
+    from karyospark.operators.quantiles import exact_quantiles
+    df = spark.range(300_000).selectExpr("id div 3 as k", "cast(id % 3 as double) as v")
+    got = exact_quantiles(df, ["k"], "v", [0.0, 0.25, 1.0], block=1000)
+    assert got.filter("n = 3 AND q = array(0.0D, 0.5D, 2.0D)").count() == 100_000
+
+
+def test_mappable_runs_tile_the_pieces(spark):
+    from karyospark.operators.bic import mappable_runs
+    rng = random.Random(8)
+    iv = [("c", a, a + rng.randrange(0, 30)) for a in rng.sample(range(400), 25)] + [("d", 5, 9)]
+    pos = {("c", p): rng.randrange(1, 5) for p in rng.sample(range(430), 120)} | {("e", 4): 2}
+    pieces = disjoint_pieces(spark.createDataFrame(iv, "chrom string, start bigint, end bigint"), ["chrom"], 64)
+    counts = spark.createDataFrame([(c, p, n) for (c, p), n in pos.items()], "chrom string, pos bigint, n bigint")
+    runs = mappable_runs(counts, pieces, ["chrom"], 64).collect()
+    listed = [(r.chrom, p, r.n) for r in runs for p in range(r.start, r.end)]
+    mappable = {(c, p) for c, a, z in iv for p in range(a, z)}
+    assert sorted(listed) == sorted((c, p, pos.get((c, p), 0)) for c, p in mappable)
+    assert all(r.n == 0 or r.end == r.start + 1 for r in runs)
+
+
+def test_sliding_quantile_against_sorting():
+    import numpy as np
+
+    from karyospark.operators.bic import sliding_quantile
+    rng = np.random.default_rng(2)
+    for top in (1, 2, 5, 1000):
+        v = rng.integers(0, top, 300)
+        first = rng.integers(0, 250, 80)
+        last = first + rng.integers(1, 51, 80)
+        for q in (0.05, 0.5, 0.95, 1.0):
+            want = [np.sort(v[a:z])[int(np.ceil((z - a) * q)) - 1] for a, z in zip(first, last)]
+            assert sliding_quantile(v, first, last, q).tolist() == want
