@@ -54,24 +54,40 @@ class PairEncoder:
         if max(len(self.bytes_a), len(pieces)) > 1 << 16:
             raise ValueError("vocabularies of at most 65536 ids")
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # a byte-level vocabulary without a normaliser gives every text back, as long as it has all bytes
+        if self.a.lower or not {bytes([k]) for k in range(256)} <= set(self.bytes_a):
+            raise ValueError(f"{path_a} is not a byte-level vocabulary")
         # a text may be cut before a space if no piece goes over such a cut
         self.cut = not any("▁" in p.lstrip("▁") for p in pieces)
         self.memory, self.known = memory, {}
 
-    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            words = t.split(" ")
-            if not self.cut or "" in words:  # runs of spaces are pieces of their own
-                out.append(np.array(self.b.encode(t), np.uint16))
-                continue
-            missing = [w for w in set(words) if w not in self.known]
-            if len(self.known) + len(missing) > self.memory:
-                self.known.clear()
-                missing = list(set(words))
-            for w, ids in zip(missing, self.b.encode(missing), strict=True):
-                self.known[w] = np.array(ids, np.uint16).tobytes()
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint16))
+    def _back(self, text: str, ids: list[int]) -> bool:
+        """Whether the pieces give the text back, with its space."""
+        return b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + text.encode()
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = list(words)
+        for w, ids in zip(fresh, self.b.encode(fresh, num_threads=1), strict=True):
+            # None: the word is not given back
+            self.known[w] = np.array(ids, np.uint16).tobytes() if self._back(w, ids) else None
+
+    def _pieces(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of B for each text; None where they don't give it back."""
+        split = [t.split(" ") for t in texts]
+        by_word = [self.cut and "" not in words for words in split]  # runs of spaces are pieces of their own
+        missing = set().union(*(w for w, by in zip(split, by_word, strict=True) if by)).difference(self.known)
+        if len(self.known) + len(missing) > self.memory:
+            self.known.clear()
+            missing = set().union(*(w for w, by in zip(split, by_word, strict=True) if by))
+        self._learn(missing)
+        out: list[np.ndarray | None] = []
+        for t, words, by in zip(texts, split, by_word, strict=True):
+            if by:
+                ids = list(map(self.known.__getitem__, words))
+                out.append(None if None in ids else np.frombuffer(b"".join(ids), np.uint16))
+            else:
+                whole = self.b.encode(t)
+                out.append(np.array(whole, np.uint16) if self._back(t, whole) else None)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,9 +95,7 @@ class PairEncoder:
         none = np.empty(0, np.int64)
         out = []
         for t, a, b in zip(texts, self.a.encode([" " + t for t in texts]), self._pieces(texts), strict=True):
-            want = b" " + t.encode()
-            same = t and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == want and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want
-            out.append((a.astype(np.int64), b.astype(np.int64)) if same else (none, none))
+            out.append((a.astype(np.int64), b.astype(np.int64)) if t and b is not None else (none, none))
         return out
 
 
