@@ -14,7 +14,6 @@ with no learned language everything is ``und``; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ from karyospark.llm import common
 #: Documents that a fit reads at most.
 SAMPLE_ROWS = 4000
 BITS = 15
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = 32
 
 
@@ -130,7 +128,8 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, **how) -> Lan
     ids = common.bounded_sample(usable, "doc_id", rows)
     sample = common.in_batches(usable).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
     counted = sample.mapInArrow(_counted, "doc_id long, lang string, at binary, n binary")
-    data = counted.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pydict()
+    first = counted.groupBy("doc_id").agg(F.min(F.struct("at", "n", "lang")).alias("r"))  # of rows with one id always the same
+    data = first.select("doc_id", "r.at", "r.n", "r.lang").toArrow().sort_by("doc_id").to_pydict()
     languages = sorted(set(data["lang"]))
     index = {x: i for i, x in enumerate(languages)}
     pairs = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(float)) for a, n in zip(data["at"], data["n"], strict=True)]
@@ -140,7 +139,7 @@ def train(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, **how) -> Lan
 def decide(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place of the best language (one past the last: none), its score, and whether it is accepted."""
     best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
-    has = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model.languages else []
+    has = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model.languages else []
     if has:
         p = model.probabilities(np.array([subwords(texts[i]) for i in has]))
         best[has], score[has] = p.argmax(1), p.max(1)

@@ -2,10 +2,11 @@
 
 Features are the distinct lower-cased words of the whole text and their beginnings (inflected and compound words
 share them), known by checksum; the vocabulary is what enough
-labelled texts of a bounded sample hold and what goes with the label (`SAMPLE_ROWS`, `MIN_TEXTS`, `LEAST_RATIO`). For every labelled text that names a group, its
-counterfactuals swap the term for each other term of the same family; the squared change of the log-odds is a
-penalty of the fit (Garg et al., "Counterfactual fairness in text classification", 2019), so a neutral mention of a
-group earns no score of its own.
+labelled texts of a bounded sample hold and what goes with the label (`SAMPLE_ROWS`, `MIN_TEXTS`, `LEAST_RATIO`). Every labelled text
+has counterfactuals: a term that names a group, its own or one put in, is swapped for another term of the same family (`FAMILIES`, by
+language, a parameter); the squared change of the log-odds is a penalty of the fit (Garg et al., "Counterfactual fairness in text
+classification", 2019). So a neutral mention of a group earns no score of its own, nor one that it would inherit from
+a toxic word of the same beginning ("moroccans" and "moron").
 
 Defined results: a null or empty text has the score of a text without known words; repeated rows get equal scores;
 rows whose id is null are scored and count as not held out; without labels of both kinds the score is the share of
@@ -32,17 +33,37 @@ MIN_TEXTS = 4
 #: Least log-likelihood ratio between a word and the label; chance alone reaches it in about one of 10^6 words.
 LEAST_RATIO = 24.0
 
-# Terms that name groups of people, by family; the terms of a family are swapped for each other.
-IDENTITY = (
-    ("women", "men", "girls", "boys", "woman", "man", "girl", "boy"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
-    ("black", "white", "asian", "latino", "african", "european", "arab", "indigenous"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer", "heterosexual", "homosexual"),
-    ("immigrants", "refugees", "foreigners", "citizens", "natives", "migrants"),
-    ("old", "young", "elderly", "teenage"),
-    ("disabled", "blind", "deaf", "autistic"),
-)
+# Terms that name groups of people, by language and family; the terms of a family are swapped for each other.
+FAMILIES = {
+    "en": (
+        ("women", "men", "girls", "boys", "woman", "man", "girl", "boy"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
+        ("black", "white", "asian", "latino", "african", "european", "arab", "indigenous"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender", "queer", "heterosexual", "homosexual"),
+        ("immigrants", "refugees", "foreigners", "citizens", "natives", "migrants"),
+        ("moroccans", "algerians", "turks", "germans", "poles", "mexicans", "chinese", "nigerians"),
+        ("old", "young", "elderly", "teenage"),
+        ("disabled", "blind", "deaf", "autistic"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"),
+        ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("ausländer", "flüchtlinge", "einwanderer", "einheimische"),
+        ("marokkaner", "türken", "polen", "deutsche", "franzosen", "spanier"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("étrangers", "réfugiés", "immigrés", "citoyens"),
+        ("marocains", "algériens", "turcs", "allemands", "espagnols", "français"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "niñas", "niños"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("extranjeros", "refugiados", "inmigrantes", "ciudadanos"),
+        ("marroquíes", "argelinos", "turcos", "alemanes", "franceses", "españoles"),
+    ),
+}
 _BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MARKS = re.compile("[ -¿×÷ -⁯　-〿]")
 
@@ -69,6 +90,7 @@ def checksums(text: str) -> np.ndarray:
 class ToxicityModel:
     bias: float
     weights: dict[int, float]  # by checksum of the word
+    gap: float = 0.0  # mean absolute change of the log-odds over the counterfactual pairs of the fit
 
     def score(self, texts: list[str], seen: dict[bytes, tuple[int, ...]], memory: int = 100_000) -> np.ndarray:
         """Scores of texts. ``seen`` remembers up to ``memory`` words with the weighted features they have."""
@@ -87,19 +109,39 @@ class ToxicityModel:
         return common.sigmoid(np.array(out, float))
 
 
-def swaps(sets: list[np.ndarray], families=IDENTITY) -> dict[tuple[str, str], int]:
-    """(a term, its stand-in, or nothing if that is there already): texts with this swap."""
-    out: dict[tuple[str, str], int] = {}
-    for family in families:
-        sums = {t: zlib.crc32(t.encode()) for t in family}
-        for s in sets:
-            there = [t for t, c in sums.items() if s[min(int(np.searchsorted(s, c)), len(s) - 1)] == c] if len(s) else []
-            for a in there:
-                for b in family:
-                    if b != a:
-                        key = (a, "" if b in there else b)
-                        out[key] = out.get(key, 0) + 1
-    return out
+@dataclass(frozen=True)
+class Counterfactuals:
+    """Pairs of a text with one term of a family and the same text with another; what each pair changes, by feature."""
+
+    pair: np.ndarray
+    feature: np.ndarray  # checksums
+    sign: np.ndarray  # +1 for what only the first text has, -1 for the second
+    count: int
+
+
+def counterfactuals(sets: list[np.ndarray], families: dict[str, tuple[tuple[str, ...], ...]], per_text: int = 4) -> Counterfactuals:
+    """``per_text`` pairs for every text, families and terms dealt by a hash of the text.
+
+    A text that names a group of the family has that term swapped; any other one gets the term put in (where doesn't
+    matter to a set of words), so that neutral mentions are seen also where the labelled texts have none. Features
+    that the text has from other words change nothing.
+    """
+    dealt = [family for language in sorted(families) for family in families[language]]
+    terms = {t: np.array(features(t.encode()), np.uint32) for family in dealt for t in family}
+    out, count = [], 0
+    for s in sets:
+        number = zlib.crc32(s.tobytes())
+        for k in range(min(per_text, len(dealt))):
+            family = dealt[(number + k * 7919) % len(dealt)]
+            there = [t for t in family if np.isin(terms[t][0], s)]
+            a = there[0] if there else family[number // 31 % len(family)]
+            b = family[(family.index(a) + 1 + number // 1009 % (len(family) - 1)) % len(family)]
+            if not (there and b in there):
+                gone = terms[a] if there else np.setdiff1d(terms[a], s)
+                out += [(count, f, 1.0) for f in np.setdiff1d(gone, terms[b])] + [(count, f, -1.0) for f in np.setdiff1d(np.setdiff1d(terms[b], s), terms[a])]
+            count += 1
+    pair, feature, sign = (np.array([x[i] for x in out], kind) for i, kind in enumerate((np.int64, np.uint32, float)))
+    return Counterfactuals(pair, feature, sign, count)
 
 
 def _ratio(held: np.ndarray, held_1: np.ndarray, n: int, n_1: float) -> np.ndarray:
@@ -114,8 +156,8 @@ def _ratio(held: np.ndarray, held_1: np.ndarray, n: int, n_1: float) -> np.ndarr
 
 
 def fit(sets: list[np.ndarray], y: np.ndarray, min_texts: int = MIN_TEXTS, l2: float = 0.05, fairness: float = 5.0, steps: int = 300,
-        families=IDENTITY) -> ToxicityModel:
-    """Full-gradient Adam on the mean log loss per class, an l2 penalty and the counterfactual penalty."""
+        families: dict[str, tuple[tuple[str, ...], ...]] = FAMILIES) -> ToxicityModel:
+    """Full-gradient Adam on the mean log loss over texts, an l2 penalty and the mean squared log-odds gap of the counterfactual pairs."""
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < share < 1:
         near = min(max(share, 1e-6), 1 - 1e-6)
@@ -124,30 +166,26 @@ def fit(sets: list[np.ndarray], y: np.ndarray, min_texts: int = MIN_TEXTS, l2: f
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     vocabulary, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     tied = _ratio(counts, np.bincount(inverse, y[row], len(vocabulary)), len(y), y.sum()) >= LEAST_RATIO
-    terms = np.array(sorted({c for f in families for t in f for c in features(t.encode())}), np.uint32)
-    vocabulary = np.union1d(vocabulary[tied & (counts >= min_texts)], terms)
+    swapped = counterfactuals(sets, families)
+    vocabulary = np.union1d(vocabulary[tied & (counts >= min_texts)], swapped.feature)
     at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
     known = vocabulary[at] == flat
     row, at = row[known], at[known]
-    pairs = swaps(sets, families)
-    place = {int(v): i for i, v in enumerate(vocabulary)}
-    # the features that a swap takes away and brings, by pair
-    change = [(k, place[f], sign) for k, (a, b) in enumerate(pairs) for t, sign in ((a, 1.0), (b, -1.0)) if t for f in features(t.encode())]
-    pair, feature, sign = (np.array([c[i] for c in change], kind) for i, kind in enumerate((np.int64, np.int64, float)))
-    n = np.array(list(pairs.values()), float) / len(sets)
+    pair, sign, feature = swapped.pair, swapped.sign, np.searchsorted(vocabulary, swapped.feature)
+    n = max(1, swapped.count)
     w, bias = np.zeros(len(vocabulary)), float(np.log(share / (1 - share)))
     m, v, size = np.zeros(len(w) + 1), np.zeros(len(w) + 1), len(w)
     for step in range(1, steps + 1):
         error = (common.sigmoid(np.bincount(row, w[at], len(sets)) + bias) - y) / len(sets)
         g = np.bincount(at, error[row], size) + l2 * w / len(sets)
-        if len(pair):
-            gap = n * np.bincount(pair, sign * w[feature], len(pairs))
-            g += fairness * np.bincount(feature, sign * gap[pair], size)
+        gap = np.bincount(pair, sign * w[feature], n) / n
+        g += fairness * np.bincount(feature, sign * gap[pair], size)
         grad = np.append(g, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1, 2 * (1 - step / (steps + 1)))
         w, bias = w - move[:-1], bias - move[-1]
-    return ToxicityModel(float(bias), {int(k): float(x) for k, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-4})
+    gap = float(np.abs(np.bincount(pair, sign * w[feature], n)).mean())
+    return ToxicityModel(float(bias), {int(k): float(x) for k, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-4}, gap)
 
 
 def _training_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Quality, language and toxicity: held-out accuracy on planted data, and defined results for odd rows."""
 
+import functools
 import random
 
 import numpy as np
@@ -143,6 +144,48 @@ def test_counterfactual_penalty_closes_the_gap():
     assert gaps[0] > 1.5 * gaps[1] and gaps[0] > 5 * gaps[2]
 
 
+def test_op9_scores_come_through_the_counterfactual_penalty(spark, documents, save, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, _text(rng) + (" moron" if k % 3 == 0 else "")) for k in range(300)] + [(900, "moroccans walk under old trees"), (901, "the river"), (902, None)]
+    folder = save(documents=documents(rows), labels=_labels(spark, [(k, None, int(k % 3 == 0)) for k in range(300)]))
+    fair = {r.doc_id: r.score for r in toxicity.op9_toxicity(spark, folder).collect()}
+    monkeypatch.setattr(toxicity, "fit", functools.partial(toxicity.fit, fairness=0.0))
+    plain = {r.doc_id: r.score for r in toxicity.op9_toxicity(spark, folder).collect()}
+    assert fair[900] < 0.5 * plain[900] and abs(fair[901] - plain[901]) < 0.1
+    assert all((fair[k] >= 0.5) == (k % 3 == 0) for k in range(300))
+
+
+def test_counterfactuals_change_only_the_swapped_terms():
+    families = {"x": (("moroccans", "turks"),)}
+    sets = [toxicity.checksums(t) for t in ("the river", "turks walk", "a moron walks", "turks and moroccans")]
+    c = toxicity.counterfactuals(sets, families, per_text=1)
+    terms = {t: set(toxicity.features(t.encode())) for t in ("moroccans", "turks")}
+    for k in range(4):
+        plus, minus = ({int(f) for f in c.feature[(c.pair == k) & (c.sign == s)]} for s in (1.0, -1.0))
+        if k == 3:  # both are there: nothing to swap
+            assert not plus and not minus
+        elif k == 1:
+            assert plus == terms["turks"] and minus == terms["moroccans"]
+        else:
+            shared = set(sets[k].tolist())
+            assert {frozenset(plus), frozenset(minus)} == {frozenset(terms[t] - shared) for t in terms}
+    assert c.count == 4
+
+
+def test_model_scores_are_the_sums_of_known_features():
+    rows, labels = _toxic_rows(random.Random(9), 120)
+    model = toxicity.fit([toxicity.checksums(t) for _, t in rows], np.array([t for _, _, t in labels], float))
+    for _, text in rows[:20]:
+        total = model.bias + sum(model.weights.get(f, 0.0) for f in {f for w in toxicity.words(text) for f in toxicity.features(w)})
+        assert model.score([text], {})[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_letters_are_letters_not_numerals(spark, documents, save):
+    rows = [(k, "abcde fghij"[: 5 + k % 2] + " words here", ["aa", "bb"][k % 2]) for k in range(60)] + [(700, "²"), (701, "12 ½"), (702, "Ⅷ"), (703, "ª")]
+    got = {r.doc_id: r.lang_pred for r in language.op8_language(spark, save(documents=documents(rows))).collect()}
+    assert [got[k] for k in (700, 701, 702)] == ["und"] * 3 and got[703] != "und"
+
+
 def test_training_never_sees_the_held_out_fold(spark):
     labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     ids = {r.doc_id for r in quality.labelled(labels, "quality", common.fold(F.col("doc_id"), 3) != 1, 1000).collect()}
