@@ -127,18 +127,22 @@ def counterfactuals(sets: list[np.ndarray], families: dict[str, tuple[tuple[str,
     that the text has from other words change nothing.
     """
     dealt = [family for language in sorted(families) for family in families[language]]
-    terms = {t: np.array(features(t.encode()), np.uint32) for family in dealt for t in family}
+    terms = {t: frozenset(features(t.encode())) for family in dealt for t in family}
+    first = {t: zlib.crc32(t.encode()) for t in terms}
+    every = np.array(sorted(set().union(*terms.values())), np.uint32)
     out, count = [], 0
     for s in sets:
         number = zlib.crc32(s.tobytes())
+        at = np.minimum(np.searchsorted(s, every), max(0, len(s) - 1))
+        here = set(every[s[at] == every].tolist()) if len(s) else set()
         for k in range(min(per_text, len(dealt))):
             family = dealt[(number + k * 7919) % len(dealt)]
-            there = [t for t in family if np.isin(terms[t][0], s)]
+            there = [t for t in family if first[t] in here]
             a = there[0] if there else family[number // 31 % len(family)]
             b = family[(family.index(a) + 1 + number // 1009 % (len(family) - 1)) % len(family)]
             if not (there and b in there):
-                gone = terms[a] if there else np.setdiff1d(terms[a], s)
-                out += [(count, f, 1.0) for f in np.setdiff1d(gone, terms[b])] + [(count, f, -1.0) for f in np.setdiff1d(np.setdiff1d(terms[b], s), terms[a])]
+                gone = terms[a] if there else terms[a] - here
+                out += [(count, f, 1.0) for f in sorted(gone - terms[b])] + [(count, f, -1.0) for f in sorted(terms[b] - here - terms[a])]
             count += 1
     pair, feature, sign = (np.array([x[i] for x in out], kind) for i, kind in enumerate((np.int64, np.uint32, float)))
     return Counterfactuals(pair, feature, sign, count)
