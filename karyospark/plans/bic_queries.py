@@ -57,30 +57,30 @@ def _(spark, sf):
 
 @query("a52_equal_mappability_bins", """
     SELECT chrom, bin, min(lo + start - before) AS start, max(hi + start - before - 1) AS "end", CAST(sum(hi - lo) AS BIGINT) AS positions
-    FROM (SELECT *, greatest(before, bin * 1000000) AS lo,
-                 least(before + "end" - start, CASE WHEN bin = lst THEN tot ELSE (bin + 1) * 1000000 END) AS hi
-          FROM (SELECT *, unnest(range(least(before // 1000000, lst), least((before + "end" - start - 1) // 1000000, lst) + 1)) AS bin
-                FROM (SELECT i.*, tot, greatest(tot // 1000000 - 1, 0) AS lst FROM ranked_islands i
+    FROM (SELECT *, greatest(before, bin * 400000) AS lo,
+                 least(before + "end" - start, CASE WHEN bin = lst THEN tot ELSE (bin + 1) * 400000 END) AS hi
+          FROM (SELECT *, unnest(range(least(before // 400000, lst), least((before + "end" - start - 1) // 400000, lst) + 1)) AS bin
+                FROM (SELECT i.*, tot, greatest(tot // 400000 - 1, 0) AS lst FROM ranked_islands i
                       JOIN (SELECT chrom, CAST(sum("end" - start) AS BIGINT) AS tot FROM islands GROUP BY chrom) t ON t.chrom = i.chrom)))
     GROUP BY chrom, bin""")
 def _(spark, sf):
     pieces = bic.ranked_pieces(_mappable(spark, sf), ["chrom"])
-    return bic.equal_mappability_bins(pieces, ["chrom"], 1_000_000)
+    return bic.equal_mappability_bins(pieces, ["chrom"], READ_BIN)
 
 
 @query("a52_counts_per_mappability_bin", """
-    SELECT sample, p.chrom, (before + pos - start) // 1000000 AS bin, CAST(sum(n) AS BIGINT) AS obs
+    SELECT sample, p.chrom, (before + pos - start) // 400000 AS bin, CAST(sum(n) AS BIGINT) AS obs
     FROM pos_counts p JOIN ranked_islands i ON i.chrom = p.chrom AND pos >= start AND pos < "end" GROUP BY ALL""")
 def _(spark, sf):
     pieces = bic.ranked_pieces(_mappable(spark, sf), ["chrom"])
     df = bic.position_rank(_pos_counts(spark, sf), pieces, ["chrom"])
-    return df.groupBy("sample", "chrom", F.expr("rank div 1000000").alias("bin")).agg(F.sum("n").alias("obs"))
+    return df.groupBy("sample", "chrom", F.expr(f"rank div {READ_BIN}").alias("bin")).agg(F.sum("n").alias("obs"))
 
 
 @query("a53_fixed_bins", """
-    SELECT sample, chrom, CAST(floor((pos - 1) / 1000000) AS BIGINT) AS bin, CAST(sum(n) AS BIGINT) AS obs FROM pos_counts GROUP BY ALL""")
+    SELECT sample, chrom, CAST(floor((pos - 1) / 400000) AS BIGINT) AS bin, CAST(sum(n) AS BIGINT) AS obs FROM pos_counts GROUP BY ALL""")
 def _(spark, sf):
-    return bic.fixed_bins(_pos_counts(spark, sf), 1_000_000).groupBy("sample", "chrom", "bin").agg(F.sum("n").alias("obs"))
+    return bic.fixed_bins(_pos_counts(spark, sf), READ_BIN).groupBy("sample", "chrom", "bin").agg(F.sum("n").alias("obs"))
 
 
 _RATE = {"gc": 1.5, "late": -0.3}
@@ -552,11 +552,11 @@ def _(spark, sf):
 
 @query("a76_common_cnv", """
     SELECT seg_id, bool_and(up) AND count(DISTINCT sample) > 1 AS common FROM (
-      SELECT sample, seg_id, log2(tumor / normal + 0.001) >= 0.0 OR log2(tumor / normal + 0.001)
-             >= log2(sum(tumor) OVER (PARTITION BY sample) / sum(normal) OVER (PARTITION BY sample) + 0.001) + 0.0 AS up FROM role_runs)
+      SELECT sample, seg_id, log2(tumor / normal + 0.001) >= 0.5 OR log2(tumor / normal + 0.001)
+             >= log2(sum(tumor) OVER (PARTITION BY sample) / sum(normal) OVER (PARTITION BY sample) + 0.001) + 0.5 AS up FROM role_runs)
     GROUP BY seg_id""")
 def _(spark, sf):
-    return bic.common_cnv(_role_runs(spark, sf), ["seg_id"], 0.0)
+    return bic.common_cnv(_role_runs(spark, sf), ["seg_id"])
 
 
 # Samples of one sex together: a single sample of the given tables has at most a read or two in most bins.

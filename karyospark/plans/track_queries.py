@@ -165,7 +165,7 @@ add_cte("base_filter", """
       SELECT *, ((bin * 13 + chrom_num * 7) % 12) / 100.0::DOUBLE AS n_ratio,
              0.2::DOUBLE + ((bin * 37 + chrom_num * 11) % 61) / 100.0::DOUBLE AS gc FROM grid)""")
 add_cte("zmasked", """
-    SELECT chrom, bin, cv, masked OR coalesce(sd > 0 AND abs((mean - mu) / sd) > 1.5, false) AS masked FROM (
+    SELECT chrom, bin, cv, masked OR coalesce(sd > 0 AND abs((mean - mu) / sd) > 3, false) AS masked FROM (
       SELECT v.*, masked, avg(mean) FILTER (NOT masked) OVER (PARTITION BY chrom) AS mu,
              stddev_pop(mean) FILTER (NOT masked) OVER (PARTITION BY chrom) AS sd
       FROM variation v JOIN base_filter USING (chrom, bin))""")
@@ -187,7 +187,7 @@ def _base(spark):
 
 def _zmasked(spark, sf):
     joined = _variation(spark, sf).join(_base(spark).select("chrom", "bin", "masked"), ["chrom", "bin"])
-    return masks.zscore_mask(joined, limit=1.5)
+    return masks.zscore_mask(joined)
 
 
 @query("a07_bin_variation", """SELECT chrom, bin, round(mean, 6) AS mean, round(std, 6) AS std, round(cv, 6) AS cv
@@ -269,7 +269,7 @@ def _(spark, sf):
     SELECT chrom, bin, max(masked) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
            AS masked FROM cvmasked""")
 def _(spark, sf):
-    return ratio_chain.blacklist(_first(spark, sf), _base(spark), B, z=1.5).select("chrom", "bin", "masked")
+    return ratio_chain.blacklist(_first(spark, sf), _base(spark), B).select("chrom", "bin", "masked")
 
 
 @query("w02_dilate_k", """
