@@ -316,7 +316,7 @@ add_cte("old_stats", """
           GROUP BY chrom) USING (chrom) WHERE bin <= cut GROUP BY chrom, bin""")
 add_cte("old_log2", """
     SELECT sample, chrom, bin, CASE WHEN m > 0 AND fraction > 0 THEN log2(fraction / m) END AS log2_ratio
-    FROM old_fraction JOIN (SELECT *, CASE WHEN std > 0.002 THEN -1.0 ELSE mean END AS m FROM old_stats)
+    FROM old_fraction JOIN (SELECT *, CASE WHEN std > 5.0 THEN -1.0 ELSE mean END AS m FROM old_stats)
     USING (chrom, bin)""")
 
 
@@ -327,7 +327,7 @@ def _old_fraction(spark, sf):
 
 def _old_log2(spark, sf):
     f = _old_fraction(spark, sf)
-    return reference.legacy_log2(f, reference.drop_unstable(reference.control_stats(f), 0.002), B)
+    return reference.legacy_log2(f, reference.drop_unstable(reference.control_stats(f)), B)
 
 
 @query("a16_fraction_of_total", "SELECT sample, chrom, bin, round(fraction, 9) AS fraction FROM old_fraction")
@@ -341,10 +341,10 @@ def _(spark, sf):
     return _cols(df, ["chrom", "bin"], mean=F.round("mean", 9), std=F.round("std", 9))
 
 
-@query("a18_std_filter", """SELECT chrom, bin, round(CASE WHEN std > 0.002 THEN -1.0 ELSE mean END, 9) AS mean
+@query("a18_std_filter", """SELECT chrom, bin, round(CASE WHEN std > 5.0 THEN -1.0 ELSE mean END, 9) AS mean
     FROM old_stats""")
 def _(spark, sf):
-    df = reference.drop_unstable(reference.control_stats(_old_fraction(spark, sf)), 0.002)
+    df = reference.drop_unstable(reference.control_stats(_old_fraction(spark, sf)))
     return _cols(df, ["chrom", "bin"], mean=F.round("mean", 9))
 
 
