@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from karyospark.operators.counts import by_track
 
 
+def _shifted(how: str, column: str, offset: int, nulls: str = "RESPECT") -> Column:
+    return F.expr(f"{how}({column}, {offset}) {nulls} NULLS OVER (PARTITION BY sample, chrom ORDER BY bin)")
+
+
 def nearest_valid(bins: DataFrame, k: int, how: str = "mean", value: str = "log2_ratio",
                   out: str = "smoothed") -> DataFrame:
     """Mean or median of the k nearest valid bins, the left one winning ties; masked bins are filled too.
 
-    The k nearest of a bin are among the last k valid at or before it and the first k after it. The lists are
-    made for valid bins only; a masked bin takes that of the valid bin before it, or of the first one, so a long masked run
-    costs no more than its length.
+    The k valid bins before a bin and the k after it are plain columns, each in order of distance. So the j-th of one side
+    is among the k nearest exactly when the one that it would displace on the other side is farther: no list, no sort.
     """
-    order = by_track().orderBy("bin")
     valid = F.col(value).isNotNull()
-    item = F.when(valid, F.struct(F.col("bin").alias("b"), F.col(value).alias("v")))
-    kin = Window.partitionBy("sample", "chrom", valid).orderBy("bin").rowsBetween(-k, k)
-    df = bins.withColumn("_near", F.when(valid, F.collect_list(item).over(kin)))
-    before = F.last("_near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_near", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("_near", F.coalesce(before, after, F.array().cast("array<struct<b:bigint,v:double>>")))
-    side = F.transform("_near", lambda x: F.struct(
-        F.abs(x["b"] - F.col("bin")).alias("d"), F.when(x["b"] < F.col("bin"), 0).otherwise(1).alias("s"),
-        x["v"].alias("v")))
-    picked = F.slice(F.array_sort(side), 1, k)
-    values = F.transform(picked, lambda x: x["v"])
-    n = F.size(values)
+    # A masked bin has places for k neighbours, a valid one (it is its own nearest) for k - 1.
+    df = bins.withColumn("_it", F.when(valid, F.struct(F.col("bin").alias("b"), F.col(value).alias("v"))))
+    df = df.select(*df.columns, *[_shifted(way, "_it", j, "IGNORE").alias(f"_{way}{j}")
+                                  for way in ("lag", "lead") for j in range(1, k + 1)])
+
+    def distance(way: str, j: int) -> Column:
+        return F.abs(F.col(f"_{way}{j}.b") - F.col("bin"))
+
+    def beats(way: str, j: int, places: int) -> Column:
+        """Whether the j-th on this side takes one of the places."""
+        rival = places - j + 1
+        if rival < 1:
+            return F.lit(False)
+        other = distance("lead" if way == "lag" else "lag", rival)
+        mine = distance(way, j)
+        return other.isNull() | (mine <= other if way == "lag" else mine < other)
+
+    taken = [F.when(valid, F.col(value))]
+    for way in ("lag", "lead"):
+        taken += [F.when(F.when(valid, beats(way, j, k - 1)).otherwise(beats(way, j, k)), F.col(f"_{way}{j}.v"))
+                  for j in range(1, k + 1)]
+    n = reduce(add, [t.isNotNull().cast("int") for t in taken])
     if how == "mean":
-        stat = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+        stat = reduce(add, [F.coalesce(t, F.lit(0.0)) for t in taken]) / n
     else:
-        ordered = F.array_sort(values)
+        ordered = F.sort_array(F.array_compact(F.array(*taken)))
         stat = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    return df.withColumn(out, F.when(n > 0, stat)).drop("_near")
+    return df.withColumn(out, F.when(n > 0, stat)).drop("_it", *[f"_{way}{j}" for way in ("lag", "lead") for j in range(1, k + 1)])
 
 
 def bilateral(bins: DataFrame, width: int, value: str = "log2_ratio", out: str = "smoothed",
@@ -55,18 +69,19 @@ def bilateral(bins: DataFrame, width: int, value: str = "log2_ratio", out: str =
         df = df.withColumn("_sr", F.when(F.col("_mad") > 0, F.col("_mad") * 1.5).otherwise(0.2)).drop("_med", "_mad")
     else:
         df = df.withColumn("_sr", F.lit(max(1e-6, float(sigma_range))))
-    frame = by_track().orderBy("bin").rangeBetween(-half, half)
-    item = F.when(F.col(value).isNotNull(), F.struct(F.col("bin").alias("b"), F.col(value).alias("v")))
-    df = df.withColumn("_win", F.collect_list(item).over(frame))
-
-    def weight(x):
-        near = (x["b"] - F.col("bin")) / F.lit(s)
-        alike = (x["v"] - F.col(value)) / F.col("_sr")
-        return F.exp(F.lit(-0.5) * near * near) * F.exp(F.lit(-0.5) * alike * alike)
-
-    weights = F.transform("_win", lambda x: F.struct(weight(x).alias("w"), (weight(x) * x["v"]).alias("wv")))
-    df = df.withColumn("_w", weights)
-    top = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["wv"])
-    bottom = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"])
-    smoothed = F.when(F.col(value).isNotNull(), F.when(bottom > 0, top / bottom).otherwise(F.col(value)))
-    return df.withColumn(out, smoothed).drop("_sr", "_win", "_w")
+    # Bins of a track are distinct, so a bin within reach is at most half rows away.
+    sides = [(way, j) for way in ("lag", "lead") for j in range(1, half + 1)]
+    df = df.withColumn("_it", F.struct(F.col("bin").alias("b"), F.col(value).alias("v")))
+    df = df.select(*df.columns, *[_shifted(way, "_it", j).alias(f"_{way}{j}") for way, j in sides])
+
+    def weight(x: str) -> Column:
+        """Weight of a neighbour; 0 beyond the window and for masked ones."""
+        off = F.col(f"{x}.b") - F.col("bin")
+        near, alike = off / F.lit(s), (F.col(f"{x}.v") - F.col(value)) / F.col("_sr")
+        w = F.exp(F.lit(-0.5) * near * near) * F.exp(F.lit(-0.5) * alike * alike)
+        return F.coalesce(F.when(F.abs(off) <= half, w), F.lit(0.0))
+
+    weights = [(weight(f"_{way}{j}"), F.coalesce(F.col(f"_{way}{j}.v"), F.lit(0.0))) for way, j in sides]
+    top = reduce(add, [w * v for w, v in weights], F.col(value))
+    bottom = reduce(add, [w for w, _ in weights], F.lit(1.0))
+    return df.withColumn(out, top / bottom).drop("_sr", "_it", *[f"_{way}{j}" for way, j in sides])
