@@ -603,10 +603,29 @@ def _(spark, sf):
     return segmentation.bic_segments(bic_bins(spark, sf).join(lam, "sample"), [("obs", "expected")])
 
 
-@query("w13_close_neighbour_merge")
-def _(spark, sf):
-    df = bic.recentre_on_neutral(bic.centred_log2(_runs(spark, sf), ["sample"]), ["sample"])
-    return segmentation.merge_close(df)
+# One merge of a chromosome a step; lists hold its segments in order.
+@query("w13_close_neighbour_merge", """
+    SELECT sample, chrom, unnest(s) AS start, unnest(e) AS "end", unnest(nb) AS bin_num, unnest(o) AS obs,
+           unnest(list_transform(x, lambda v: round(v, 6) + 0.0)) AS expected, unnest(list_transform(l, lambda v: round(v, 6) + 0.0)) AS log2_ratio
+    FROM (
+      WITH RECURSIVE merged AS (
+        SELECT sample, chrom, any_value(adjust) AS adjust, list(start ORDER BY start) AS s, list("end" ORDER BY start) AS e,
+               list(bin_num ORDER BY start) AS nb, list(CAST(obs AS DOUBLE) ORDER BY start) AS o, list(expected ORDER BY start) AS x,
+               list(log2(obs / expected + 1e-10) - adjust ORDER BY start) AS l
+        FROM (SELECT *, CASE WHEN coalesce(no, 0) >= 1000 THEN log2(no / ne) ELSE 0.0 END AS adjust FROM (
+                SELECT *, sum(obs) FILTER (abs(log2_ratio) <= 0.3) OVER (PARTITION BY sample) AS no,
+                       sum(expected) FILTER (abs(log2_ratio) <= 0.3) OVER (PARTITION BY sample) AS ne FROM centred))
+        GROUP BY sample, chrom
+        UNION ALL
+        SELECT sample, chrom, adjust, s[:i] || s[i + 2:], e[:i - 1] || e[i + 1:], nb[:i - 1] || [nb[i] + nb[i + 1]] || nb[i + 2:],
+               o[:i - 1] || [oi] || o[i + 2:], x[:i - 1] || [xi] || x[i + 2:], l[:i - 1] || [log2(oi / xi + 1e-10) - adjust] || l[i + 2:]
+        FROM (SELECT *, list_position(d, list_min(d)) AS i, o[i] + o[i + 1] AS oi, x[i] + x[i + 1] AS xi
+              FROM (SELECT *, list_transform(range(1, len(l)), lambda k: abs(l[k + 1] - l[k])) AS d FROM merged)
+              WHERE list_min(d) <= 0.1))
+      SELECT * FROM merged QUALIFY len(s) = min(len(s)) OVER (PARTITION BY sample, chrom))""")
+def _(spark, sf):
+    df = segmentation.merge_close(bic.recentre_on_neutral(bic.centred_log2(_runs(spark, sf), ["sample"]), ["sample"]))
+    return df.withColumns({c: r6(F.col(c)) for c in ("expected", "log2_ratio")})
 
 
 @query("a01_to_w11_whole_chain")

@@ -47,19 +47,6 @@ def stored_proportions(spark: SparkSession, path: str, bin_size: int) -> DataFra
     return counts.proportion(bins, bin_size, "n")
 
 
-def ingest_samples(stream: DataFrame, path: str, checkpoint: str, bin_size: int) -> None:
-    """Count reads and take proportions of every sample that is not stored yet.
-
-    The files of one sample arrive together; later files of a stored sample are ignored (`ingest_counts` takes them in).
-    """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = _new_only(batch, path, batch_id, ["sample"])
-        bins = counts.count_reads(fresh, bin_size)
-        counts.proportion(bins, bin_size, "n").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    _run(stream, checkpoint, handle)
-
-
 def ingest_uploads(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: str) -> None:
     """Keep the first upload per key, within a batch by `order` and across batches by what is stored."""
     def handle(batch: DataFrame, batch_id: int) -> None:
