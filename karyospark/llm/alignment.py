@@ -42,7 +42,7 @@ class PairEncoder:
     def __init__(self, path_a: str, path_b: str, memory: int = 300_000):
         from sentencepiece import SentencePieceProcessor
 
-        self.a = tokens.TextEncoder(path_a, memory)
+        self.a = tokens.TextEncoder(path_a, 2 * memory)
         self.a.tokenizer.encode_special_tokens = True  # their strings are plain text
         self.b = SentencePieceProcessor(model_file=path_b)
         letters = {shown: bytes([byte]) for byte, shown in tokens._byte_letters().items()}

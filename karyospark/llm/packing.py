@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from karyospark.llm import common, tokens
 
 #: Words whose ids a worker remembers.
-WORD_MEMORY = 250_000
+WORD_MEMORY = 500_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, segment int, loss_tokens long")
 

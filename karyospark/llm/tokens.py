@@ -9,12 +9,14 @@ normaliser and the splitter and go straight to the merges of the library's model
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Runs of white space that a byte-level splitter keeps together over a single space, and special tokens.
-_UNSAFE = re.compile(r"\s \s|\s $|<\|")
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Runs of white space that a byte-level splitter keeps together over a single space, and what every such run holds.
+_UNSAFE, _BLANKS = re.compile(r"\s \s|\s $"), re.compile(r" \s")
+#: A word of Latin letters and the marks after it; an apostrophe may begin a contraction and is left to the library.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
@@ -34,10 +36,11 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Ids of texts as little-endian unsigned 16-bit (vocabularies under 65536) or 32-bit numbers.
 
-    ``memory`` bounds the remembered pieces; the memory is emptied when full, which never changes an id.
+    ``memory`` bounds the remembered pieces. They are kept in two halves: when one is full it takes the place of the
+    other, so pieces in use stay known. This never changes an id.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,80 +49,118 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 65536 else "<u4")
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary: lower case, white space dropped
-        self.memory, self.known, self.cores = memory, {}, {}
+        self.half = memory // 2
+        self.known, self.known_before = {}, {}
+        self.starts, self.marks = {}, {}  # words at the start of a line, and marks after words
         letters = _byte_letters()
         self.space = "" if self.lower else letters[32]
         self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0x100)}
+        self.raw = [bytes(x) for x in np.arange(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=self.kind)[:, None]]
+        self.line = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
-    def _core(self, word: str) -> bytes:
-        """Ids of a word of Latin letters, with its leading space where the vocabulary keeps spaces."""
-        got = self.cores.get(word)
+    def _tokenize(self, word: str, space: str) -> bytes:
+        """Ids of a word of Latin letters after ``space``, the stand-in of a space or nothing."""
+        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(space + shown)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of Latin letters as a piece of its own."""
+        if self.lower:
+            word = word.lower()
+        got = self.known.get(word)
         if got is None:
-            shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
-            tokens = self.tokenizer.model.tokenize(self.space + shown)
-            got = self.cores[word] = np.array([t.id for t in tokens], self.kind).tobytes()
+            got = self.known_before.get(word)
+            if got is None:
+                got = self._tokenize(word, self.space)
+            self.known[word] = got
         return got
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.memory:
-            self.known.clear()
-        if len(self.cores) > self.memory:
-            self.cores.clear()
-        odd = []
-        for p in pieces:
-            m = _WORD.fullmatch(p)
+    def _start(self, word: str) -> bytes:
+        """Ids of a word of Latin letters at the start of a line."""
+        got = self.starts.get(word)
+        if got is None:
+            got = self.starts[word] = self._tokenize(word, "")
+        return got
+
+    def _after(self, marks: str) -> bytes:
+        got = self.marks.get(marks)
+        if got is None:
+            got = self.marks[marks] = self._whole([marks])[0]
+        return got
+
+    def _latin(self, piece: str, first: Callable[[str], bytes]) -> bytes | None:
+        """Ids of a piece whose lines are a Latin word and marks each, the first word's by ``first``; None for all others.
+
+        A line break between a mark or letter and a letter is always a token of its own.
+        """
+        lines = []
+        for line in piece.split("\n"):
+            m = _WORD.fullmatch(line)
             if m is None:
+                return None
+            word, marks = m.groups()
+            ids = self._start(word) if lines else first(word)
+            lines.append(ids + self._after(marks) if marks else ids)
+        return self.line.join(lines)
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of the pieces, which are remembered."""
+        got, odd = {}, []
+        if len(self.known) + len(pieces) > self.half:
+            self.known, self.known_before = {}, self.known
+        for small in (self.starts, self.marks):
+            if len(small) > self.half // 4:
+                small.clear()
+        for p in pieces:
+            ids = self.known_before.get(p)
+            if ids is None:
+                ids = self._word(p) if p.isascii() and p.isalpha() else self._latin(p, self._word)
+            if ids is None:
                 odd.append(p)
-                continue
-            word, tail = m.groups()
-            ids = self._core(word.lower() if self.lower else word)
-            self.known[p] = ids + self._tail(tail) if tail else ids
-        for p, ids in zip(odd, self._whole([p if self.lower else " " + p for p in odd]), strict=True):
-            self.known[p] = ids
-
-    def _tail(self, tail: str) -> bytes:
-        got = self.cores.get(tail)
-        if got is None:
-            got = self.cores[tail] = self._whole([tail])[0]
+            else:
+                got[p] = ids
+        if odd:
+            got.update(zip(odd, self._whole([p if self.lower else " " + p for p in odd]), strict=True))
+        self.known.update(got)
         return got
 
+    def _head(self, piece: str) -> bytes:
+        """Ids of the first piece of a text, which has no space before it."""
+        ids = self._latin(piece, self._start) if piece else b""
+        return self._whole([piece])[0] if ids is None else ids
+
+    def _unsafe(self, text: str) -> bool:
+        """Whether the text must be encoded as a whole."""
+        if "<|" in text:
+            return True
+        return not self.lower and (text.endswith(" ") or _BLANKS.search(text) is not None) and _UNSAFE.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens of its own."""
-        cut, whole = [], []
-        for t in texts:
-            t = t.replace("\n", " ") if self.lower else t
-            if "<|" in t or not self.lower and _UNSAFE.search(t):
-                whole.append(t)
-                cut.append(None)
-            else:
-                cut.append(t.split(" "))
-        found = iter(self._whole(whole))
-        out, join = [], b"".join
-        for pieces in cut:
-            if pieces is None:
-                out.append(np.frombuffer(next(found), self.kind))
+        if self.lower:
+            texts = [t.replace("\n", " ") for t in texts]
+        unsafe = list(map(self._unsafe, texts))
+        whole = iter(self._whole([t for t, u in zip(texts, unsafe, strict=True) if u]))
+        out = []
+        for t, u in zip(texts, unsafe, strict=True):
+            if u:
+                out.append(np.frombuffer(next(whole), self.kind))
                 continue
-            head = b""
-            if not self.lower:  # the first piece has no space before it
-                head = self._whole([pieces[0]])[0] if pieces[0] else b""
-                pieces = pieces[1:]
-            try:
-                ids = join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                missing = set(pieces).difference(self.known)
-                if len(self.known) + len(missing) > self.memory:
-                    missing = set(pieces)
-                self._learn(missing)
-                ids = join(map(self.known.__getitem__, pieces))
-            out.append(np.frombuffer(head + ids, self.kind))
+            pieces = t.split(" ")
+            head = b"" if self.lower else self._head(pieces.pop(0))
+            ids = list(map(self.known.get, pieces))
+            if None in ids:
+                fresh = self._learn({p for p, x in zip(pieces, ids, strict=True) if x is None})
+                ids = [fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            out.append(np.frombuffer(head + b"".join(ids), self.kind))
         return out
 
 
-def encoder(path: str, memory: int = 600_000) -> TextEncoder:
+def encoder(path: str, memory: int = 1_000_000) -> TextEncoder:
     """The encoder of this process; a worker that runs many tasks keeps its words."""
     if (path, memory) not in _ENCODERS:
         _ENCODERS[path, memory] = TextEncoder(path, memory)

@@ -13,7 +13,8 @@ from karyospark.llm import packing, token_files, tokens
 WORD, BYTE = tokens.vocabulary_path("word_bpe_49k.json"), tokens.vocabulary_path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a  b", "a   b", "x \n y", "\n\n  z", "it's John'S I'LL", "fin  ", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>  c",
        "Éé ß straße", "日本語 テキスト", "á e", "x\x1cy \x85 z", "ſtraße ΑΣ", "a!!! ...b 12 345", "\ta\tb", "12ab!?:;", "don't!", "ﬁ ½", "a.",
-       "İstanbul ıi ŉ", "end.\n\nNext, one; two:three", " lead", "\xa0x \xa0 y", "a,b,,c .d", "ÀÖØ öøÿ ×÷", "x  ", "tab\t \tx", "a.\nB c,\nd\ne", "\nx", "x\n", "one\n\ntwo", "é.\nÉ a\n", "First\nline", "x\n y", "a\r\nb"]
+       "İstanbul ıi ŉ", "end.\n\nNext, one; two:three", " lead", "\xa0x \xa0 y", "a,b,,c .d", "ÀÖØ öøÿ ×÷", "x  ", "tab\t \tx", "a.\nB c,\nd\ne", "\nx", "x\n", "one\n\ntwo", "é.\nÉ a\n", "First\nline", "x\n y", "a\r\nb",
+       "one$$$ two.*** é,### ÖÖ&&&", "a-b c_d (e) [f] {g}|", "x's. y'. z`~ w'", "end.\nNext.\nÉté!\n", "a\nb\nc's d", "in.\n Out", "<| a |>", "q<r> s&t"]
 ROWS = [(3, "One two three. " * 700), (1, None), (2, ""), (5, "same text"), (5, "same text"), (5, "other text"), (None, "no id"),
         (9, "w " * 9000), *((100 + k, "tiny") for k in range(300))]
 
