@@ -33,11 +33,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids by piece, learned when first asked for, in two halves of ``half`` pieces: a full one takes the place of the other."""
+
+    def __init__(self, learn: Callable[[str], bytes], half: int):
+        super().__init__()
+        self.learn, self.half, self.before = learn, half, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        self[piece] = ids
+        return ids
+
+
 class TextEncoder:
     """Ids of texts as little-endian unsigned 16-bit (vocabularies under 65536) or 32-bit numbers.
 
-    ``memory`` bounds the remembered pieces. They are kept in two halves: when one is full it takes the place of the
-    other, so pieces in use stay known. This never changes an id.
+    ``memory`` bounds the remembered pieces; pieces in use stay known when it is full. This never changes an id.
     """
 
     def __init__(self, path: str, memory: int = 1_000_000):
@@ -49,9 +66,9 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 65536 else "<u4")
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary: lower case, white space dropped
-        self.half = memory // 2
-        self.known, self.known_before = {}, {}
-        self.starts, self.marks = {}, {}  # words at the start of a line, and marks after words
+        self.known = _Pieces(self._learn, memory // 2)
+        self.starts = _Pieces(lambda word: self._tokenize(word, ""), memory // 16)  # words at the start of a line
+        self.marks = _Pieces(lambda marks: self._whole([marks])[0], memory // 16)  # marks after words
         letters = _byte_letters()
         self.space = "" if self.lower else letters[32]
         self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0x100)}
@@ -67,30 +84,10 @@ class TextEncoder:
         shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
         return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(space + shown)])
 
-    def _word(self, word: str) -> bytes:
+    def _plain(self, word: str) -> bytes:
         """Ids of a word of Latin letters as a piece of its own."""
-        if self.lower:
-            word = word.lower()
-        got = self.known.get(word)
-        if got is None:
-            got = self.known_before.get(word)
-            if got is None:
-                got = self._tokenize(word, self.space)
-            self.known[word] = got
-        return got
-
-    def _start(self, word: str) -> bytes:
-        """Ids of a word of Latin letters at the start of a line."""
-        got = self.starts.get(word)
-        if got is None:
-            got = self.starts[word] = self._tokenize(word, "")
-        return got
-
-    def _after(self, marks: str) -> bytes:
-        got = self.marks.get(marks)
-        if got is None:
-            got = self.marks[marks] = self._whole([marks])[0]
-        return got
+        low = word.lower() if self.lower else word
+        return self._tokenize(word, self.space) if low == word else self.known[low]
 
     def _latin(self, piece: str, first: Callable[[str], bytes]) -> bytes | None:
         """Ids of a piece whose lines are a Latin word and marks each, the first word's by ``first``; None for all others.
@@ -103,34 +100,20 @@ class TextEncoder:
             if m is None:
                 return None
             word, marks = m.groups()
-            ids = self._start(word) if lines else first(word)
-            lines.append(ids + self._after(marks) if marks else ids)
+            ids = self.starts[word] if lines else first(word)
+            lines.append(ids + self.marks[marks] if marks else ids)
         return self.line.join(lines)
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces, which are remembered."""
-        got, odd = {}, []
-        if len(self.known) + len(pieces) > self.half:
-            self.known, self.known_before = {}, self.known
-        for small in (self.starts, self.marks):
-            if len(small) > self.half // 4:
-                small.clear()
-        for p in pieces:
-            ids = self.known_before.get(p)
-            if ids is None:
-                ids = self._word(p) if p.isascii() and p.isalpha() else self._latin(p, self._word)
-            if ids is None:
-                odd.append(p)
-            else:
-                got[p] = ids
-        if odd:
-            got.update(zip(odd, self._whole([p if self.lower else " " + p for p in odd]), strict=True))
-        self.known.update(got)
-        return got
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece, after its space where the vocabulary keeps spaces."""
+        if piece.isascii() and piece.isalpha():
+            return self._plain(piece)
+        ids = self._latin(piece, lambda word: self._plain(word) if word == piece else self.known[word])
+        return self._whole([piece if self.lower else " " + piece])[0] if ids is None else ids
 
     def _head(self, piece: str) -> bytes:
         """Ids of the first piece of a text, which has no space before it."""
-        ids = self._latin(piece, self._start) if piece else b""
+        ids = self._latin(piece, self.starts.__getitem__) if piece else b""
         return self._whole([piece])[0] if ids is None else ids
 
     def _unsafe(self, text: str) -> bool:
@@ -152,11 +135,7 @@ class TextEncoder:
                 continue
             pieces = t.split(" ")
             head = b"" if self.lower else self._head(pieces.pop(0))
-            ids = list(map(self.known.get, pieces))
-            if None in ids:
-                fresh = self._learn({p for p, x in zip(pieces, ids, strict=True) if x is None})
-                ids = [fresh[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-            out.append(np.frombuffer(head + b"".join(ids), self.kind))
+            out.append(np.frombuffer(head + b"".join(map(self.known.__getitem__, pieces)), self.kind))
         return out
 
 
