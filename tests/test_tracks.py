@@ -22,6 +22,16 @@ def test_read_over_an_edge_counts_twice_and_tail_is_dropped(spark):
     assert got.count() == sum(n // B for n in CHROMOSOME_LENGTHS.values())
 
 
+def test_bins_with_reads_are_found_without_joining_the_grid(spark):
+    """A filter on the counts once made the join of the grid an inner one, which broadcast all bins of all samples."""
+    rd = [("s", "21", 5, 6), ("s", "nowhere", 5, 6), (None, "1", 5, 6)]
+    bins = counts.count_reads(spark.createDataFrame(rd, READS), B)
+    plan = bins.filter("n > 0")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in bins.filter("n > 0").collect()] == [("s", "21", 0, 1)]
+    assert bins.filter("sample IS NULL").agg(F.count("*"), F.sum("n")).first() == (sum(n // B for n in CHROMOSOME_LENGTHS.values()), 0)
+
+
 def test_sample_without_autosome_reads(spark):
     rd = [("x", "X", 5, 6), ("a", "1", 5, 6)]
     bins = counts.count_reads(spark.createDataFrame(rd, READS), B)
