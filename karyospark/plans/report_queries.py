@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from karyospark.functions import calls
 from karyospark.operators import reports
 from karyospark.plans.projections import (
     add_cte, algorithms, annotations, parameters, result_segments, results, samples, segments, table,
@@ -78,10 +79,9 @@ def _(spark, sf):
 def _(spark, sf):
     key = ["result_id", "chrom", "start", "end", "line", "tag", "tag2"]
     seg = _aberrant(spark, sf).select(*key).distinct()
-    df = reports.annotate(seg, annotations(spark, sf), ["result_id", "line", "tag", "tag2"])
-    return df.select("result_id", "chrom", "start", "line", F.size("annotation").cast("bigint").alias("n"), "annotation", "labels").select(
-        "result_id", "chrom", "start", "line", F.when(F.col("annotation").isNotNull(), F.col("n")).alias("n_annotations"),
-        F.get("annotation", F.lit(0))["annotation_id"].alias("first_id"), F.array_join("labels", "|").alias("labels"))
+    df = reports.annotate(seg, annotations(spark, sf))
+    return df.select("result_id", "chrom", "start", "line", "n_annotations", F.get("annotation", F.lit(0))["annotation_id"].alias("first_id"),
+                     F.array_join("labels", "|").alias("labels"))
 
 
 @query("j24_assessment_from_annotation", """
@@ -94,8 +94,11 @@ def _(spark, sf):
       ON h.result_id = g.result_id AND h.line = g.line AND h.tag = g.tag AND h.tag2 = g.tag2) GROUP BY ALL""")
 def _(spark, sf):
     key = ["result_id", "chrom", "start", "end", "line", "tag", "tag2"]
-    df = reports.annotate(_aberrant(spark, sf).select(*key).distinct(), annotations(spark, sf),
-                          ["result_id", "line", "tag", "tag2"])
+    df = reports.annotate(_aberrant(spark, sf).select(*key).distinct(), annotations(spark, sf), top=1)
+    # Segments of one number, if a table repeats it, share their annotations.
+    one = Window.partitionBy("result_id", "line", "tag", "tag2")
+    first = F.min(F.get(F.col("annotation"), F.lit(0))).over(one)
+    df = df.withColumn("assessment", F.coalesce(calls.assessment(first["acmg"]), F.lit("unknown")))
     return df.groupBy("chrom", "assessment").agg(F.count("*").alias("n"))
 
 

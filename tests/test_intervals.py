@@ -134,3 +134,21 @@ def test_gap_distance(spark):
     def near(p):
         return min(0 if s <= p <= e else s - p if p < s else p - e for _, s, e in gaps) / 1000
     assert got == {(c, p): (near(p) if c == "1" else None) for c, p in pts}
+
+
+def test_first_overlaps_finds_what_pairs_find(spark):
+    """Counts and first ids without pairs: long, short, empty, reversed and missing intervals, hot places, many copies."""
+    rng = random.Random(5)
+    def spans(n, widest):
+        at = [rng.choice([rng.randrange(-50_000, 200_000_000), 7_000_000]) for _ in range(n)]
+        return [(i, rng.choice("12"), x, x + rng.choice([0, 1, -5, rng.randrange(1, 1_000), rng.randrange(1, widest)])) for i, x in enumerate(at)]
+    left = [*spans(200, 150_000_000), (900, "1", None, 5), (901, "1", 5, None), (902, None, 5, 9), (903, "3", 5, 9), (904, "1", 1, 1 << 30)]
+    right = [*spans(400, 60_000), (1000, "1", None, 5), (1001, None, 5, 9)]
+    a = spark.createDataFrame(left, "id int, chrom string, start bigint, end bigint")
+    b = spark.createDataFrame(right, "rid int, chrom string, start bigint, end bigint")
+    want = {i: sorted(r for r, d, x, y in right if None not in (c, s, e, d, x, y) and c == d and s < y and x < e) for i, c, s, e in left}
+    for salt in (1, 3):
+        df = intervals.first_overlaps(a, b, "chrom", ["rid"], 10, salt=salt)
+        got = {r.id: (r.n, [h.rid for h in r.hits]) for r in df.collect()}
+        assert got == {i: (len(w), w[:10]) for i, w in want.items()}
+    assert "Join" not in df._jdf.queryExecution().toString()
