@@ -238,3 +238,33 @@ def test_bias_positions_reach_the_end_of_long_contigs(spark):
     got = bic_queries._marked(spark, sf).collect()
     assert all(0 <= r.pos < length[r.chrom] for r in got)
     assert max(r.pos for r in got) > 3000 and any(r.pos > 0.9 * length[r.chrom] > 3000 for r in got)
+
+
+def test_resampled_and_circular_shares_need_no_joins(spark):
+    """Draws and circular runs against plain loops, whole blocks for long segments included; no draw or run is a row."""
+    from karyospark.operators import bic
+    track = [("s", i % 2 + 1, i * 10, i * 10 + 9, (i * 7) % 5, 0.5 + i % 3) for i in range(240)]
+    bins = spark.createDataFrame(track, "sample string, chrom_num int, start bigint, end bigint, obs bigint, expected double")
+    order = sorted(track, key=lambda b: (b[1], b[2]))
+    segs = spark.createDataFrame([("s", 7, 3, 4, 2.0), ("s", 8, 120, 90, 80.0), ("none", 9, 1, 1, 1.0)],
+                                 "sample string, seg_id bigint, bin_num bigint, obs bigint, expected double")
+    df = bic.resampled_significance(segs, bins, 20, 2)
+    got = {r.seg_id: r.z for r in df.collect()}
+    fine, coarse = [b[4:] for b in order], [tuple(map(sum, zip(*(b[4:] for b in order[i:i + 2])))) for i in range(0, 240, 2)]
+    for seg, pool, n, m, o, e in ((7, fine, 240, 3, 4, 2.0), (8, coarse, 120, 60, 90, 80.0)):
+        freq = []
+        for draw in range(1, 21):
+            at = [(seg * 7368787 + draw * 1299709 + k * 15485863) % 2147483647 * 48271 % 2147483647 % n for k in range(1, m + 1)]
+            a, b = sum(pool[i][0] for i in at), sum(pool[i][1] for i in at)
+            freq.append(a / (a + b + 1e-10))
+        assert got[seg] == pytest.approx((o / (o + e + 1e-10) - np.mean(freq)) / max(np.std(freq, ddof=1), 0.01))
+    assert set(got) == {7, 8}
+    regions = spark.createDataFrame([("s", 1, 500, 9, 4.0), ("s", 2, 0, 0, 0.0)], "sample string, region int, n bigint, obs bigint, expected double")
+    rd = bic.region_significance(regions, bins)
+    p = {r.region: r.pvalue for r in rd.collect()}
+    runs = [[order[(i + k) % 240][4:] for k in range(500)] for i in range(240)]
+    f = [round((sum(x[0] for x in r) + 1e-10) / (sum(x[0] + x[1] for x in r) + 1e-10), 9) for r in runs]
+    own = round((9 + 1e-10) / (13 + 1e-10), 9)
+    tail = 2 * min(sum(x <= round(own + 0.01, 9) for x in f), sum(x >= round(own - 0.01, 9) for x in f)) / 240
+    assert p == {1: pytest.approx(min(1.0, tail) if tail else 1 / 240), 2: 1.0}
+    assert all("Join" not in d._jdf.queryExecution().toString() for d in (df, rd))
