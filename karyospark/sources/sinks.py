@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from karyospark.functions.calls import copy_number
 from karyospark.functions.numeric import fixed_text, unmask
 from karyospark.schema import CHROM_NUM, CHROMOSOME_LENGTHS
+from karyospark.session import spread
 
 # Fixed value: bin size of the exported tracks.
 EXPORT_BIN = 400_000
@@ -51,6 +52,8 @@ def bed_segments(segments: DataFrame) -> DataFrame:
 
 def write_delimited(df: DataFrame, path: str, partition_by: list[str] | None = None, sep: str | None = None) -> None:
     """Header and rows; the separator follows the suffix (.csv or tab) unless given."""
+    if partition_by:  # one task writes a folder, or every task would leave a file in each
+        df = spread(df, *partition_by)
     w = df.write.mode("overwrite").option("header", True).option(
         "sep", sep or ("," if path.rstrip("/").endswith(".csv") else "\t"))
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)

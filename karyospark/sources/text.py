@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from karyospark.functions.chromosomes import to_number_text
 from karyospark.operators.running import carry_forward
@@ -14,14 +15,18 @@ from karyospark.operators.running import carry_forward
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
     """file, n (0-based line number in the file), value, for files of any size.
 
-    A text scan keeps the order inside a split and knows where the split starts, so line numbers
-    are running counts carried from split to split; no file has to be read by one task.
+    A text scan keeps the order inside a split and knows where the split starts. Its rows are numbered where they are read; only
+    the first number and the lines of each split are collected and summed over the splits before, so no line is shuffled or sorted.
     """
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), F.lit(1).cast("bigint").alias("one"))
-    return carry_forward(raw, ["file"], "_start", ["_id"], ["one"]).select(
-        "file", (F.col("run_one") - 1).alias("n"), "value")
+        F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("_file"), F.col("_start").alias("_at"), "_first",
+                           F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    same = (F.col("file") == F.col("_file")) & (F.col("_start") == F.col("_at"))
+    return raw.join(F.broadcast(splits), same).select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("n"), "value")
 
 
 # --- alignments -------------------------------------------------------------------------------

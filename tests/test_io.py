@@ -195,3 +195,23 @@ def test_late_files_of_a_sample_are_counted(spark, tmp_path):
         got = ingest.stored_proportions(spark, out, 50_000_000)
         assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
     assert sum(r.n for r in got.collect() if r["sample"] == "a") == 4
+
+
+def test_line_numbers_across_splits_without_sorting_lines(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f}{i}\n" for i in range(3000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = text.numbered_lines(spark, str(tmp_path))
+        got = sorted((r.file[-5], r.n, r.value) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == sorted((f, i, f"{f}{i}") for f in "ab" for i in range(3000))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # over the splits only
+
+
+def test_a_folder_of_a_partitioned_table_is_one_file(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id % 3 AS experiment", "id AS v").repartition(8)
+    sinks.write_delimited(rows, str(tmp_path / "out"), ["experiment"])
+    assert [len(list(d.glob("part-*"))) for d in sorted((tmp_path / "out").glob("experiment=*"))] == [1, 1, 1]
