@@ -12,7 +12,7 @@ from karyospark.plans.projections import (
 from karyospark.plans.registry import query
 from karyospark.plans.track_queries import KEY, _first, _log2, r6
 from karyospark.schema import CHROMOSOMES
-from karyospark.session import scratch_path
+from karyospark.session import scratch_path, spread
 from karyospark.sources import segments as seg_io
 from karyospark.sources import sinks, text
 from karyospark.streaming import ingest
@@ -66,12 +66,12 @@ def _(spark, sf):
     SELECT chrom, count(*) AS chunks, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum("offset") AS BIGINT) AS offset_sum
     FROM (SELECT chrom, "offset", trim(seq) AS seq FROM fasta_rows) GROUP BY chrom""")
 def _(spark, sf):
-    # One FASTA file per bucket of documents; letters only, so that trimming and headers are unambiguous.
+    # Files of whole documents, as many as the data asks for; letters only, so that trimming and headers are unambiguous.
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "[^a-zA-Z\n]", "N"), "\n")).alias("i", "seq"))
     rows = d.select("doc_id", "i", "seq").unionByName(
         table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("i"), F.concat(F.lit(">D"), F.col("doc_id").cast("string"), F.lit(" text")).alias("seq")))
     path = scratch_path(spark, "fasta")
-    rows.repartition(8, F.col("doc_id") % 8).sortWithinPartitions("doc_id", "i").select(F.col("seq").alias("value")).write.text(path)
+    rows.repartition("doc_id").sortWithinPartitions("doc_id", "i").select(F.col("seq").alias("value")).write.text(path)
     df = text.read_fasta(spark, path)
     return df.groupBy("chrom").agg(F.count("*").alias("chunks"), F.sum(F.length("seq")).cast("bigint").alias("bases"),
                                    F.sum("offset").alias("offset_sum"))
@@ -255,7 +255,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = segments(spark, sf).select("experiment", "algorithm", F.col("chrom_num").alias("Chromosome"), F.col("start").alias("Start"),
                                    F.col("end").alias("End"), F.col("copy_number").alias("Copy #"))
-    path = _written(s.repartition("algorithm"), "callers", by=["algorithm", "experiment"])
+    path = _written(spread(s, "algorithm", "experiment"), "callers", by=["algorithm", "experiment"])
     df = seg_io.read_clinical_segments(spark, f"{path}/*/*")
     df = seg_io.path_parts(df, "algorithm=([^/]+)/experiment=([^/]+)/", ["algorithm", "experiment"])
     return df.groupBy("experiment", "algorithm").agg(F.count("*").alias("n"), r6(F.sum("copy_number")).alias("cn"))
