@@ -268,3 +268,11 @@ def test_resampled_and_circular_shares_need_no_joins(spark):
     tail = 2 * min(sum(x <= round(own + 0.01, 9) for x in f), sum(x >= round(own - 0.01, 9) for x in f)) / 240
     assert p == {1: pytest.approx(min(1.0, tail) if tail else 1 / 240), 2: 1.0}
     assert all("Join" not in d._jdf.queryExecution().toString() for d in (df, rd))
+
+
+def test_all_mixtures_of_a_sample_share_one_group(spark):
+    """Every (components, start) is fitted from one shuffled histogram: no copies of it for the fits."""
+    ratios = spark.createDataFrame([(s, 0.5 * (i % 4) + i / 1000) for s in "ab" for i in range(60)], "sample string, ratio double")
+    df = sg.mixture_models(ratios, range(3, 5), 2)
+    assert "Generate" not in df._jdf.queryExecution().toString()
+    assert sorted((r.sample, r.n, r.start) for r in df.collect()) == [(s, n, i) for s in "ab" for n in (3, 4) for i in (0, 1)]
