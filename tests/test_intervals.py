@@ -91,6 +91,16 @@ def test_segment_at_over_block_edges(spark):
     assert got == {0: 1.0, 95: 1.0, 97: None, 100: 2.0, 512: 2.0, 900: 2.0, 901: None}
 
 
+def test_segment_at_keeps_every_point_without_joining_back(spark):
+    """Repeated points, missing keys and positions, further columns; the points go through one exchange."""
+    seg = spark.createDataFrame([("a", 0, 95, 1.0, 1), (None, 0, 95, 3.0, 3)], "k string, start bigint, end bigint, cn double, seg_id bigint")
+    pts = [(1, "a", 7), (2, "a", 7), (3, "a", None), (4, None, 7), (5, "b", 7)]
+    df = intervals.segment_at(spark.createDataFrame(pts, "id int, k string, pos bigint"), seg, ["k"], "pos", "cn", block=64)
+    assert df.columns == ["k", "pos", "id", "cn"]
+    assert {(r.id, r.k, r.pos, r.cn) for r in df.collect()} == {(i, k, p, 1.0 if i < 3 else None) for i, k, p in pts}
+    assert "Join" not in df._jdf.queryExecution().toString()
+
+
 def test_positions_outside(spark):
     iv = make(20, 8, longest=40)
     pos = [("a", p) for p in range(0, 2300, 7)] * 2
