@@ -146,6 +146,14 @@ def test_gap_distance(spark):
     assert got == {(c, p): (near(p) if c == "1" else None) for c, p in pts}
 
 
+def test_gap_distance_has_no_frame_that_shrinks_row_by_row(spark):
+    """Such a frame is summed anew for each row, so the gaps of a block cost the square of their number."""
+    gaps = spark.createDataFrame([("1", 100, 120)], "chrom string, start bigint, end bigint")
+    plan = gap_distance(spark.createDataFrame([("1", 5)], "chrom string, pos bigint"), gaps)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())" in plan
+    assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in plan
+
+
 def test_first_overlaps_finds_what_pairs_find(spark):
     """Counts and first ids without pairs: long, short, empty, reversed and missing intervals, hot places, many copies."""
     rng = random.Random(5)
