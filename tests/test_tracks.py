@@ -46,6 +46,21 @@ def test_proportion_leaves_own_chromosome_out(spark):
     assert got == pytest.approx({"1": 10 / 30, "2": 30 / 10, "X": 8 / 40})
 
 
+def test_shares_and_sex_from_tracks_are_those_from_bins(spark):
+    """Sums are taken before the bins are listed: no window sees a bin."""
+    rng = random.Random(7)
+    rd = [(s, c, p, p + rng.choice([1, 50, B])) for s, chroms in (("f", ["1", "2", "X"]), ("m", ["1", "3", "X", "Y"]), ("x", ["X", "Y"]), ("one", ["5"]))
+          for c in chroms for p in [rng.randrange(CHROMOSOME_LENGTHS[c]) for _ in range(20)]] + [(None, "1", 5, 6)]
+    reads = spark.createDataFrame(rd, READS)
+    got = counts.proportions_and_sex(reads, B)
+    bins = counts.count_reads(reads, B).withColumn("value", F.col("n").cast("double"))
+    want = counts.with_sex(counts.proportion(bins, B), "proportion")
+    cols = ["sample", "chrom", "bin", "n", "value", "sex", *[F.round(c, 9).alias(c) for c in ("proportion", "xy_ratio")]]
+    assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Window")
+
+
 def test_reference_uses_females_for_x_and_males_for_y(spark):
     rows = [("f", "female", "X", 0, 2.0), ("m", "male", "X", 0, 9.0), ("f", "female", "Y", 0, 9.0), ("m", "male", "Y", 0, 1.0),
             ("f", "female", "1", 0, 1.0), ("m", "male", "1", 0, 3.0)]
@@ -68,6 +83,19 @@ def test_bins_without_reference_are_aberrant_and_majority_flags_chromosome(spark
     assert got["2", 0] and not got["2", 1] and not got["2", 2]
 
 
+def test_totals_by_one_window_a_track_and_one_a_sample(spark):
+    rng = random.Random(11)
+    rows = [(s, c, i, float(rng.randrange(4)), rng.choice([0.0, 0.5, 1.0, 1.1, 2.0, None]), rng.choice([0.0, 1.0, 2.5, None] if c == "3" else [1.0, 2.0, 0.5]))
+            for s in ("a", "b", "c") for c in ("1", "2", "3", "X", "Y") for i in range(12)]
+    rows += [("none", "1", i, 1.0, None, None) for i in range(3)] + [("none", "2", 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, bin bigint, value double, ratio double, reference double")
+    got = reference.aberration_totals(df)
+    want = reference.adjusted_totals(reference.rescale(reference.aberrant_bins(df)))
+    cols = ["sample", "chrom", "bin", "aberrant", F.round("scale", 9).alias("scale"), F.round("total", 9).alias("total")]
+    assert got.count() == want.count() == len(rows) and got.select(cols).exceptAll(want.select(cols)).isEmpty()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
 def test_masks_only_grow(spark):
     rng = random.Random(3)
     rows = [(c, i, rng.random(), rng.random(), i % 9 == 0) for c in ("1", "2", "X", "Y") for i in range(40)]
