@@ -44,13 +44,15 @@ def nearest_valid(bins: DataFrame, k: int, how: str = "mean", value: str = "log2
     for way in ("lag", "lead"):
         taken += [F.when(F.when(valid, beats(way, j, k - 1)).otherwise(beats(way, j, k)), F.col(f"_{way}{j}.v"))
                   for j in range(1, k + 1)]
-    n = reduce(add, [t.isNotNull().cast("int") for t in taken])
+    # The conditions are long, so they are put into one list once: written out for each sum they make a method too long to compile.
+    df = df.select(*bins.columns, F.array_compact(F.array(*taken)).alias("_near"))
+    near, n = F.col("_near"), F.size("_near")
     if how == "mean":
-        stat = reduce(add, [F.coalesce(t, F.lit(0.0)) for t in taken]) / n
+        stat = reduce(add, [F.coalesce(F.get(near, F.lit(j)), F.lit(0.0)) for j in range(k)]) / n
     else:
-        ordered = F.sort_array(F.array_compact(F.array(*taken)))
-        stat = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    return df.withColumn(out, F.when(n > 0, stat)).drop("_it", *[f"_{way}{j}" for way in ("lag", "lead") for j in range(1, k + 1)])
+        df = df.withColumn("_near", F.sort_array(near))
+        stat = (F.get(near, F.floor((n - 1) / 2).cast("int")) + F.get(near, F.floor(n / 2).cast("int"))) / 2
+    return df.withColumn(out, F.when(n > 0, stat)).drop("_near")
 
 
 def bilateral(bins: DataFrame, width: int, value: str = "log2_ratio", out: str = "smoothed",

@@ -130,6 +130,14 @@ def test_nearest_valid_matches_search(spark, how):
         assert got[i] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("how", ["mean", "median"])
+def test_nearest_valid_writes_its_conditions_once(spark, how):
+    """Repeated for each sum they made a method that the JVM no longer compiles."""
+    df = spark.createDataFrame([("s", "1", 0, 1.0)], "sample string, chrom string, bin bigint, log2_ratio double")
+    plan = smoothing.nearest_valid(df, 4, how)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array(CASE WHEN") == 1 and sum(line.count("CASE WHEN") > 20 for line in plan.splitlines()) <= 1
+
+
 def test_bilateral_keeps_steps_and_masks(spark):
     x = [0.0, 0.01, -0.01, 0.0, None, 1.0, 1.01, 0.99, 1.0]
     df = spark.createDataFrame([("s", "1", i, v) for i, v in enumerate(x)], "sample string, chrom string, bin bigint, log2_ratio double")
