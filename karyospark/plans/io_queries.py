@@ -12,7 +12,7 @@ from karyospark.plans.projections import (
 from karyospark.plans.registry import query
 from karyospark.plans.track_queries import KEY, _first, _log2, r6
 from karyospark.schema import CHROMOSOMES
-from karyospark.session import scratch_path, spread
+from karyospark.session import materialise, scratch_path, spread
 from karyospark.sources import segments as seg_io
 from karyospark.sources import sinks, text
 from karyospark.streaming import ingest
@@ -295,7 +295,8 @@ def _(spark, sf):
     SELECT sample, chrom, bin, round(log2_ratio, 6) + 0.0 AS log2_ratio FROM log2_track""")
 def _(spark, sf):
     path = scratch_path(spark, "tracks")
-    log2 = _log2(spark, sf).select(*KEY, "log2_ratio")
+    # Both writes start from the same tracks; without the cut the whole chain would run for each.
+    log2 = materialise(_log2(spark, sf).select(*KEY, "log2_ratio"), "log2")
     sinks.write_tracks(log2.filter(F.col("sample") < "S000005"), path)
     sinks.write_tracks(sinks.pending(log2, path), path)
     return spark.read.parquet(path).select(F.col("sample").cast("string").alias("sample"), "chrom", "bin", r6(F.col("log2_ratio")).alias("log2_ratio"))

@@ -215,3 +215,17 @@ def test_a_folder_of_a_partitioned_table_is_one_file(spark, tmp_path):
     rows = spark.range(400).selectExpr("id % 3 AS experiment", "id AS v").repartition(8)
     sinks.write_delimited(rows, str(tmp_path / "out"), ["experiment"])
     assert [len(list(d.glob("part-*"))) for d in sorted((tmp_path / "out").glob("experiment=*"))] == [1, 1, 1]
+
+
+def test_both_writes_of_the_cached_tracks_read_one_run_of_the_chain(spark, monkeypatch):
+    from karyospark.plans.catalogue import CATALOGUE
+    plans, write = [], sinks.write_tracks
+
+    def seen(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, path)
+
+    monkeypatch.setattr(sinks, "write_tracks", seen)
+    n = CATALOGUE["k01_track_cache_and_skip"].run(spark, "/root/testdata/sf0.001").count()
+    assert len(plans) == 2 and not any("Window" in p for p in plans)
+    assert n > 0
