@@ -61,6 +61,12 @@ def test_shares_and_sex_from_tracks_are_those_from_bins(spark):
     assert plan.index("Generate posexplode") < plan.index("Window")
 
 
+def test_tracks_are_dealt_over_many_tasks_whatever_the_session_has(spark):
+    """A task sorts the bins that it lists, so with few shuffle partitions its memory grew with the number of samples."""
+    bins = counts.count_reads(spark.createDataFrame([("s", "21", 5, 6)], READS), B)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < bins.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
+
+
 def test_reference_uses_females_for_x_and_males_for_y(spark):
     rows = [("f", "female", "X", 0, 2.0), ("m", "male", "X", 0, 9.0), ("f", "female", "Y", 0, 9.0), ("m", "male", "Y", 0, 1.0),
             ("f", "female", "1", 0, 1.0), ("m", "male", "1", 0, 3.0)]
