@@ -55,6 +55,58 @@ def test_best_arc_matches_search():
     assert sg.best_arc(x)[0] == pytest.approx(want)
 
 
+def test_best_arc_in_lots_of_widths_matches_search_of_all_bounds():
+    for n in (1, 3, 4, 5, 24, 61):
+        x = np.random.default_rng(n).poisson(2, n).astype(float)
+        s = np.concatenate([[0], np.cumsum(x - x.mean())])
+        want = max([abs(s[j] - s[i]) / math.sqrt((j - i) * (1 - (j - i) / n)) for i in range(n) for j in range(i + 2, n + 1) if j - i <= n - 2], default=0)
+        whole, lots = sg.best_arc(x), sg.best_arc(x, cells=3 * n)
+        z, i, j = whole
+        assert whole == lots and z == pytest.approx(want)
+        assert want == 0 or abs(s[j] - s[i]) / math.sqrt((j - i) * (1 - (j - i) / n)) == pytest.approx(want)
+
+
+def test_solver_gets_whole_groups_however_batches_cut_them(spark):
+    sizes = [1, 9, 3, 30, 7, 7, 2, 1, 14]
+    rows = [(f"s{g // 4}", str(g), i) for g, n in enumerate(sizes) for i in range(n)] + [(None, "1", 5), (None, "1", 6)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, bin bigint").repartition(3)
+
+    def size(cols, params):
+        assert len(set(cols["sample"])) == len(set(cols["chrom"])) == 1
+        return {"chrom": [cols["chrom"][0]], "n": [len(cols["bin"])], "total": [int(cols["bin"].sum())]}
+
+    key, least = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    old = {k: spark.conf.get(k) for k in (key, least)}
+    try:
+        for batch in (1, 7, 1000):
+            spark.conf.set(key, batch)
+            out = sg.run_solver(df, size, "chrom string, n bigint, total bigint", None, ("sample", "chrom"))
+            got = sorted((r.chrom, r.n, r.total) for r in out.collect())
+            assert got == sorted([(str(g), n, n * (n - 1) // 2) for g, n in enumerate(sizes)] + [("1", 2, 11)])
+            # No message of its own for each group.
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_outlier_cap_reads_one_sliding_window(spark):
+    rng = np.random.default_rng(5)
+    x = [None if rng.random() < 0.1 else float(v) for v in rng.normal(0, 1, 120) * np.where(rng.random(120) < 0.1, 12, 1)]
+    rows = [("s", c, i, v) for c, track in (("1", x), ("2", [4.0]), ("3", [1.0, 9.0])) for i, v in enumerate(track)]
+    df = sg.cap_outliers(spark.createDataFrame(rows, "sample string, chrom string, bin bigint, log2_ratio double"), region=4)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("specifiedwindowframe(RowFrame, -") == 2  # lag and neighbours
+    sd = np.median([abs(b - a) for a, b in zip(x, x[1:]) if a is not None and b is not None]) * 1.4826 / math.sqrt(2)
+    want = []
+    for i, v in enumerate(x):
+        others = [u for u in [*x[max(i - 4, 0):i], *x[i + 1:i + 5]] if u is not None]
+        med = np.median([*others, v]) if v is not None else None
+        want.append(v if v is None or min(others) - 4 * sd <= v <= max(others) + 4 * sd else med + (2 if v > med else -2) * sd)
+    got = {(r.chrom, r.bin): r.log2_ratio for r in df.collect()}
+    assert want != x and [got["1", i] for i in range(len(x))] == [None if w is None else pytest.approx(w) for w in want]
+    assert [got["2", 0], got["3", 0], got["3", 1]] == [4.0, 1.0, 9.0]
+
+
 def slow_merge(obs, exp, price):
     """Same greedy rule by recomputing everything."""
     segs = [(i, list(o), list(e)) for i, (o, e) in enumerate(zip(obs.tolist(), exp.tolist()))]
