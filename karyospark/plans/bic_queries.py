@@ -599,8 +599,8 @@ def _(spark, sf):
 
 @query("w12_bic_segments")
 def _(spark, sf):
-    lam = bic.noise_factor(bic_bins(spark, sf), ["sample"]).select("sample", bic.penalty(F.col("theta"), 2.0).alias("lam"))
-    return segmentation.bic_segments(bic_bins(spark, sf).join(lam, "sample"), [("obs", "expected")])
+    bins = bic.with_theta(bic_bins(spark, sf), "sample").withColumn("lam", bic.penalty(F.col("theta"), 2.0))
+    return segmentation.bic_segments(bins, [("obs", "expected")])
 
 
 # One merge of a chromosome a step; lists hold its segments in order.

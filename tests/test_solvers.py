@@ -160,6 +160,30 @@ def test_bic_segments_many_samples(spark):
     assert got.bin_num.tolist() == [20, 30]
 
 
+def test_theta_of_a_bin_is_that_of_its_group(spark):
+    rows = [(s, str(i % 3), i, float(i % 5), 0.0 if s == "none" or i == 4 else 1.5, 2.0) for s in ("a", "b", "none", None) for i in range(len(s or "xy") * 7)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, bin bigint, obs double, expected double, var double")
+    want = {r["sample"]: r.theta for r in bic.noise_factor(df.filter("sample IS NOT NULL"), ["sample"]).collect()}
+    got = bic.with_theta(df, "sample").collect()
+    assert set(want) == {"a", "b"} and len(got) == 14
+    assert all(r.theta == pytest.approx(want[r["sample"]]) for r in got)
+
+
+def test_bic_query_reads_its_table_once(spark):
+    from karyospark.plans.catalogue import CATALOGUE
+    plan = CATALOGUE["w12_bic_segments"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey#") and plan.count("Relation [") == 1
+
+
+def test_bic_merge_counts_each_likelihood_once(monkeypatch):
+    calls, cost = [], sg._cost
+    monkeypatch.setattr(sg, "_cost", lambda o, e: calls.append(1) or cost(o, e))
+    n = 200
+    assert sg.bic_merge(np.full((n, 1), 20.0), np.full((n, 1), 20.0), 10.0) == [0, n]
+    # One a bin, one a pair, two for the neighbours of each merge.
+    assert len(calls) <= 4 * n
+
+
 def test_close_neighbours_merge(spark):
     rows = [("s", "1", 1, 10, 5, 100.0, 100.0, 0.0), ("s", "1", 11, 20, 5, 103.0, 100.0, 0.0), ("s", "1", 21, 30, 5, 200.0, 100.0, 0.0)]
     df = spark.createDataFrame(rows, "sample string, chrom string, start bigint, end bigint, bin_num bigint, obs double, expected double, adjust double")
