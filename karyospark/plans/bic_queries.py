@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from karyospark.operators import bias, bic, segmentation
-from karyospark.operators.intervals import overlap_sum
+from karyospark.operators.intervals import track_overlap_sum
 from karyospark.operators.reference import per_bin
 from karyospark.plans import ratio_chain
 from karyospark.plans.projections import (
@@ -459,7 +459,7 @@ def _(spark, sf):
     asked = regions(spark, sf).join(m, "experiment").select("sample", "region", "chrom", "start", "end")
     # Regions are short against the bins here, so the plain overlap counts are the input.
     b = bic_bins(spark, sf)
-    counted = overlap_sum(asked, b, ["sample", "chrom"], ["region"], {"obs": "obs", "expected": "expected"}, closed=True).drop("chrom")
+    counted = track_overlap_sum(asked, b, ["sample", "chrom"], {"obs": "obs", "expected": "expected"}, closed=True).drop("chrom", "start", "end")
     df = bic.region_significance(counted.withColumn("expected", F.round("expected", 9)), b)
     return df.select("sample", "region", r6(F.col("log2_ratio")).alias("log2_ratio"), r6(F.col("pvalue")).alias("pvalue"))
 

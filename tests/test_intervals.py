@@ -56,6 +56,33 @@ def test_overlap_sums_make_no_pairs_but_match_them(spark, closed):
     assert {r.id: (r.n, r.total) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_track_sums_match_pairs_and_take_one_exchange(spark, closed):
+    a, b = make(80, 14), make(120, 15)
+    q = spark.createDataFrame([*a, ("a", 900, None, 50, 0), ("a", 901, 5, None, 0), (None, 902, 0, 999, 0), ("none", 903, 0, 999, 0)], SCHEMA)
+    held = spark.createDataFrame([*b, ("a", 0, None, 40, 7), ("a", 0, 3, None, 7), (None, 0, 0, 999, 7)], SCHEMA)
+    got = intervals.track_overlap_sum(q.withColumnRenamed("v", "own"), held, ["k"], {"total": "v"}, closed)
+    want = {x[1]: (x[0], x[2], x[3], x[4], sum(1 for y in b if y[0] == x[0] and overlap(x, y, closed)),
+                   sum(y[4] for y in b if y[0] == x[0] and overlap(x, y, closed))) for x in a}
+    want |= {900: ("a", None, 50, 0, 0, 0), 901: ("a", 5, None, 0, 0, 0), 902: (None, 0, 999, 0, 0, 0), 903: ("none", 0, 999, 0, 0, 0)}
+    assert {r.id: (r.k, r.start, r.end, r.own, r.n, r.total) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_region_counts_neither_join_nor_exchange_their_edges_again(spark):
+    from karyospark.operators import bic
+    regions = spark.createDataFrame([("s", 1, "1", 50, 250, "x"), ("s", 2, "1", 950, 990, "y"), ("s", 3, "2", 1, 2, "z")],
+                                    "sample string, region int, chrom string, start bigint, end bigint, note string")
+    bins = spark.createDataFrame([("s", "1", i * 100 + 1, i * 100 + 100, i, 0.5 * i) for i in range(9)] + [("t", "2", 1, 100, 9, 9.0)],
+                                 "sample string, chrom string, start bigint, end bigint, obs bigint, expected double")
+    got = bic.region_counts(regions, bins)
+    assert sorted((r.region, r.note, r.n, r.size, r.obs, r.expected) for r in got.collect()) == [
+        (1, "x", 3, 300, 3, 1.5), (2, "y", 0, 0, 0, 0.0), (3, "z", 0, 0, 0, 0.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_covered_length(spark):
     a, b = make(80, 6), make(120, 7)
     got = intervals.covered_length(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), ["k"], ["id"])
