@@ -22,10 +22,15 @@ from karyospark.session import materialise
 GRID, ACCURACY = 256, 10_000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float], block: int = 100_000) -> DataFrame:
-    """by..., n, mean, q: array of the percentiles at `cuts` (linear interpolation); NULL values are left out."""
+def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float], block: int = 100_000,
+                    count: str | None = None) -> DataFrame:
+    """by..., n, mean, q: array of the percentiles at `cuts` (linear interpolation); NULL values are left out.
+
+    A row stands for `count` equal values, or for one.
+    """
     present = df.filter(F.col(value).isNotNull())
-    counted = materialise(present.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "quantiles")
+    counted = materialise(present.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        (F.sum(count) if count else F.count("*")).alias("_n")), "quantiles")
     weighted = [F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")]
     points = F.percentile("_v", F.array(*[F.lit(float(c)) for c in cuts]), F.col("_n")).alias("q")
     if counted.count() <= block:  # the written table knows its rows: no group can be large
@@ -35,7 +40,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, cuts: list[float],
     if not large.count():
         return counted.groupBy(*by).agg(*weighted, points)
     small = _with_groups(counted, large, by, "left_anti").groupBy(*by).agg(*weighted, points)
-    values = _with_groups(present.select(*by, F.col(value).cast("double").alias("_v")), large, by, "left_semi")
+    # The sketches see a value as often as it counts.
+    seen = present.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint")))) if count else present
+    values = _with_groups(seen.select(*by, F.col(value).cast("double").alias("_v")), large, by, "left_semi")
     big = _selected(values, _with_groups(counted, large, by, "left_semi"), large, by, cuts, block)
     return small.unionByName(big)
 

@@ -346,6 +346,96 @@ def test_resampled_and_circular_shares_need_no_joins(spark):
     assert all("Join" not in d._jdf.queryExecution().toString() for d in (df, rd))
 
 
+def _one_mixture(x, w, n, start, equal_variance):
+    """One fit by itself, row by row of the method: what the fits of all models and samples at once must give for each."""
+    rng, i = np.random.default_rng(start * 1009 + n), np.arange(n) / 2.0
+    alpha, xi, last = rng.uniform(0.0, 0.6), 0.0, -np.inf
+    var = np.full(n, float(np.average((x - np.average(x, weights=w)) ** 2, weights=w)) / n + 1e-4)
+    p = rng.dirichlet(np.full(n, 5.0))
+    for _ in range(200):
+        mu = i + alpha * (1 - i) + xi
+        dens = p * np.exp(-((x[:, None] - mu) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var)
+        total = dens.sum(axis=1) + 1e-300
+        ll = float((w * np.log(total)).sum())
+        if ll - last < 1e-6 * abs(ll):
+            break
+        last = ll
+        r = w[:, None] * dens / total[:, None]
+        m = r.sum(axis=0)
+        p = np.where(m / w.sum() < 1e-4, 0.0, m)
+        p = p / p.sum()
+        q, y = m / var, (r * (x[:, None] - i)).sum(axis=0) / var
+        a = np.array([[(q * (1 - i) ** 2).sum(), (q * (1 - i)).sum()], [(q * (1 - i)).sum(), q.sum()]]) + 1e-9 * np.eye(2)
+        alpha = float(np.clip(np.linalg.solve(a, [(y * (1 - i)).sum(), y.sum()])[0], 0.0, 0.999))
+        xi = float((y - q * alpha * (1 - i)).sum() / q.sum())
+        spread_sq = (r * (x[:, None] - (i + alpha * (1 - i) + xi)) ** 2).sum(axis=0)
+        pooled = max(float(spread_sq.sum() / w.sum()), 1e-6)
+        var = np.full(n, pooled) if equal_variance else np.where(p > 0, np.maximum(spread_sq / np.maximum(m, 1e-9), 1e-6), pooled)
+    return {"alpha": alpha, "xi": xi, "loglik": last, "p": p, "mu": i + alpha * (1 - i) + xi, "var": var}
+
+
+@pytest.mark.parametrize("equal_variance", [True, False])
+def test_mixtures_at_once_equal_single_fits_in_few_passes(monkeypatch, equal_variance):
+    """All models of several samples, of unlike numbers of points; a pass over all of them is one call of exp, not one a fit."""
+    rng = np.random.default_rng(4)
+    models = [(n, start) for n in range(3, 16) for start in range(10)]
+    groups = []
+    for s, k in enumerate((40, 25, 33)):
+        cell = np.sort(rng.choice(250, k, replace=False))
+        order = rng.permutation(k)
+        groups.append({"sample": np.array([f"s{s}"] * k), "cell": cell[order], "x": (cell / 100 + 0.004)[order], "w": rng.integers(1, 300, k)})
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: (calls.append(1), exp(*a, **k))[1])
+    got = list(sg._fitted(groups, models, sg._mixture_starts(models), equal_variance))
+    monkeypatch.undo()
+    assert len(calls) <= 200
+    for g, out in zip(groups, got, strict=True):
+        order = np.argsort(g["cell"])
+        for k, (n, start) in enumerate(models):
+            one = _one_mixture(g["x"][order], g["w"][order].astype(float), n, start, equal_variance)
+            assert (out["sample"][k], out["n"][k], out["start"][k]) == (g["sample"][0], n, start)
+            assert all(np.allclose(out[c][k], one[c], rtol=1e-6, atol=1e-8) for c in one)
+            assert [v > 0 for v in out["p"][k]] == [v > 0 for v in one["p"]]
+
+
+def test_mixtures_of_one_ratio(spark):
+    """A sample whose ratios are all 0.5 leaves alpha open; the single fits could stop there with a singular matrix."""
+    rows = [("a", 0.5)] * 2000 + [("b", 1.0)] * 50
+    got = {r.sample: r for r in sg.mixture_models(spark.createDataFrame(rows, "sample string, ratio double"), range(3, 5), 2).collect()}
+    assert set(got) == {"a", "b"}
+    for s, x in (("a", 0.5), ("b", 1.0)):
+        assert math.isfinite(got[s].bic) and min(abs(m - x) for m, p in zip(got[s].mu, got[s].p) if p > 0) < 1e-3
+
+
+def test_copy_ratio_models_reads_the_bins_once(spark, monkeypatch):
+    """Quantiles, cut and fits read the counted ratios, not the bins again for each."""
+    read, write = [], sg.materialise
+    monkeypatch.setattr(sg, "materialise", lambda df, name: (read.append(df), write(df, name))[1])
+    rows = [(s, 0.5 * (i % 4) + (i % 7) / 100) for s in "ab" for i in range(400)] + [("a", 90.0), ("b", None)]
+    df = spark.createDataFrame(rows, "sample string, ratio double")
+    best = sg.copy_ratio_models(df, components=range(3, 5), starts=2)
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (*read, best)]
+    assert ["LogicalRDD" in p for p in plans] == [True, False, False]
+    from karyospark.operators.bic import mad_cut
+    every = sg.best_model(sg.mixture_models(mad_cut(df, ["sample"], "ratio"), range(3, 5), 2))
+    assert "REPARTITION_BY_NUM" in best._jdf.queryExecution().executedPlan().toString()
+    for a, b in zip(sorted(best.collect()), sorted(every.collect()), strict=True):
+        assert (a.sample, a.n, a.start) == (b.sample, b.n, b.start) and a.bic == pytest.approx(b.bic, rel=1e-9)
+
+
+def test_quantiles_of_counted_rows(spark):
+    """Rows that stand for several equal values, in groups that are ordered at once and in groups that are narrowed by rank."""
+    from karyospark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), int(n)) for g, k in (("few", 30), ("many", 900)) for v, n in zip(rng.normal(size=k), rng.integers(1, 40, k) ** 2)]
+    df = spark.createDataFrame(rows, "g string, v double, n bigint")
+    for block in (100_000, 200):
+        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99], block, count="n").collect()}
+        for g in ("few", "many"):
+            all_of = np.repeat([v for k, v, _ in rows if k == g], [n for k, _, n in rows if k == g])
+            assert got[g].n == len(all_of) and got[g].q == pytest.approx(np.quantile(all_of, [0.1, 0.5, 0.99]).tolist())
+
+
 def test_all_mixtures_of_a_sample_share_one_group(spark):
     """Every (components, start) is fitted from one shuffled histogram: no copies of it for the fits."""
     ratios = spark.createDataFrame([(s, 0.5 * (i % 4) + i / 1000) for s in "ab" for i in range(60)], "sample string, ratio double")
