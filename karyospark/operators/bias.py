@@ -1,6 +1,6 @@
 """Sequence bias of read counts: covariates from prefix-count tiles, regression on counted cells, expected counts.
 
-The sequence travels in tiles with a halo. A tile becomes two arrays, letter codes and running G+C counts, so a window of any
+The sequence travels in tiles with a halo. In Python tiles become two arrays, letter codes and running G+C counts, so a window of any
 length is two array reads and nothing is ever unfolded into a row per base. Training rows are
 counted once by covariate cell; each step of a fit is one pass over the cells that sums normal equations of a fixed size.
 """
@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, StructField, StructType
 
 from karyospark.session import materialise
 
@@ -23,6 +25,8 @@ LETTERS = "GCT"
 KNOTS = (0.2, 0.4, 0.6, 0.8)
 TILE = 65536
 _STEP_ROWS = 20_000
+#: Bytes of sequence whose positions are worked out in one go.
+_RUN_BYTES = 250_000
 
 
 # --- sequence around positions -------------------------------------------------------------------
@@ -42,33 +46,48 @@ def sequence_tiles(chunks: DataFrame, tile: int, halo: int) -> DataFrame:
                       F.array_join(F.transform("ps", lambda x: x["s"]), "").alias("seq"))
 
 
-def _codes(seq: str) -> np.ndarray:
-    """1, 2, 3 for G, C, T in either case, 0 for everything else."""
-    table = np.zeros(129, np.int8)
+def _letter_table() -> np.ndarray:
+    """1, 2, 3 for G, C, T in either case, 0 for every other byte; letters beyond ASCII count by their first byte."""
+    table = np.zeros(256, np.int8)
     for k, letter in enumerate(LETTERS, 1):
         table[[ord(letter), ord(letter.lower())]] = k
-    return table[np.minimum(np.frombuffer(seq.encode("utf-32-le"), "<u4"), 128)]
+    return table
+
+
+def _codes(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of some sequences in one array, and where each of them starts (and the end)."""
+    kind = "<i8" if pa.types.is_large_string(seqs.type) else "<i4"
+    _, where, data = seqs.buffers()
+    heads = np.frombuffer(where, kind, len(seqs) + 1, seqs.offset * np.dtype(kind).itemsize).astype(np.int64)
+    text = np.frombuffer(data, np.uint8)[heads[0]:heads[-1]] if data is not None else np.zeros(0, np.uint8)
+    codes, heads = np.take(_letter_table(), text), heads - heads[0]
+    letter = text.view(np.int8) >= -64  # all but the bytes that continue a letter
+    if letter.all():
+        return codes, heads
+    return codes[letter], np.concatenate(([0], np.cumsum(letter)))[heads]
 
 
 def _running_gc(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum((codes == 1) | (codes == 2)))).astype(np.int32)
+    out = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum((codes == 1) | (codes == 2), dtype=np.int32, out=out[1:])
+    return out
 
 
-def _each_tile(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, np.ndarray]]:
-    for r in range(b.num_rows):
-        chrom, tile, lo, seq = (b.column(c)[r].as_py() for c in ("chrom", "tile", "lo", "seq"))
-        yield chrom, tile, lo, _codes(seq)
+def _some_tiles(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of a batch's tiles with their codes side by side: enough that calls cost little, few enough that arrays stay small."""
+    size = np.cumsum(pc.binary_length(b.column("seq")).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _RUN_BYTES, "right")))
+        part = b.slice(at, end - at)
+        yield part, *_codes(part.column("seq"))
+        at = end
 
 
-def tile_arrays(tiles: DataFrame) -> DataFrame:
-    """chrom, tile, lo, codes: letter code per base, running: G+C before each base and after the last."""
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for chrom, tile, lo, codes in _each_tile(b):
-                yield pa.RecordBatch.from_pydict({
-                    "chrom": [chrom], "tile": pa.array([tile], pa.int64()), "lo": pa.array([lo], pa.int64()),
-                    "codes": pa.array([codes], pa.list_(pa.int8())), "running": pa.array([_running_gc(codes)], pa.list_(pa.int32()))})
-    return tiles.mapInArrow(run, "chrom string, tile bigint, lo bigint, codes array<tinyint>, running array<int>")
+def _each_tile(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    for part, codes, heads in _some_tiles(b):
+        for r, (chrom, tile, lo) in enumerate(zip(*(part.column(c).to_pylist() for c in ("chrom", "tile", "lo")))):
+            yield chrom, tile, lo, codes[heads[r]:heads[r + 1]]
 
 
 def read_offsets(flank: int, read_length: int | None = None, whole_read: bool = False) -> list[int]:
@@ -79,19 +98,64 @@ def read_offsets(flank: int, read_length: int | None = None, whole_read: bool =
     return first if read_length is None else first + [k + read_length for k in first]
 
 
-def covariates(positions: DataFrame, chunks: DataFrame, fragment: int, offsets: list[int], tile: int = TILE) -> DataFrame:
+def window_halo(fragment: int, offsets: list[int]) -> int:
+    """Bases on both sides of a position that its covariates look at."""
+    return max(fragment, *(abs(k) for k in offsets), 0)
+
+
+def covariates(positions: DataFrame, chunks: DataFrame, fragment: int, offsets: list[int], tile: int = TILE,
+               tiles: DataFrame | None = None) -> DataFrame:
     """Positions with gc_count of the 2*fragment+1 bases around and `letters`, the codes at `offsets`.
 
-    Positions whose window leaves the sequence are skipped.
+    Positions whose window leaves the sequence are skipped. Tiles and positions come in one stream, each tile before its
+    positions, so the sequence is sent once and no row carries it. `tiles` may be given where they are written already.
     """
-    halo = max(fragment, *(abs(k) for k in offsets), 0)
-    arrays = tile_arrays(sequence_tiles(chunks, tile, halo))
-    df = positions.withColumn("tile", F.floor(F.col("pos") / tile)).join(arrays, ["chrom", "tile"])
-    at = (F.col("pos") - F.col("lo")).cast("int")
-    inside = (at >= halo) & (at + halo < F.size("codes"))
-    letters = F.array(*[F.get("codes", at + k) for k in offsets]) if offsets else F.array().cast("array<tinyint>")
-    return (df.filter(inside).withColumn("gc_count", F.get("running", at + fragment + 1) - F.get("running", at - fragment))
-            .withColumn("letters", letters).drop("tile", "lo", "codes", "running"))
+    halo, fields = window_halo(fragment, offsets), positions.schema.names
+    tiles = sequence_tiles(chunks, tile, halo) if tiles is None else tiles
+    row = F.struct(*fields)
+    asked = positions.filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull()).select(
+        "chrom", F.floor(F.col("pos") / tile).alias("tile"), F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("string").alias("seq"),
+        F.col("pos").cast("bigint").alias("_pos"), row.alias("_row"))
+    held = tiles.filter(F.col("chrom").isNotNull()).select(
+        "chrom", F.col("tile").cast("bigint").alias("tile"), "lo", "seq", F.lit(None).cast("bigint").alias("_pos"),
+        F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    schema = StructType([*positions.schema.fields, StructField("gc_count", IntegerType()), StructField("letters", ArrayType(ByteType()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, codes, heads, lo = None, np.zeros(0, np.int8), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        for b in it:
+            is_tile = pc.is_valid(b.column("lo")).to_numpy(zero_copy_only=False)
+            fresh = b.filter(pa.array(is_tile))
+            # The last tile so far may have positions in this batch too.
+            new_codes, new_heads = _codes(fresh.column("seq")) if fresh.num_rows else (np.zeros(0, np.int8), np.zeros(1, np.int64))
+            last = 1 if keys is not None else 0
+            codes, heads = np.concatenate((codes, new_codes)), np.concatenate((heads[:last], new_heads + len(codes)))
+            lo = np.concatenate((lo, fresh.column("lo").to_numpy()))
+            names = pa.RecordBatch.from_arrays([fresh.column("chrom"), fresh.column("tile")], ["chrom", "tile"])
+            names = pa.Table.from_batches([*([keys] if last else []), names]).combine_chunks()
+            owner = np.cumsum(is_tile) - 1 + last
+            rows = np.flatnonzero(~is_tile & (owner >= 0))
+            if len(rows):
+                mine, seqs = b.take(pa.array(rows)), pa.array(owner[rows])
+                same = pc.and_(pc.equal(mine.column("chrom"), names.column("chrom").take(seqs)), pc.equal(mine.column("tile"), names.column("tile").take(seqs)))
+                whose = owner[rows]
+                at = mine.column("_pos").to_numpy() - lo[whose]
+                ok = np.asarray(same) & (at >= halo) & (at + halo < heads[whose + 1] - heads[whose])
+                if ok.any():
+                    spot = (at + heads[whose])[ok]
+                    running = _running_gc(codes)
+                    letters = codes[spot[:, None] + np.array(offsets, np.int64)]
+                    cuts = pa.array(np.arange(len(spot) + 1, dtype=np.int32) * len(offsets))
+                    held_rows = mine.column("_row").filter(pa.array(ok))
+                    yield pa.RecordBatch.from_arrays([*held_rows.flatten(), pa.array(running[spot + fragment + 1] - running[spot - fragment]),
+                                                      pa.ListArray.from_arrays(cuts, pa.array(letters.ravel()))], schema.names)
+            if names.num_rows:
+                keys = names.slice(names.num_rows - 1).to_batches()[0]
+                codes, lo = codes[heads[-2]:], lo[-1:]
+                heads = np.array([0, len(codes)])
+
+    stream = held.unionByName(asked).repartition("chrom", "tile").sortWithinPartitions("chrom", "tile", F.col("lo").isNull())
+    return stream.mapInArrow(run, schema)
 
 
 def training_covariates(positions: DataFrame, chunks: DataFrame, fragment: int = 300, flank: int = 5, tile: int = TILE,
@@ -188,11 +252,20 @@ class BiasModel:
         return F.exp(log_rate)
 
 
-def covariate_cells(rows: DataFrame) -> DataFrame:
-    """A written table of the covariate cells (gc_count, letters): positions, reads and squared reads."""
+def _tallies() -> list[Column]:
     n = F.col("n").cast("double")
-    return materialise(rows.groupBy("gc_count", "letters").agg(
-        F.count("*").alias("positions"), F.sum(n).alias("reads"), F.sum(n * n).alias("squares")), "covariate-cells")
+    return [F.count("*").alias("positions"), F.sum(n).alias("reads"), F.sum(n * n).alias("squares")]
+
+
+def spots(positions: DataFrame) -> DataFrame:
+    """A written table of the distinct (chrom, pos) with `positions`, the number of rows, `reads` and squared reads of them."""
+    return materialise(positions.groupBy("chrom", "pos").agg(*_tallies()), "spots")
+
+
+def covariate_cells(rows: DataFrame) -> DataFrame:
+    """A written table of the covariate cells (gc_count, letters): positions, reads and squared reads, of rows or of `spots`."""
+    sums = [F.sum(c).alias(c) for c in ("positions", "reads", "squares")] if "squares" in rows.columns else _tallies()
+    return materialise(rows.groupBy("gc_count", "letters").agg(*sums), "covariate-cells")
 
 
 def _summed(df: DataFrame, run, size: int) -> np.ndarray:
@@ -250,8 +323,9 @@ def fit_bias(cells: DataFrame, fragment: int, offsets: list[int], knots: tuple[f
                     eta = np.clip(x @ beta, -500, 50)
                     mu = np.exp(eta)
                     w = 1 / (1 + np.exp(np.clip(x @ weighting[0], -500, 50)) / weighting[1]) if weighting else np.ones(len(m))
-                    total[:p * p] += (x.T @ ((w * m * mu)[:, None] * x)).ravel()
                     total[p * p:p * p + p] += x.T @ (w * (n - m * mu))
+                    x *= np.sqrt(w * m * mu)[:, None]
+                    total[:p * p] += (x.T @ x).ravel()
                     total[-6:] += [(w * (n * eta - m * mu)).sum(), m.sum(), (n / mu).sum(), (n2 / mu**2).sum(), (m * mu).sum(), (m * mu * mu).sum()]
             yield _array(total)
         s = _summed(cells, run, p * p + p + 6)
@@ -316,33 +390,66 @@ def fit_refine_curve(bins: DataFrame, knots: tuple[float, ...] = KNOTS) -> tuple
 
 # --- expected counts ------------------------------------------------------------------------------------
 
-def bin_rates(chunks: DataFrame, model: BiasModel, bin_size: int, tile: int = TILE) -> DataFrame:
+def _word_tables(offsets: list[int], letters: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(first offset, length, table): sums of the coefficients of up to five bases side by side, by their codes as one number."""
+    out, at = [], 0
+    while at < len(offsets):
+        end = at + 1
+        while end < len(offsets) and end - at < 5 and offsets[end] == offsets[end - 1] + 1:
+            end += 1
+        word = np.arange(4 ** (end - at))
+        table = sum(np.concatenate(([0.0], letters[i]))[(word >> 2 * (i - at)) & 3] for i in range(at, end))
+        out.append((offsets[at], end - at, table))
+        at = end
+    return out
+
+
+def _words(codes: np.ndarray, length: int) -> np.ndarray:
+    """The codes of `length` bases from each base on as one number; the last bases have none."""
+    out = codes[:len(codes) - length + 1].astype(np.int16)
+    for j in range(1, length):
+        out |= codes[j:len(codes) - length + 1 + j].astype(np.int16) << 2 * j
+    return out
+
+
+def bin_rates(chunks: DataFrame, model: BiasModel, bin_size: int, tile: int = TILE, tiles: DataFrame | None = None) -> DataFrame:
     """chrom, bin, positions, expected, var, gc: over all positions whose window lies in the sequence.
 
-    A tile works out its own positions as arrays and gives one row per bin; var is the negative-binomial variance, gc the mean share.
+    Tiles work out their own positions as arrays, many short tiles at once, and give one row per bin; var is the negative-binomial
+    variance, gc the mean share. `tiles` may be given where they are written already.
     """
-    halo, f = max(model.fragment, *(abs(k) for k in model.offsets), 0), model.fragment
-    curve = model.gc_curve()
-    tables = np.concatenate([np.zeros((len(model.offsets), 1)), model.letters], 1)
+    halo, f = window_halo(model.fragment, model.offsets), model.fragment
+    curve, words = model.gc_curve(), _word_tables(model.offsets, model.letters)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for chrom, number, lo, codes in _each_tile(b):
-                a, z = max(lo + halo, number * tile), min(lo + len(codes) - halo, (number + 1) * tile)
-                if z <= a:
+            for part, codes, heads in _some_tiles(b):
+                lo, number = part.column("lo").to_numpy(), part.column("tile").to_numpy()
+                first, last = np.maximum(lo + halo, number * tile), np.minimum(lo + np.diff(heads) - halo, (number + 1) * tile)
+                has = np.flatnonzero(last > first)
+                if not len(has):
                     continue
-                g, at = _running_gc(codes), np.arange(a - lo, z - lo)
-                count = g[at + f + 1] - g[at - f]
-                log_rate = curve[count]
-                for offset, table in zip(model.offsets, tables, strict=True):
-                    log_rate = log_rate + table[codes[at + offset]]
-                rate = np.exp(log_rate)
-                bins, where = np.unique(np.arange(a, z) // bin_size, return_inverse=True)
-                per = [np.bincount(where, v, len(bins)) for v in (rate, rate + rate * rate / model.theta, count / (2 * f + 1))]
-                yield pa.RecordBatch.from_pydict({"chrom": [chrom] * len(bins), "bin": pa.array(bins, pa.int64()), "positions": pa.array(np.bincount(where)),
-                                                  "expected": per[0], "var": per[1], "gc": per[2]})
-
-    parts = sequence_tiles(chunks, tile, halo).mapInArrow(run, "chrom string, bin bigint, positions bigint, expected double, var double, gc double")
+                # Every base is judged, also those next to a seam between two tiles, which belong to no bin; one more ends the last bin.
+                n = len(codes) - 2 * halo
+                g, count, rate, term = _running_gc(codes), np.zeros(n + 1, np.int32), np.zeros(n + 1), np.empty(n + 1)
+                np.subtract(g[halo + f + 1:halo + f + 1 + n], g[halo - f:halo - f + n], out=count[:n])
+                np.take(curve, count[:n], out=rate[:n], mode="clip")
+                cached = {length: _words(codes, length) for length in {length for _, length, _ in words}}
+                for offset, length, table in words:
+                    rate[:n] += np.take(table, cached[length][halo + offset:halo + offset + n], out=term[:n], mode="clip")
+                np.exp(rate[:n], out=rate[:n])
+                number_of = (last[has] - 1) // bin_size - first[has] // bin_size + 1
+                t = np.repeat(has, number_of)
+                bins = first[t] // bin_size + np.arange(len(t)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
+                a, z = np.maximum(bins * bin_size, first[t]), np.minimum((bins + 1) * bin_size, last[t])
+                edges = (np.stack([a, z], 1) + (heads[t] - lo[t] - halo)[:, None]).ravel()
+                expected, share = np.add.reduceat(rate, edges)[::2], np.add.reduceat(count, edges, dtype=np.int64)[::2] / (2 * f + 1)
+                squares = np.add.reduceat(np.multiply(rate, rate, out=term), edges)[::2]
+                yield pa.RecordBatch.from_pydict({"chrom": part.column("chrom").take(pa.array(t)), "bin": pa.array(bins, pa.int64()), "positions": pa.array(z - a),
+                                                  "expected": expected, "var": expected + squares / model.theta, "gc": share})
+
+    tiles = sequence_tiles(chunks, tile, halo) if tiles is None else tiles
+    parts = tiles.mapInArrow(run, "chrom string, bin bigint, positions bigint, expected double, var double, gc double")
     return parts.groupBy("chrom", "bin").agg(F.sum("positions").alias("positions"), F.sum("expected").alias("expected"), F.sum("var").alias("var"),
                                              (F.sum("gc") / F.sum("positions")).alias("gc"))
 

@@ -16,6 +16,7 @@ from karyospark.plans.projections import (
 )
 from karyospark.plans.registry import query
 from karyospark.schema import bin_grid
+from karyospark.session import materialise
 from karyospark.plans.track_queries import _first, _log2, r6
 
 add_cte("pos_counts", "SELECT sample, chrom, pos, count(*) AS n FROM reads GROUP BY ALL")
@@ -166,8 +167,10 @@ add_cte("marked", """
     FROM (SELECT *, 'D' || (event_id // 10) AS chrom FROM events) JOIN contigs USING (chrom) WHERE len > 0""")
 
 
-def _marked(spark, sf):
-    length = ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).cast("bigint").alias("_length"))
+def _marked(spark, sf, length=None):
+    """`length` has the bases of each contig as `_length`, where they are known already."""
+    if length is None:
+        length = ref_chunks(spark, sf).groupBy("chrom").agg(F.sum(F.length("seq")).cast("bigint").alias("_length"))
     e = table(spark, sf, "events").select(F.concat(F.lit("D"), F.expr("event_id div 10").cast("string")).alias("chrom"), "event_id",
                                           (F.col("user_id") % 5).alias("n"))
     return e.join(length.filter("_length > 0"), "chrom").withColumn("pos", (F.col("event_id") * 7919) % F.col("_length")).drop("_length")
@@ -274,12 +277,18 @@ def _(spark, sf):
 
 @query("a58_bias_chain")
 def _(spark, sf):
-    """Counts to normalised bins: fit, rates, bins, outlier cut, refine curve, rates and bins with it."""
-    chunks, marked = ref_chunks(spark, sf), _marked(spark, sf)
-    model = bias.fit_bias(bias.covariate_cells(bias.covariates(marked, chunks, FRAGMENT, OFFSETS)), FRAGMENT, OFFSETS)
-    first = bias.observed_bins(bias.bin_rates(chunks, model, 1000), marked, 1000).withColumn("all", F.lit(1))
+    """Counts to normalised bins: fit, rates, bins, outlier cut, refine curve, rates and bins with it.
+
+    The sequence, the read positions and the first bins are written once; every later step reads those tables.
+    """
+    chunks = ref_chunks(spark, sf)
+    tiles = materialise(bias.sequence_tiles(chunks, bias.TILE, bias.window_halo(FRAGMENT, OFFSETS)), "sequence-tiles")
+    spots = bias.spots(_marked(spark, sf, tiles.groupBy("chrom").agg(F.max(F.col("lo") + F.length("seq")).alias("_length"))))
+    model = bias.fit_bias(bias.covariate_cells(bias.covariates(spots, chunks, FRAGMENT, OFFSETS, tiles=tiles)), FRAGMENT, OFFSETS)
+    reads = spots.select("chrom", "pos", F.col("reads").alias("n"))
+    first = materialise(bias.observed_bins(bias.bin_rates(chunks, model, 1000, tiles=tiles), reads, 1000), "first-bins").withColumn("all", F.lit(1))
     curve = bias.fit_refine_curve(bic.ratio_outlier_cut(first.filter("expected > 0"), ["all"]))
-    bins = bias.observed_bins(bias.bin_rates(chunks, dataclasses.replace(model, refine=curve), 1000), marked, 1000)
+    bins = bias.observed_bins(bias.bin_rates(chunks, dataclasses.replace(model, refine=curve), 1000, tiles=tiles), reads, 1000)
     return bins.select("chrom", "bin", "positions", "gc", "obs", "expected", "var")
 
 

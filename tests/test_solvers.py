@@ -267,6 +267,73 @@ def test_bin_rates_sum_the_rates_of_positions(spark):
     assert sum(r.positions for r in got.values()) == len(rows)
 
 
+def test_bin_rates_of_many_short_tiles_in_one_go(spark, monkeypatch):
+    """Contigs of all lengths, some too short and some with letters of several bytes: each bin has the sums of its positions, by few calls."""
+    rng = np.random.default_rng(21)
+    texts = {f"c{i}": "".join(rng.choice(list("ACGTgtNé漢\U0001f9ec"), k)) for i, k in enumerate([*rng.integers(1, 400, 60), 0, 24, 25, 26])}
+    chunks = spark.createDataFrame([(c, 0, s) for c, s in texts.items()], "chrom string, offset bigint, seq string")
+    offsets = [-2, -1, 0, 1, 2, 3, 4, 7, 12]
+    model = bias.BiasModel(12, offsets, bias.Spline(0.2, 0.7), -0.5, [0.3, -0.2, 0.1, 0.4, -0.3, 0.2, 0.1], rng.normal(0, 0.3, (9, 3)), 3.0)
+    want = {}
+    for c, s in texts.items():
+        codes = [{"G": 1, "C": 2, "T": 3}.get(x.upper(), 0) for x in s]
+        for p in range(12, len(s) - 12):
+            count = sum(k in (1, 2) for k in codes[p - 12:p + 13])
+            rate = math.exp(model.gc_curve()[count] + sum(([0.0, *model.letters[i]])[codes[p + k]] for i, k in enumerate(offsets)))
+            one = want.setdefault((c, p // 50), [0, 0.0, 0.0, 0.0])
+            for i, v in enumerate((1, rate, rate + rate * rate / 3.0, count / 25)):
+                one[i] += v
+    for run in (bias._RUN_BYTES, 1000, 1):
+        monkeypatch.setattr(bias, "_RUN_BYTES", run)
+        got = {(r.chrom, r.bin): r for r in bias.bin_rates(chunks, model, 50, tile=128).collect()}
+        assert set(got) == set(want)
+        for key, (n, expected, var, gc) in want.items():
+            r = got[key]
+            assert r.positions == n and [r.expected, r.var, r.gc] == pytest.approx([expected, var, gc / n], rel=1e-9)
+
+
+def test_covariates_stream_over_batches(spark):
+    """Tiles and positions in batches of three rows, contigs without positions and the other way round; no join sends the sequence to each row."""
+    rng = np.random.default_rng(22)
+    texts = {f"c{i}": "".join(rng.choice(list("ACGTé"), k)) for i, k in enumerate((300, 20, 150, 90))}
+    chunks = spark.createDataFrame([(c, 0, s) for c, s in texts.items()], "chrom string, offset bigint, seq string")
+    rows = [(c, int(p), float(p % 3), f"r{p}") for c in ("c0", "c1", "c3", "x") for p in (0, 9, 10, 63, 64, 65, 79, 80, 139, 289, 290, 400, 64)]
+    rows += [(None, 20, 1.0, "no"), ("c0", None, 1.0, "no")]
+    positions = spark.createDataFrame(rows, "chrom string, pos bigint, n double, name string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = bias.covariates(positions, chunks, 10, [-3, 0, 10], tile=64)
+        assert df.columns == ["chrom", "pos", "n", "name", "gc_count", "letters"] and "Join" not in df._jdf.queryExecution().toString()
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    code = {"G": 1, "C": 2, "T": 3}
+    assert got == sorted((c, p, n, name, sum(x in "GC" for x in texts[c][p - 10:p + 11]), [code.get(texts[c][p + k], 0) for k in (-3, 0, 10)])
+                         for c, p, n, name in rows if c in texts and p is not None and 10 <= p < len(texts[c]) - 10)
+
+
+def test_cells_of_spots_are_those_of_rows(spark):
+    rows = [("a", p, float(n)) for p, n in ((1, 2), (1, 3), (1, 3), (2, 0), (5, 4))] + [("a", 5, None), ("b", 1, 1.0)]
+    df = spark.createDataFrame(rows, "chrom string, pos bigint, n double")
+    cell = [(F.col("pos") % 2).alias("gc_count"), F.array("chrom").alias("letters")]
+    one, two = (sorted(tuple(r) for r in bias.covariate_cells(d.select("*", *cell)).collect()) for d in (df, bias.spots(df)))
+    assert one == two and len(one) == 3
+
+
+def test_bias_chain_reads_the_sequence_once(spark, monkeypatch):
+    """Tiles, spots and first bins are tables; no later step goes back to the documents."""
+    from karyospark.plans import bic_queries
+    from karyospark.plans.catalogue import CATALOGUE
+    read, write = [], bic_queries.materialise
+    keep = lambda df, name: (read.append((name, df._jdf.queryExecution().analyzed().toString())), write(df, name))[1]
+    monkeypatch.setattr(bic_queries, "materialise", keep)
+    monkeypatch.setattr(bias, "materialise", keep)
+    out = CATALOGUE["a58_bias_chain"].run(spark, "/root/testdata/sf0.001")
+    read.append(("result", out._jdf.queryExecution().analyzed().toString()))
+    assert [n for n, plan in read if "text#" in plan] == ["sequence-tiles"]
+
+
 def test_covariates_match_slices(spark):
     seq = "".join(np.random.default_rng(11).choice(list("ACGTN"), 500))
     cuts = [0, 37, 37, 120, 300, 500]
