@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, IntegerType, StructField, StructType
 
-from karyospark.session import materialise
+from karyospark.session import materialise, spread
 
 LETTERS = "GCT"
 #: Inner knots of the GC spline, as shares of the GC range that the fit saw.
@@ -258,8 +258,11 @@ def _tallies() -> list[Column]:
 
 
 def spots(positions: DataFrame) -> DataFrame:
-    """A written table of the distinct (chrom, pos) with `positions`, the number of rows, `reads` and squared reads of them."""
-    return materialise(positions.groupBy("chrom", "pos").agg(*_tallies()), "spots")
+    """A written table of the distinct (chrom, pos) with `positions`, the number of rows, `reads` and squared reads of them.
+
+    Few rows are alike, so counting before the exchange would only fill memory, and left to itself the planner folds the small rows into few tasks.
+    """
+    return materialise(spread(positions.select("chrom", "pos", "n"), "chrom", "pos").groupBy("chrom", "pos").agg(*_tallies()), "spots")
 
 
 def covariate_cells(rows: DataFrame) -> DataFrame:
